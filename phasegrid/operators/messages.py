@@ -74,31 +74,32 @@ DEVICE_INFO_FIELDS = {
 BLOCK_FIELDS = {"ts": "bigint", "period": "bigint", "records": "bigint"}
 
 
-_CORRUPT = "_wrong"
+def _keys(document: Column, path: str) -> Column:
+    """The keys of the object at ``path``; null if there is no object."""
+    return F.map_keys(F.try_variant_get(document, path, "map<string,variant>"))
 
 
-def typed_object(text: Column, types: dict[str, str]) -> Column:
-    """A JSON object as a struct of ``types``; ``_wrong`` is set if a value has another type."""
-    fields = ", ".join(f"`{key}` {kind}" for key, kind in types.items())
-    return F.from_json(text, f"{fields}, {_CORRUPT} string", {"columnNameOfCorruptRecord": _CORRUPT})
+def _typed(document: Column, path: str, types: dict[str, str]) -> Column:
+    """The object at ``path`` as a struct; null if a value has another type."""
+    fields = ", ".join(f"`{key}`: {kind}" for key, kind in types.items())
+    return F.try_variant_get(document, path, f"struct<{fields}>")
 
 
 def object_error(
-    text: Column, obj: Column, name: str, required: Sequence[str], optional: Sequence[str] = ()
+    keys: Column, typed: Column, name: str, types: dict[str, str], optional: Sequence[str] = ()
 ) -> Column:
-    """Why the JSON object ``text``, parsed as ``obj``, is rejected; null if it is accepted.
+    """Why an object is rejected; null if it has the keys of ``types`` and values of those types.
 
-    Its keys are checked on the text, because the typed parse drops unknown ones silently. A key
-    with the value null counts as present.
+    A key with the value null counts as present.
     """
-    keys = F.json_object_keys(text)
-    missing = F.array_except(F.array(*[F.lit(k) for k in required]), keys)
-    unknown = F.array_except(keys, F.array(*[F.lit(k) for k in (*required, *optional)]))
+    known = F.array(*[F.lit(k) for k in types])
+    missing = F.array_except(F.array(*[F.lit(k) for k in types if k not in optional]), keys)
+    unknown = F.array_except(keys, known)
     return (
         F.when(keys.isNull(), F.lit(f"{name}: not an object"))
         .when(F.size(missing) > 0, F.concat(F.lit(f"{name}: missing "), F.array_join(missing, ", ")))
         .when(F.size(unknown) > 0, F.concat(F.lit(f"{name}: unknown "), F.array_join(unknown, ", ")))
-        .when(obj[_CORRUPT].isNotNull(), F.lit(f"{name}: value of wrong type"))
+        .when(typed.isNull(), F.lit(f"{name}: value of wrong type"))
     )
 
 
@@ -106,10 +107,12 @@ def compute_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Add ``columns`` so that later filters on them do not repeat their computation.
 
     Catalyst pushes a filter below a projection by copying the filtered expressions, which would
-    parse every document twice. It does not push one below a generator.
+    parse every document twice. It does not push one below a generator, so the finished columns
+    pass through one.
     """
-    row = F.struct(*[c.alias(name) for name, c in columns.items()])
-    return df.select(*df.columns, F.inline(F.array(row)))
+    done = {f"_done_{name}": column for name, column in columns.items()}
+    row = F.struct(*[F.col(f"_done_{name}").alias(name) for name in columns])
+    return df.withColumns(done).select(*df.columns, F.inline(F.array(row)))
 
 
 _METER_TYPES = {
@@ -126,11 +129,6 @@ def _or_empty(strings: Column) -> Column:
     return F.coalesce(strings, F.array().cast("array<string>"))
 
 
-def _meter_error(text: Column, obj: Column, *, calibration_required: bool) -> Column:
-    required = METER_FIELDS + ((CALIBRATION,) if calibration_required else ())
-    return object_error(text, obj, METER_KEY, required, (*ERROR_LISTS, CALIBRATION))
-
-
 def meter_status(obj: Column, *, keep_calibration: bool) -> Column:
     """A flat meter status as a struct with an array of three phases; missing error lists are empty."""
     phases = F.array(
@@ -162,30 +160,40 @@ def parse_messages(raw: DataFrame, text: str = "value") -> DataFrame:
     ``timestamp`` and the nested ``status``; the latter three are null unless the route is
     ``status``. Text that is no JSON is an error row like any other.
     """
-    envelope = F.from_json(F.col(text), "method string, src string, params map<string,string>")
-    meter_text = F.col("_m.params")[METER_KEY]
-    step = raw.withColumn("_m", envelope).withColumn("_em", typed_object(meter_text, _METER_TYPES))
-    method, params, em = F.col("_m.method"), F.col("_m.params"), F.col("_em")
-    timestamp = epoch_micros_to_timestamp(params["ts"])
+    document = F.col("_d")
+    meter = f"$.params['{METER_KEY}']"
+    step = raw.withColumn("_d", F.try_parse_json(text)).withColumns(
+        {
+            "_method": F.try_variant_get(document, "$.method", "string"),
+            "_src": F.try_variant_get(document, "$.src", "string"),
+            "_ts": epoch_micros_to_timestamp(F.try_variant_get(document, "$.params.ts", "decimal(20,6)")),
+            "_params": _keys(document, "$.params"),
+            "_em_keys": _keys(document, meter),
+            "_em": _typed(document, meter, _METER_TYPES),
+        }
+    )
+    method, params, em = F.col("_method"), F.col("_params"), F.col("_em")
     error = (
         F.when(method.isNull(), F.lit("not a message with a method"))
         .when(method == EVENT_METHOD, F.lit(None))
         .when(method != STATUS_METHOD, F.concat(F.lit("unexpected method "), method))
         .when(params.isNull(), F.lit("missing params"))
-        .when(~F.map_contains_key(params, F.lit(METER_KEY)), F.lit(None))
-        .when(timestamp.isNull(), F.lit("missing or wrong ts"))
-        .when(F.col("_m.src").isNull(), F.lit("missing src"))
-        .otherwise(_meter_error(meter_text, em, calibration_required=False))
+        .when(~F.array_contains(params, METER_KEY), F.lit(None))
+        .when(F.col("_ts").isNull(), F.lit("missing or wrong ts"))
+        .when(F.col("_src").isNull(), F.lit("missing src"))
+        .otherwise(
+            object_error(F.col("_em_keys"), em, METER_KEY, _METER_TYPES, (*ERROR_LISTS, CALIBRATION))
+        )
     )
-    step = compute_once(step, {"error": error, "_ts": timestamp})
-    has_status = (method == STATUS_METHOD) & F.map_contains_key(params, F.lit(METER_KEY))
+    step = compute_once(step, {"error": error})
+    has_status = (method == STATUS_METHOD) & F.array_contains(params, METER_KEY)
     route = F.when(F.col("error").isNotNull(), "error").when(has_status, "status").otherwise("ignored")
     accepted = F.col("error").isNull() & has_status
     return step.select(
         *raw.columns,
         route.alias("route"),
         "error",
-        F.when(accepted, F.col("_m.src")).alias("src"),
+        F.when(accepted, F.col("_src")).alias("src"),
         F.when(accepted, F.col("_ts")).alias("timestamp"),
         F.when(accepted, meter_status(em, keep_calibration=False)).alias("status"),
     )
@@ -196,23 +204,25 @@ def parse_snapshots(raw: DataFrame, text: str = "value") -> DataFrame:
 
     ``error`` tells why a document was rejected; its typed columns are null then.
     """
-    parts = F.col("_d")
-    step = (
-        raw.withColumn("_d", F.from_json(F.col(text), "map<string,string>"))
-        .withColumn("_sys", typed_object(parts["sys"], SYSTEM_FIELDS))
-        .withColumn("_em", typed_object(parts[METER_KEY], _METER_TYPES))
-        .withColumn("_emdata", typed_object(parts[METER_DATA_KEY], _METER_DATA_TYPES))
-        .withColumn("_temp", typed_object(parts[TEMPERATURE_KEY], {"tC": "double"}))
+    parts = {
+        "sys": SYSTEM_FIELDS,
+        METER_KEY: _METER_TYPES,
+        METER_DATA_KEY: _METER_DATA_TYPES,
+        TEMPERATURE_KEY: {"tC": "double"},
+    }
+    step = raw.withColumn("_d", F.try_parse_json(text)).withColumns(
+        {f"_{part}": _typed(F.col("_d"), f"$['{part}']", types) for part, types in parts.items()}
+        | {f"_keys_{part}": _keys(F.col("_d"), f"$['{part}']") for part in parts}
     )
-    system, em, emdata, temperature = F.col("_sys"), F.col("_em"), F.col("_emdata"), F.col("_temp")
-    has_temperature = F.array_contains(F.json_object_keys(parts[TEMPERATURE_KEY]), "tC")
+    system, em, emdata, temperature = (F.col(f"`_{part}`") for part in parts)
+    keys = {part: F.col(f"`_keys_{part}`") for part in parts}
+    has_temperature = F.array_contains(keys[TEMPERATURE_KEY], "tC")
     error = F.coalesce(
-        F.when(parts.isNull(), F.lit("document: not an object")),
         F.when(~F.coalesce(has_temperature, F.lit(False)), F.lit(f"{TEMPERATURE_KEY}: missing tC")),
-        F.when(temperature[_CORRUPT].isNotNull(), F.lit(f"{TEMPERATURE_KEY}: value of wrong type")),
-        object_error(parts["sys"], system, "sys", list(SYSTEM_FIELDS)),
-        _meter_error(parts[METER_KEY], em, calibration_required=True),
-        object_error(parts[METER_DATA_KEY], emdata, METER_DATA_KEY, METER_DATA_FIELDS, ["errors"]),
+        F.when(temperature.isNull(), F.lit(f"{TEMPERATURE_KEY}: value of wrong type")),
+        object_error(keys["sys"], system, "sys", SYSTEM_FIELDS),
+        object_error(keys[METER_KEY], em, METER_KEY, _METER_TYPES, ERROR_LISTS),
+        object_error(keys[METER_DATA_KEY], emdata, METER_DATA_KEY, _METER_DATA_TYPES, ["errors"]),
     )
     step = compute_once(step, {"error": error})
     good = F.col("error").isNull()
@@ -223,16 +233,12 @@ def parse_snapshots(raw: DataFrame, text: str = "value") -> DataFrame:
         *raw.columns,
         "error",
         F.when(good, temperature["tC"]).alias("temperature"),
-        F.when(good, _without_flag(system, SYSTEM_FIELDS)).alias("sys"),
+        F.when(good, system).alias("sys"),
         F.when(good, meter_status(em, keep_calibration=True)).alias("em"),
         F.when(good, counters).alias("emdata"),
     )
 
 
-def _without_flag(obj: Column, types: dict[str, str]) -> Column:
-    return F.struct(*[obj[key].alias(key) for key in types])
-
-
 def flatten_snapshots(snapshots: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """One flat row per accepted snapshot: temperature, clock, per-phase and total values."""
     em, emdata = F.col("em"), F.col("emdata")
@@ -251,13 +257,12 @@ def flatten_snapshots(snapshots: DataFrame, keep: Sequence[str] = ()) -> DataFra
 
 def parse_device_info(raw: DataFrame, text: str = "value") -> DataFrame:
     """Device information records, typed; ``error`` tells why a record was rejected."""
-    document, record = F.col(text), F.col("_d")
-    step = raw.withColumn("_d", typed_object(document, DEVICE_INFO_FIELDS))
-    step = compute_once(
-        step, {"error": object_error(document, record, "device info", list(DEVICE_INFO_FIELDS))}
+    step = raw.withColumn("_v", F.try_parse_json(text)).withColumns(
+        {"_d": _typed(F.col("_v"), "$", DEVICE_INFO_FIELDS), "_keys": _keys(F.col("_v"), "$")}
     )
-    info = F.when(F.col("error").isNull(), _without_flag(record, DEVICE_INFO_FIELDS))
-    return step.select(*raw.columns, "error", info.alias("info"))
+    error = object_error(F.col("_keys"), F.col("_d"), "device info", DEVICE_INFO_FIELDS)
+    step = compute_once(step, {"error": error})
+    return step.select(*raw.columns, "error", F.when(F.col("error").isNull(), F.col("_d")).alias("info"))
 
 
 def parse_record_blocks(raw: DataFrame, text: str = "value") -> DataFrame:
@@ -265,17 +270,22 @@ def parse_record_blocks(raw: DataFrame, text: str = "value") -> DataFrame:
 
     A document without a block list, or a block with wrong keys, gives a row with ``error`` set.
     """
-    blocks = F.from_json(F.col(text), "data_blocks array<string>")["data_blocks"]
+    blocks = F.try_variant_get(F.try_parse_json(text), "$.data_blocks", "array<variant>")
     step = raw.withColumn("_list", blocks)
-    step = step.select(*raw.columns, F.col("_list").isNull().alias("_none"), F.explode_outer("_list").alias("_b"))
-    step = step.where(F.col("_none") | F.col("_b").isNotNull())
-    step = step.withColumn("_o", typed_object(F.col("_b"), BLOCK_FIELDS))
+    # An empty list has no rows; a missing one has an error row.
+    none = F.array(F.lit(None).cast("variant"))
+    step = step.select(
+        *raw.columns, F.col("_list").isNull().alias("_none"), F.explode(F.coalesce("_list", none)).alias("_b")
+    )
+    step = step.withColumns(
+        {"_t": _typed(F.col("_b"), "$", BLOCK_FIELDS), "_keys": _keys(F.col("_b"), "$")}
+    )
     error = F.when(F.col("_none"), F.lit("missing data_blocks")).otherwise(
-        object_error(F.col("_b"), F.col("_o"), "block", list(BLOCK_FIELDS))
+        object_error(F.col("_keys"), F.col("_t"), "block", BLOCK_FIELDS)
     )
     step = compute_once(step, {"error": error})
     good = F.col("error").isNull()
-    fields = [F.when(good, F.col("_o")[key]).alias(key) for key in BLOCK_FIELDS]
+    fields = [F.when(good, F.col("_t")[key]).alias(key) for key in BLOCK_FIELDS]
     return step.select(*raw.columns, "error", *fields).withColumn(
         "timestamp", epoch_to_timestamp(F.col("ts"))
     )

@@ -154,15 +154,18 @@ def duplicate_files(files: DataFrame) -> DataFrame:
 
     The leading file starts first, has most rows among those, and comes first by path. It is found
     by aggregation and joined back, so a device with very many files is not sorted in one task.
+    The comparisons are null-safe: Catalyst then derives no filter for one side only, and both sides
+    share one scan and one aggregation of the readings.
     """
     lead = F.struct("first_ts", (-F.col("n_rows")).alias("fewest"), "file", "last_ts")
-    leading = files.groupBy("device").agg(F.min(lead).alias("lead"))
+    leading = files.groupBy(F.col("device").alias("_device")).agg(F.min(lead).alias("lead"))
+    within = (
+        ~F.col("file").eqNullSafe(F.col("lead.file"))
+        & (F.col("first_ts") <= F.col("lead.last_ts"))
+        & (F.col("last_ts") <= F.col("lead.last_ts"))
+    )
     return (
-        files.join(leading, "device")
-        .where(
-            (F.col("file") != F.col("lead.file"))
-            & (F.col("first_ts") <= F.col("lead.last_ts"))
-            & (F.col("last_ts") <= F.col("lead.last_ts"))
-        )
+        files.join(leading, F.col("device").eqNullSafe(F.col("_device")))
+        .where(F.coalesce(within, F.lit(False)))
         .select(files.columns)
     )

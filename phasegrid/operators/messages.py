@@ -79,16 +79,24 @@ def _keys(document: Column, path: str) -> Column:
     return F.map_keys(F.try_variant_get(document, path, "map<string,variant>"))
 
 
-def _typed(document: Column, path: str, types: dict[str, str]) -> Column:
-    """The object at ``path`` as a struct; null if a value has another type."""
-    fields = ", ".join(f"`{key}`: {kind}" for key, kind in types.items())
-    return F.try_variant_get(document, path, f"struct<{fields}>")
+_WRONG = "_wrong"
+
+
+def _fields(types: dict[str, str]) -> str:
+    return ", ".join(f"`{key}`: {kind}" for key, kind in types.items())
+
+
+def _parse(text: str, fields: str) -> Column:
+    """The typed parts of a document; ``_wrong`` is set if any value has another type."""
+    return F.from_json(
+        F.col(text), f"struct<{fields}, {_WRONG}: string>", {"columnNameOfCorruptRecord": _WRONG}
+    )
 
 
 def object_error(
-    keys: Column, typed: Column, name: str, types: dict[str, str], optional: Sequence[str] = ()
+    keys: Column, name: str, types: dict[str, str], optional: Sequence[str] = ()
 ) -> Column:
-    """Why an object is rejected; null if it has the keys of ``types`` and values of those types.
+    """Why an object with ``keys`` is rejected; null if it has just those of ``types``.
 
     A key with the value null counts as present.
     """
@@ -99,7 +107,6 @@ def object_error(
         F.when(keys.isNull(), F.lit(f"{name}: not an object"))
         .when(F.size(missing) > 0, F.concat(F.lit(f"{name}: missing "), F.array_join(missing, ", ")))
         .when(F.size(unknown) > 0, F.concat(F.lit(f"{name}: unknown "), F.array_join(unknown, ", ")))
-        .when(typed.isNull(), F.lit(f"{name}: value of wrong type"))
     )
 
 
@@ -161,28 +168,29 @@ def parse_messages(raw: DataFrame, text: str = "value") -> DataFrame:
     ``status``. Text that is no JSON is an error row like any other.
     """
     document = F.col("_d")
-    meter = f"$.params['{METER_KEY}']"
-    step = raw.withColumn("_d", F.try_parse_json(text)).withColumns(
+    fields = f"method: string, src: string, params: struct<ts: string, `{METER_KEY}`: struct<{_fields(_METER_TYPES)}>>"
+    step = raw.withColumns({"_d": F.try_parse_json(text), "_m": _parse(text, fields)}).withColumns(
         {
             "_method": F.try_variant_get(document, "$.method", "string"),
-            "_src": F.try_variant_get(document, "$.src", "string"),
-            "_ts": epoch_micros_to_timestamp(F.try_variant_get(document, "$.params.ts", "decimal(20,6)")),
             "_params": _keys(document, "$.params"),
-            "_em_keys": _keys(document, meter),
-            "_em": _typed(document, meter, _METER_TYPES),
+            "_em_keys": _keys(document, f"$.params['{METER_KEY}']"),
+            "_ts": epoch_micros_to_timestamp(F.col("_m.params.ts")),
         }
     )
-    method, params, em = F.col("_method"), F.col("_params"), F.col("_em")
+    method, params, em = F.col("_method"), F.col("_params"), F.col("_m.params")[METER_KEY]
     error = (
         F.when(method.isNull(), F.lit("not a message with a method"))
         .when(method == EVENT_METHOD, F.lit(None))
         .when(method != STATUS_METHOD, F.concat(F.lit("unexpected method "), method))
         .when(params.isNull(), F.lit("missing params"))
         .when(~F.array_contains(params, METER_KEY), F.lit(None))
-        .when(F.col("_ts").isNull(), F.lit("missing or wrong ts"))
-        .when(F.col("_src").isNull(), F.lit("missing src"))
         .otherwise(
-            object_error(F.col("_em_keys"), em, METER_KEY, _METER_TYPES, (*ERROR_LISTS, CALIBRATION))
+            F.coalesce(
+                object_error(F.col("_em_keys"), METER_KEY, _METER_TYPES, (*ERROR_LISTS, CALIBRATION)),
+                F.when(F.col("_ts").isNull(), F.lit("missing or wrong ts")),
+                F.when(F.col("_m.src").isNull(), F.lit("missing src")),
+                F.when(F.col(f"_m.{_WRONG}").isNotNull(), F.lit(f"{METER_KEY}: value of wrong type")),
+            )
         )
     )
     step = compute_once(step, {"error": error})
@@ -193,7 +201,7 @@ def parse_messages(raw: DataFrame, text: str = "value") -> DataFrame:
         *raw.columns,
         route.alias("route"),
         "error",
-        F.when(accepted, F.col("_src")).alias("src"),
+        F.when(accepted, F.col("_m.src")).alias("src"),
         F.when(accepted, F.col("_ts")).alias("timestamp"),
         F.when(accepted, meter_status(em, keep_calibration=False)).alias("status"),
     )
@@ -210,19 +218,19 @@ def parse_snapshots(raw: DataFrame, text: str = "value") -> DataFrame:
         METER_DATA_KEY: _METER_DATA_TYPES,
         TEMPERATURE_KEY: {"tC": "double"},
     }
-    step = raw.withColumn("_d", F.try_parse_json(text)).withColumns(
-        {f"_{part}": _typed(F.col("_d"), f"$['{part}']", types) for part, types in parts.items()}
-        | {f"_keys_{part}": _keys(F.col("_d"), f"$['{part}']") for part in parts}
+    fields = ", ".join(f"`{part}`: struct<{_fields(types)}>" for part, types in parts.items())
+    step = raw.withColumns({"_d": F.try_parse_json(text), "_m": _parse(text, fields)}).withColumns(
+        {f"_keys_{part}": _keys(F.col("_d"), f"$['{part}']") for part in parts}
     )
-    system, em, emdata, temperature = (F.col(f"`_{part}`") for part in parts)
+    system, em, emdata, temperature = (F.col("_m")[part] for part in parts)
     keys = {part: F.col(f"`_keys_{part}`") for part in parts}
     has_temperature = F.array_contains(keys[TEMPERATURE_KEY], "tC")
     error = F.coalesce(
         F.when(~F.coalesce(has_temperature, F.lit(False)), F.lit(f"{TEMPERATURE_KEY}: missing tC")),
-        F.when(temperature.isNull(), F.lit(f"{TEMPERATURE_KEY}: value of wrong type")),
-        object_error(keys["sys"], system, "sys", SYSTEM_FIELDS),
-        object_error(keys[METER_KEY], em, METER_KEY, _METER_TYPES, ERROR_LISTS),
-        object_error(keys[METER_DATA_KEY], emdata, METER_DATA_KEY, _METER_DATA_TYPES, ["errors"]),
+        object_error(keys["sys"], "sys", SYSTEM_FIELDS),
+        object_error(keys[METER_KEY], METER_KEY, _METER_TYPES, ERROR_LISTS),
+        object_error(keys[METER_DATA_KEY], METER_DATA_KEY, _METER_DATA_TYPES, ["errors"]),
+        F.when(F.col(f"_m.{_WRONG}").isNotNull(), F.lit("document: value of wrong type")),
     )
     step = compute_once(step, {"error": error})
     good = F.col("error").isNull()
@@ -257,12 +265,16 @@ def flatten_snapshots(snapshots: DataFrame, keep: Sequence[str] = ()) -> DataFra
 
 def parse_device_info(raw: DataFrame, text: str = "value") -> DataFrame:
     """Device information records, typed; ``error`` tells why a record was rejected."""
-    step = raw.withColumn("_v", F.try_parse_json(text)).withColumns(
-        {"_d": _typed(F.col("_v"), "$", DEVICE_INFO_FIELDS), "_keys": _keys(F.col("_v"), "$")}
+    step = raw.withColumns(
+        {"_d": _parse(text, _fields(DEVICE_INFO_FIELDS)), "_keys": _keys(F.try_parse_json(text), "$")}
+    )
+    error = F.coalesce(
+        object_error(F.col("_keys"), "device info", DEVICE_INFO_FIELDS),
+        F.when(F.col(f"_d.{_WRONG}").isNotNull(), F.lit("device info: value of wrong type")),
     )
-    error = object_error(F.col("_keys"), F.col("_d"), "device info", DEVICE_INFO_FIELDS)
     step = compute_once(step, {"error": error})
-    return step.select(*raw.columns, "error", F.when(F.col("error").isNull(), F.col("_d")).alias("info"))
+    info = F.struct(*[F.col("_d")[key].alias(key) for key in DEVICE_INFO_FIELDS])
+    return step.select(*raw.columns, "error", F.when(F.col("error").isNull(), info).alias("info"))
 
 
 def parse_record_blocks(raw: DataFrame, text: str = "value") -> DataFrame:
@@ -278,10 +290,16 @@ def parse_record_blocks(raw: DataFrame, text: str = "value") -> DataFrame:
         *raw.columns, F.col("_list").isNull().alias("_none"), F.explode(F.coalesce("_list", none)).alias("_b")
     )
     step = step.withColumns(
-        {"_t": _typed(F.col("_b"), "$", BLOCK_FIELDS), "_keys": _keys(F.col("_b"), "$")}
+        {
+            "_t": F.try_variant_get("_b", "$", f"struct<{_fields(BLOCK_FIELDS)}>"),
+            "_keys": _keys(F.col("_b"), "$"),
+        }
     )
     error = F.when(F.col("_none"), F.lit("missing data_blocks")).otherwise(
-        object_error(F.col("_keys"), F.col("_t"), "block", BLOCK_FIELDS)
+        F.coalesce(
+            object_error(F.col("_keys"), "block", BLOCK_FIELDS),
+            F.when(F.col("_t").isNull(), F.lit("block: value of wrong type")),
+        )
     )
     step = compute_once(step, {"error": error})
     good = F.col("error").isNull()

@@ -19,7 +19,9 @@ def kwh(watt_hours: Column) -> Column:
 def number_text(value: Column) -> Column:
     """Shortest decimal text of a double: plain from 1e-4 up to 1e16, else with an exponent.
 
-    Whole numbers have no fraction. NaN and infinities give null.
+    Whole numbers have no fraction. NaN and infinities give null. The digits are the JVM's: before
+    Java 19 it writes one digit more than needed for a few numbers of extreme size, which still
+    read back as the same double.
     """
     text = value.cast("string")
     size = F.abs(value)

@@ -86,10 +86,11 @@ def _fields(types: dict[str, str]) -> str:
     return ", ".join(f"`{key}`: {kind}" for key, kind in types.items())
 
 
-def _parse(text: str, fields: str) -> Column:
+def _parse(text: str | Column, fields: str) -> Column:
     """The typed parts of a document; ``_wrong`` is set if any value has another type."""
+    column = F.col(text) if isinstance(text, str) else text
     return F.from_json(
-        F.col(text), f"struct<{fields}, {_WRONG}: string>", {"columnNameOfCorruptRecord": _WRONG}
+        column, f"struct<{fields}, {_WRONG}: string>", {"columnNameOfCorruptRecord": _WRONG}
     )
 
 
@@ -291,14 +292,14 @@ def parse_record_blocks(raw: DataFrame, text: str = "value") -> DataFrame:
     )
     step = step.withColumns(
         {
-            "_t": F.try_variant_get("_b", "$", f"struct<{_fields(BLOCK_FIELDS)}>"),
+            "_t": _parse(F.to_json("_b"), _fields(BLOCK_FIELDS)),
             "_keys": _keys(F.col("_b"), "$"),
         }
     )
     error = F.when(F.col("_none"), F.lit("missing data_blocks")).otherwise(
         F.coalesce(
             object_error(F.col("_keys"), "block", BLOCK_FIELDS),
-            F.when(F.col("_t").isNull(), F.lit("block: value of wrong type")),
+            F.when(F.col(f"_t.{_WRONG}").isNotNull(), F.lit("block: value of wrong type")),
         )
     )
     step = compute_once(step, {"error": error})

@@ -11,12 +11,18 @@ from phasegrid.operators.reshape import reading_points
 from phasegrid.session import configure
 from phasegrid.sinks.points import WriteOutcome, write_points
 from phasegrid.sources.csv import DeviceSource, load_readings
+from phasegrid.sources.points import next_batch
 
 
 def import_csv(
-    spark: SparkSession, sources: Sequence[DeviceSource], path: str, batch_id: int = 0
+    spark: SparkSession, sources: Sequence[DeviceSource], path: str, batch_id: int | None = None
 ) -> WriteOutcome:
-    """Read strictly, keep the last row per device and timestamp, write four points per row."""
+    """Read strictly, keep the last row per device and timestamp, write four points per row.
+
+    The import is a new batch of the store unless ``batch_id`` names one to replace.
+    """
     configure(spark)
+    if batch_id is None:
+        batch_id = next_batch(spark, path)
     readings = dedup(load_readings(spark, sources, strict=True), keep="last")
     return write_points(reading_points(readings), path, batch_id)

@@ -181,7 +181,7 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stored(spark: SparkSession, sf_dir: str) -> str:
     path = scratch_dir(spark, "points")
-    write_points(_points(spark, sf_dir), path)
+    write_points(_points(spark, sf_dir), path, 0)
     return path
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,17 @@ def point_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(POINT_SCHEMA).parquet(path)
 
 
+def next_batch(spark: SparkSession, path: str) -> int:
+    """The first batch number above those in the store; 0 for a store that does not exist yet."""
+    try:
+        last = point_log(spark, path).agg(F.max("batch_id")).first()[0]
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        last = None
+    return 0 if last is None else last + 1
+
+
 def latest_points(points: DataFrame, order: Column | str = "batch_id") -> DataFrame:
     """One row per series and second; each field has its latest non-null value.
 

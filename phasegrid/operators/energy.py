@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from phasegrid.functions import Every, bucket, date_of, iso_weekday, kwh, parse_every, weekday_name
 from phasegrid.operators.filters import _instant, in_range
+from phasegrid.operators.joins import broadcast_if_small
 from phasegrid.operators.reshape import _stack
 from phasegrid.schema import PHASES, WEEKDAYS
 
@@ -39,6 +40,7 @@ def total_energy(
     start_by: str = "window",
     keep_window_start: bool = False,
     tz: str | None = None,
+    origin_rows: DataFrame | None = None,
 ) -> DataFrame:
     """Energy in kWh per window of length ``every`` and group.
 
@@ -46,6 +48,9 @@ def total_energy(
     ``start_by`` is ``window``, ``datapoint`` (windows are counted from each group's first reading)
     or a weekday name (from the last such day before it). Windows without readings are absent. The
     result carries the date of the window start, and the start itself with ``keep_window_start``.
+
+    ``origin_rows`` may give the rows before de-duplication: each device has the same first reading
+    there, and finding it needs no second de-duplication.
     """
     groups = list(group_by or ())
     unknown = [g for g in groups if g not in _GROUPS]
@@ -54,7 +59,8 @@ def total_energy(
     length = parse_every(every)
     keys = [g for g in groups if g != "phase"]
     needed = readings.select("timestamp", *keys, *[f"{p}_{_ENERGY}" for p in PHASES])
-    needed, start = _with_start(needed, length, keys, start_by.lower(), tz)
+    origins = origin_rows if origin_rows is not None and "file" not in keys else needed
+    needed, start = _with_start(needed, origins, length, keys, start_by.lower(), tz)
     sums = energy_sums(needed, [*keys, start.alias("window_start")], "phase" in groups)
     local_start = F.col("window_start")
     if tz is not None:
@@ -66,7 +72,7 @@ def total_energy(
 
 
 def _with_start(
-    df: DataFrame, length: Every, keys: Sequence[str], start_by: str, tz: str | None
+    df: DataFrame, origins: DataFrame, length: Every, keys: Sequence[str], start_by: str, tz: str | None
 ) -> tuple[DataFrame, Column]:
     ts = F.col("timestamp")
     if start_by == "window":
@@ -77,15 +83,12 @@ def _with_start(
     one_week = length.weekly and length.micros == 7 * 86_400_000_000
     if start_by in weekdays and one_week:
         return df, bucket(ts, length, shift_days=weekdays.index(start_by), tz=tz)
-    # The origin is one row per group; Spark measures it and picks the join.
     first = F.min("timestamp").alias("_origin")
     if keys:
-        df = df.join(df.groupBy(*keys).agg(first), list(keys))
-        origin = F.col("_origin")
+        df = df.join(broadcast_if_small(origins.groupBy(*keys).agg(first)), list(keys))
     else:
-        origin = df.agg(first).scalar()
-        df = df.withColumn("_origin", origin)
-        origin = F.col("_origin")
+        df = df.withColumn("_origin", origins.agg(first).scalar())
+    origin = F.col("_origin")
     if start_by in weekdays:
         origin = bucket(origin, "1w", shift_days=weekdays.index(start_by), tz=tz)
     return df, bucket(ts, length, origin=origin, tz=tz)

@@ -42,16 +42,38 @@ def join_validated(
     return left.join(right, list(on), how)
 
 
-def attach_device_name(messages: DataFrame, devices: DataFrame) -> DataFrame:
+# Rows up to which a lookup side is broadcast: some ten megabytes of short records.
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of ``df`` ready for broadcast if there are at most ``limit``, otherwise ``df`` itself.
+
+    ``df`` is computed now, up to the limit, and not again when it is joined. A side that is larger
+    joins by shuffle.
+    """
+    rows = df.limit(limit + 1).toArrow()
+    if rows.num_rows > limit:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
+def device_lookup(devices: DataFrame) -> DataFrame:
+    """``devices`` (src, device), checked to have one row per source, ready to be joined."""
+    return broadcast_if_small(require_unique(devices.select("src", "device"), ["src"]))
+
+
+def attach_device_name(messages: DataFrame, lookup: DataFrame) -> DataFrame:
     """Add the configured ``device`` name for each ``src``; null for an unknown source.
 
-    ``devices`` (src, device) must have one row per source. Spark broadcasts it when its measured
-    size allows and otherwise joins by shuffle.
+    ``lookup`` comes from ``device_lookup``. Without a broadcast side the messages would be shuffled
+    by source, and one busy source could hold much of them.
     """
-    return messages.join(require_unique(devices.select("src", "device"), ["src"]), "src", "left")
+    return messages.join(lookup, "src", "left")
 
 
 def attach_device_info(df: DataFrame, device_info: DataFrame, on: str = "device") -> DataFrame:
     """Add the device-information record as the struct ``device_info``."""
     record = F.struct(*[c for c in device_info.columns if c != on])
-    return df.join(device_info.select(on, record.alias("device_info")), on, "left")
+    lookup = broadcast_if_small(device_info.select(on, record.alias("device_info")))
+    return df.join(lookup, on, "left")

@@ -63,7 +63,9 @@ class MeterData:
         start_by: str = "window",
         **options,
     ) -> DataFrame:
-        return energy.total_energy(self.readings, every, group_by, start_by, **options)
+        return energy.total_energy(
+            self.readings, every, group_by, start_by, origin_rows=self.rows, **options
+        )
 
     def daily_total_energy(self) -> DataFrame:
         return energy.daily_total_energy(self.readings)

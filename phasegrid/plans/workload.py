@@ -150,7 +150,8 @@ def first_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _energy(every: str, group_by=("device", "phase"), **options) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         result = energy.total_energy(
-            first_readings(spark, sf_dir), every, group_by, keep_window_start=True, **options
+            first_readings(spark, sf_dir), every, group_by, keep_window_start=True,
+            origin_rows=readings(spark, sf_dir), **options
         )
         return plain(result, total_act_energy_kwh=9)
 
@@ -368,7 +369,7 @@ def device_join(spark, sf_dir):
     devices = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").cast("string").alias("src"), F.col("c_name").alias("device")
     )
-    return joins.attach_device_name(events, devices)
+    return joins.attach_device_name(events, joins.device_lookup(devices))
 
 
 def device_info_join(spark, sf_dir):

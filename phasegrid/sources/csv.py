@@ -9,11 +9,12 @@ from dataclasses import dataclass
 from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from phasegrid.functions import epoch_to_timestamp
+from phasegrid.operators.joins import BROADCAST_ROWS
 from phasegrid.schema import CSV_SCHEMA
 
 _SCHEME = "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?"
@@ -57,7 +58,10 @@ def load_readings(
         return rows.withColumn("device", F.lit(sources[0].device)).select(*_columns())
     pairs = [(folder, device) for folder, devices in folders.items() for device in devices]
     dim = spark.createDataFrame(pairs, "_folder string, device string")
-    folder = F.regexp_extract("file", "^(.*)/[^/]*$", 1)
+    if len(pairs) <= BROADCAST_ROWS:
+        dim = F.broadcast(dim)
+    name = F.substring_index("file", "/", -1)
+    folder = F.left(F.col("file"), F.length("file") - F.length(name) - 1)
     return rows.withColumn("_folder", folder).join(dim, "_folder").select(*_columns())
 
 
@@ -123,7 +127,6 @@ def _read(
         empty = F.concat_ws(", ", *[F.when(F.col(c).isNull(), F.lit(c)) for c in schema.names])
         message = F.concat(F.lit("Missing value of "), empty)
         scan = scan.where(F.assert_true(empty == "", message).isNull())
-    uri = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
     # A split is read in order by one task, so split start and row number give the file order.
     position = F.struct(
         F.col("_metadata.file_block_start").alias("split"),
@@ -132,11 +135,21 @@ def _read(
     return scan.select(
         epoch_to_timestamp(F.col("timestamp")).alias("timestamp"),
         *[c for c in schema.names if c != "timestamp"],
-        F.regexp_replace(F.url_decode(uri), _SCHEME, "").alias("file"),
+        _file_path().alias("file"),
         position.alias("pos"),
     )
 
 
+def _file_path() -> Column:
+    """Path of the row's file without scheme and host; no regular expression, as it runs per row."""
+    uri = F.col("_metadata.file_path")
+    encoded = uri.contains("%")
+    decoded = F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+    path = F.when(encoded, decoded).otherwise(uri)
+    start = F.call_function("locate", F.lit("/"), path, F.locate("://", path) + 3)
+    return F.substr(path, start)
+
+
 def header_layouts(
     spark: SparkSession, files: Sequence[str], schema: T.StructType = CSV_SCHEMA
 ) -> dict[tuple[str, ...], list[str]]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from phasegrid.operators.filters import with_tags
-from phasegrid.operators.joins import attach_device_name
+from phasegrid.operators.joins import attach_device_name, device_lookup
 from phasegrid.operators.messages import parse_messages
 from phasegrid.operators.reshape import event_points, field_values
 from phasegrid.sinks.points import WriteOutcome, write_points
@@ -23,7 +23,11 @@ def parse_events(raw: DataFrame, devices: DataFrame, text: str = "value") -> Dat
 
     A message from a source that is not in ``devices`` becomes an error row.
     """
-    events = attach_device_name(parse_messages(raw.withColumnRenamed(text, "value")), devices)
+    return _parse(raw.withColumnRenamed(text, "value"), device_lookup(devices))
+
+
+def _parse(raw: DataFrame, lookup: DataFrame) -> DataFrame:
+    events = attach_device_name(parse_messages(raw), lookup)
     unknown = (F.col("route") == "status") & F.col("device").isNull()
     return events.withColumn(
         "error", F.when(unknown, F.concat(F.lit("unknown source "), "src")).otherwise(F.col("error"))
@@ -59,8 +63,10 @@ def write_live(
     the reason and stop nothing. ``on_batch`` sees each batch of accepted events.
     """
 
+    lookup = device_lookup(devices)
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        events = parse_events(batch, devices).persist()
+        events = _parse(batch, lookup).persist()
         try:
             accepted = events.where("route = 'status'")
             outcome = write_points(batch_points(accepted), path, batch_id)

@@ -166,6 +166,17 @@ def test_join_validation(spark):
         joins.join_validated(left, right, ["k"], validate="2:1")
 
 
+def test_large_lookup_is_not_broadcast(spark):
+    facts, lookup = spark.range(100), spark.range(10).withColumn("ts", F.timestamp_seconds("id"))
+    for limit, strategy in ((10, "Broadcast"), (9, "SortMerge")):
+        side = joins.broadcast_if_small(lookup, limit)
+        joined = facts.join(side.hint("merge") if limit == 9 else side, "id")
+        assert joined.count() == 10
+        assert f"{strategy}" in joined._jdf.queryExecution().executedPlan().toString()
+        assert tuples(side) == tuples(lookup)
+    assert joins.broadcast_if_small(lookup.limit(0)).count() == 0
+
+
 def test_filters(spark):
     df = spark.range(0, 600, 60).select(F.timestamp_seconds("id").alias("timestamp"), F.col("id").cast("string").alias("device"))
     both = filters.between(df, "1970-01-01T00:01:00", "1970-01-01T00:03:00+00:00")

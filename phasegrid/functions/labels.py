@@ -36,8 +36,9 @@ def number_text(value: Column) -> Column:
         mantissa, F.when(exponent < 0, "e-").otherwise("e+"), F.format_string("%02d", F.abs(exponent))
     )
     return (
-        F.when(F.isnan(value) | (size == float("inf")), F.lit(None).cast("string"))
-        .when(~text.contains("E"), F.regexp_replace(text, r"\.0$", ""))
+        F.when(text.endswith(".0"), F.left(text, F.length(text) - 2))
+        .when(F.isnan(value) | (size == float("inf")), F.lit(None).cast("string"))
+        .when(~text.contains("E"), text)
         .when((size >= 1e-4) & (size < 1e16), plain)
         .otherwise(scientific)
     )

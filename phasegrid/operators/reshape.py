@@ -6,6 +6,8 @@ Every reshape is one ``stack`` over one scan: no joins and no repeated reads.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -131,12 +133,12 @@ def line_protocol(points: DataFrame) -> DataFrame:
         for name in ("device", "phase", "source")
     ]
     head = F.concat_ws(",", _escape(F.col("measurement"), ", "), *tags)
-    fields = F.concat_ws(
-        ",",
-        *[F.concat(F.lit(f"{f}="), number_text(F.col(f))) for f in sorted(point_fields(points))],
-    )
-    line = F.concat_ws(" ", head, fields, F.unix_seconds("ts").cast("string"))
-    return points.where(fields != "").select(line.alias("line"))
+    names = sorted(point_fields(points))
+    texts = F.concat_ws(",", *[F.concat(F.lit(f"{f}="), number_text(F.col(f))) for f in names])
+    # A point without any finite value has no line.
+    finite = [F.col(f).isNotNull() & ~F.isnan(f) & (F.abs(f) != float("inf")) for f in names]
+    line = F.concat_ws(" ", head, texts, F.unix_seconds("ts").cast("string"))
+    return points.where(reduce(or_, finite)).select(line.alias("line"))
 
 
 def _escape(col: Column, special: str) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from phasegrid.functions import Every, bucket, date_of, iso_weekday, kwh, parse_every, weekday_name
 from phasegrid.operators.filters import _instant, in_range
 from phasegrid.operators.joins import broadcast_if_small
-from phasegrid.operators.reshape import _stack
+from phasegrid.operators.reshape import stack
 from phasegrid.schema import PHASES, WEEKDAYS
 
 _ENERGY = "total_act_energy"
@@ -28,8 +28,8 @@ def energy_sums(readings: DataFrame, keys: Sequence[Column | str], by_phase: boo
     summed = readings.groupBy(*keys).agg(*sums)
     kept = [c for c in summed.columns if c not in {f"_{p}" for p in PHASES}]
     if by_phase:
-        rows = [[F.lit(p), F.col(f"_{p}")] for p in PHASES]
-        return summed.select(*kept, _stack(rows, ["phase", "energy"]))
+        rows = [[f"'{p}'", f"_{p}"] for p in PHASES]
+        return summed.selectExpr(*kept, stack(rows, ["phase", "energy"]))
     return summed.select(*kept, (F.col("_a") + F.col("_b") + F.col("_c")).alias("energy"))
 
 

@@ -12,7 +12,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phasegrid.functions import number_text, to_second
+from phasegrid.functions import number_text
 from phasegrid.schema import (
     LIVE_FIELDS,
     MEASUREMENT,
@@ -25,10 +25,16 @@ from phasegrid.schema import (
 )
 
 PHASE_INDEX = ("timestamp", "device", "file")
+_NOTHING = "CAST(NULL AS DOUBLE)"
 
 
-def _stack(rows: Sequence[Sequence[Column]], names: Sequence[str]) -> Column:
-    return F.stack(F.lit(len(rows)), *[cell for row in rows for cell in row]).alias(*names)
+def stack(rows: Sequence[Sequence[str]], names: Sequence[str]) -> str:
+    """SQL for one output row per entry of ``rows``, whose cells are SQL expressions.
+
+    One expression text instead of hundreds of column objects: building wide ones is slow.
+    """
+    cells = ", ".join(cell for row in rows for cell in row)
+    return f"stack({len(rows)}, {cells}) AS ({', '.join(names)})"
 
 
 def phase_column(readings: DataFrame, measure: str, index: Sequence[str] = PHASE_INDEX) -> DataFrame:
@@ -43,36 +49,30 @@ def phase_table(readings: DataFrame, index: Sequence[str] = PHASE_INDEX) -> Data
 
 
 def _phases(readings: DataFrame, measures: Sequence[str], index: Sequence[str]) -> DataFrame:
-    rows = [[F.lit(p)] + [F.col(f"{p}_{m}") for m in measures] for p in PHASES]
-    return readings.select(*index, _stack(rows, ["phase", *measures]))
+    rows = [[f"'{p}'"] + [f"{p}_{m}" for m in measures] for p in PHASES]
+    return readings.selectExpr(*index, stack(rows, ["phase", *measures]))
 
 
 def nest_readings(readings: DataFrame) -> DataFrame:
     """One row per reading with an array of three phase structs and the neutral scalars."""
-    phases = F.array(
-        *[
-            F.struct(F.lit(p).alias("phase_name"), *[F.col(f"{p}_{m}").alias(m) for m in MEASURES])
-            for p in PHASES
-        ]
-    )
-    return readings.select(
-        "device", "timestamp", phases.alias("phases"), *[f"n_{m}" for m in NEUTRAL_MEASURES]
+    structs = [
+        f"struct('{p}' AS phase_name, {', '.join(f'{p}_{m} AS {m}' for m in MEASURES)})" for p in PHASES
+    ]
+    return readings.selectExpr(
+        "device", "timestamp", f"array({', '.join(structs)}) AS phases", *[f"n_{m}" for m in NEUTRAL_MEASURES]
     )
 
 
 def reading_points(readings: DataFrame) -> DataFrame:
     """Four points per reading: three phases and the neutral line."""
-    rows = [[F.lit(p)] + [F.col(f"{p}_{m}") for m in MEASURES] for p in PHASES]
-    nothing = F.lit(None).cast("double")
-    rows.append(
-        [F.lit("neutral")] + [F.col(f"n_{m}") if m in NEUTRAL_MEASURES else nothing for m in MEASURES]
-    )
-    return readings.select(
-        F.lit(MEASUREMENT).alias("measurement"),
+    rows = [[f"'{p}'"] + [f"{p}_{m}" for m in MEASURES] for p in PHASES]
+    rows.append(["'neutral'"] + [f"n_{m}" if m in NEUTRAL_MEASURES else _NOTHING for m in MEASURES])
+    return readings.selectExpr(
+        f"'{MEASUREMENT}' AS measurement",
         "device",
-        F.lit("csv").alias("source"),
-        to_second(F.col("timestamp")).alias("ts"),
-        _stack(rows, ["phase", *MEASURES]),
+        "'csv' AS source",
+        "date_trunc('second', timestamp) AS ts",
+        stack(rows, ["phase", *MEASURES]),
     ).select("measurement", "device", "source", "phase", "ts", *MEASURES)
 
 
@@ -82,24 +82,16 @@ def event_points(events: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     ``events`` has ``device``, ``timestamp`` and the nested ``status``; ``carry`` names further
     columns to keep. Error lists are not part of a point.
     """
-    nothing = F.lit(None).cast("double")
-    status = F.col("status")
-    rows = [
-        [F.lit(p)] + [status["phases"][i][f] for f in LIVE_FIELDS] for i, p in enumerate(PHASES)
-    ]
-    rows.append(
-        [F.lit("neutral")] + [status["n_current"] if f == "current" else nothing for f in LIVE_FIELDS]
-    )
-    rows.append(
-        [F.lit("total")] + [status[f"total_{f}"] if f in TOTAL_FIELDS else nothing for f in LIVE_FIELDS]
-    )
-    points = events.select(
-        F.lit(MEASUREMENT).alias("measurement"),
+    rows = [[f"'{p}'"] + [f"status.phases[{i}].{f}" for f in LIVE_FIELDS] for i, p in enumerate(PHASES)]
+    rows.append(["'neutral'"] + ["status.n_current" if f == "current" else _NOTHING for f in LIVE_FIELDS])
+    rows.append(["'total'"] + [f"status.total_{f}" if f in TOTAL_FIELDS else _NOTHING for f in LIVE_FIELDS])
+    points = events.selectExpr(
+        f"'{MEASUREMENT}' AS measurement",
         "device",
-        F.lit("live").alias("source"),
-        to_second(F.col("timestamp")).alias("ts"),
+        "'live' AS source",
+        "date_trunc('second', timestamp) AS ts",
         *carry,
-        _stack(rows, ["phase", *LIVE_FIELDS]),
+        stack(rows, ["phase", *LIVE_FIELDS]),
     )
     return points.where((F.col("phase") != "neutral") | F.col("current").isNotNull()).select(
         "measurement", "device", "source", "phase", "ts", *LIVE_FIELDS, *carry
@@ -117,12 +109,11 @@ def field_values(points: DataFrame, fields: Sequence[str] | None = None) -> Data
     Naming the ``fields`` a query needs prunes all others from the scan.
     """
     wanted = list(fields) if fields is not None else point_fields(points)
-    rows = [[F.lit(f), F.col(f)] for f in wanted]
     tags = ["measurement", "device", "source", "phase", "ts"]
-    if len(rows) == 1:
-        long = points.select(*tags, F.lit(wanted[0]).alias("field"), F.col(wanted[0]).alias("value"))
+    if len(wanted) == 1:
+        long = points.selectExpr(*tags, f"'{wanted[0]}' AS field", f"{wanted[0]} AS value")
     else:
-        long = points.select(*tags, _stack(rows, ["field", "value"]))
+        long = points.selectExpr(*tags, stack([[f"'{f}'", f] for f in wanted], ["field", "value"]))
     return long.where(F.col("value").isNotNull())
 
 

@@ -36,6 +36,7 @@ NOW = dt.datetime(2024, 1, 31)
 START, STOP = "2024-01-05 07:30:00", "2024-01-20 16:45:00"
 ZONE = "Europe/Berlin"
 DEVICES = ("dev0", "dev1", "dev2")
+ERROR = "'error'"
 PHASE_SCALE = {"a": 1.0, "b": 0.5, "c": 0.25}
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,22 +48,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as wide readings: 3 devices, 5 files, repeated minutes, some missing values."""
-    value, failed = F.col("value"), F.col("event_type") == "error"
-    measures = [
-        F.when(~(failed & F.lit(p == "c")), value * (scale * (i + 1))).alias(f"{p}_{m}")
-        for p, scale in PHASE_SCALE.items()
-        for i, m in enumerate(MEASURES)
-    ]
-    neutral = [
-        F.when(~failed, value * (0.125 * (i + 1))).alias(f"n_{m}") for i, m in enumerate(NEUTRAL_MEASURES)
-    ]
-    return table(spark, sf_dir, "events").select(
-        F.date_trunc("minute", F.col("ts").cast("timestamp")).alias("timestamp"),
+    measures = []
+    for p, scale in PHASE_SCALE.items():
+        for i, m in enumerate(MEASURES):
+            product = f"value * {scale * (i + 1)}D"
+            measures.append(f"{f'IF(event_type <> {ERROR}, {product}, NULL)' if p == 'c' else product} AS {p}_{m}")
+    for i, m in enumerate(NEUTRAL_MEASURES):
+        measures.append(f"IF(event_type <> {ERROR}, value * {0.125 * (i + 1)}D, NULL) AS n_{m}")
+    return table(spark, sf_dir, "events").selectExpr(
+        "date_trunc('minute', CAST(ts AS TIMESTAMP)) AS timestamp",
         *measures,
-        *neutral,
-        _device().alias("device"),
-        F.col("event_type").alias("file"),
-        F.col("event_id").alias("pos"),
+        "concat('dev', CAST(user_id % 3 AS STRING)) AS device",
+        "event_type AS file",
+        "event_id AS pos",
     )
 
 

@@ -29,7 +29,7 @@ from phasegrid.plans.imports import import_csv
 from phasegrid.schema import LIVE_FIELDS, MEASURES, NEUTRAL_MEASURES, PHASES, WIDE_COLUMNS
 from phasegrid.session import configure, scratch_dir
 from phasegrid.sinks import compact_points, retained, write_lines, write_points
-from phasegrid.sources import DeviceSource, latest_points, load_readings, message_stream, read_points
+from phasegrid.sources import DeviceSource, load_readings, message_stream, read_points
 from phasegrid.streaming import live, stream_windowed_mean, write_live
 
 NOW = dt.datetime(2024, 1, 31)

@@ -212,7 +212,7 @@ _INFO = ", ".join(
 _FILLED = ", ".join(f"coalesce({m}, 0) AS {m}" for m in WIDE_MEASURES)
 
 
-def _origin(start: str, micros: int, groups: str) -> str:
+def _origin(start: str, micros: int) -> str:
     return f"""make_timestamp({start} + {micros} * ((epoch_us(timestamp) - {start}) // {micros}))"""
 
 
@@ -231,8 +231,8 @@ ORACLE_SQL: dict[str, str] = {
     "energy_by_phase": _energy("date_trunc('day', timestamp)", ("phase",)),
     "energy_by_file": _energy("CAST(date_trunc('week', timestamp) AS TIMESTAMP)", ("file", "device", "phase")),
     "energy_start_thursday": _energy(_floor(7 * _DAY)),
-    "energy_from_datapoint": _energy(_origin(_DATAPOINT, 5 * _HOUR, "device")),
-    "energy_from_datapoint_all": _energy(_origin(_DATAPOINT_ALL, 7 * _HOUR, ""), ()),
+    "energy_from_datapoint": _energy(_origin(_DATAPOINT, 5 * _HOUR)),
+    "energy_from_datapoint_all": _energy(_origin(_DATAPOINT_ALL, 7 * _HOUR), ()),
     "energy_local_days": _energy(
         _FROM_LOCAL.format(f"date_trunc('day', {_LOCAL.format('timestamp')})"),
         date=_LOCAL.format("window_start"),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phasegrid.llm import mixing, quality, secrets, urls
+from phasegrid.llm import decontaminate, mixing, pii, quality, secrets, simhash, suffixes, tokens, toxicity, urls
 from phasegrid.llm.texts import bounded_batches
 from phasegrid.session import scratch_dir
 
@@ -19,6 +19,16 @@ URL_RULES = (
 )
 
 
+TOKENIZER = "word_bpe_49k.json"
+END_ID = 1
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return bounded_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -32,11 +42,38 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def count_of(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.compression_bands(docs, drop_text=True)
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = scratch_dir(spark, "tokens")
+    index = tokens.write_sequences(docs, folder, tokenizer_path(), END_ID)
+    return tokens.read_documents(index, folder)
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), drop_text=True)
+
+
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_personal_data(docs, pii.fit(docs), drop_text=True)
+    return found.select(
+        "doc_id",
+        *[count_of("base_spans", kind) for kind in pii.KINDS],
+        span_digest(F.col("base_spans")).alias("base_sha256"),
+        span_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs, drop_text=True).select("doc_id", "size", "source_size", "target", "taken")
@@ -47,28 +84,47 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "block_score")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.find_secrets(docs, scratch_dir(spark, "ledger"), drop_text=True)
     base = ("assign", "access", "hex")
     kinds = F.array(*map(F.lit, base))
 
-    def count(kind: str) -> Column:
-        return F.size(F.filter("findings", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-
     return found.select(
         "doc_id",
-        *map(count, base),
+        *[count_of("findings", kind) for kind in base],
         span_digest(F.filter("findings", lambda s: F.array_contains(kinds, s["kind"]))).alias("base_sha256"),
         span_text(F.col("findings")).alias("spans"),
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    scored = toxicity.score_texts(docs, field, drop_text=True)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), drop_text=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_token_files": op2_token_files,
+    "op3_decontamination": op3_decontamination,
+    "op4_personal_data": op4_personal_data,
     "op5_mixing": op5_mixing,
     "op6_url_filters": op6_url_filters,
+    "op7_simhash": op7_simhash,
     "op8_secret_scans": op8_secret_scans,
+    "op9_toxicity": op9_toxicity,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PIECE_BYTES = 16 << 20
+PIECE_BYTES = 8 << 20
 BATCH_BYTES = 16 << 20
 TEXT = "__text"
 
@@ -44,23 +44,25 @@ def map_texts(
     result: str,
     text: str = "text",
     drop_text: bool = False,
+    given: tuple[str, ...] = (),
 ) -> DataFrame:
     """Append to each row the columns ``result`` (DDL) that ``work`` computes from a bounded run of texts.
 
-    ``work`` gets a large_binary array without nulls and returns one sequence per result column. Rows
-    stay in their tasks.
+    ``work`` gets a large_binary array without nulls, and the columns ``given``, which then go, and
+    returns one sequence per result column. Rows stay in their tasks.
     """
     fields = T.StructType.fromDDL(result)
     names = fields.fieldNames()
-    kept = [c for c in without(df, names) if not (drop_text and c == text)]
+    kept = [c for c in without(df, [*names, *given]) if not (drop_text and c == text)]
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.select(*map(quoted, kept)).schema] + fields.fields)
-    source = df.select(*map(quoted, kept), F.coalesce(F.col(quoted(text)).cast("binary"), F.lit(b"")).alias(TEXT))
+    source = df.select(*map(quoted, [*kept, *given]), F.coalesce(F.col(quoted(text)).cast("binary"), F.lit(b"")).alias(TEXT))
     types = [(f.name, _arrow_type(f.dataType)) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch):
-                made = work(piece.column(len(kept)).cast(pa.large_binary()))
+                extra = [piece.column(len(kept) + i) for i in range(len(given))]
+                made = work(piece.column(piece.num_columns - 1).cast(pa.large_binary()), *extra)
                 columns = [piece.column(i) for i in range(len(kept))]
                 columns += [made[n] if isinstance(made[n], pa.Array) else pa.array(made[n], t) for n, t in types]
                 yield pa.RecordBatch.from_arrays(columns, names=kept + names)

@@ -1,12 +1,13 @@
 """Toxic spans and document scores from a linear-chain conditional random field.
 
-Labels belong to documents; token labels follow from them. Over all labelled training documents Spark
-counts in how many toxic and other ones a word occurs. Words that are much more frequent in the
-toxic ones and occur in a fair share of them mark the toxic tokens of toxic documents; all other
-tokens are clean. A two-state field is fitted to a bounded sample so labelled, by its exact
-gradient from forward-backward. Marginals of a text's tokens give the offending spans, and the highest
-and the sum of them its score, calibrated on the sample and moved to the share of toxic documents in
-the whole training set. Forward-backward runs over a run of texts as one stream, cut into chunks whose
+Labels belong to documents; token labels follow from them. A word is known by its beginnings of four to
+eight characters and, if it is no longer, by itself: its stems. Over all labelled training documents
+Spark counts how often, and in how many documents, each stem occurs in the toxic and in the other ones.
+Stems that are much more frequent in toxic documents and occur in a fair share of them mark the toxic
+tokens of toxic documents; all other tokens are clean. A two-state field is fitted to a bounded sample so
+labelled, by its exact gradient from forward-backward. Marginals of a text's tokens give the
+offending spans, and their noisy-or and sum its score, calibrated on the sample and moved to the
+share of toxic documents in the whole training set. Forward-backward runs over a run of texts as one stream, cut into chunks whose
 transfer matrices are multiplied first, so that texts of any length cost the same per token.
 
 Cases: a null or empty text has no tokens and gets the score of a text without toxic tokens; without
@@ -29,49 +30,73 @@ from phasegrid.llm.scratch import written
 from phasegrid.llm.texts import ALPHANUMERIC_LOWER, TEXT, Words, map_texts, pieces
 
 #: Bounds of the sample the field is fitted to: documents of each class, and their size.
-SAMPLE_DOCUMENTS, SAMPLE_BYTES = 400, 20_000
-#: Words the field knows by their counts; the rest are alike to it.
+SAMPLE_DOCUMENTS, SAMPLE_BYTES = 300, 20_000
+#: Stems the field knows by their counts; the rest are alike to it.
 VOCABULARY = 20_000
-#: A word marks toxic tokens from this log ratio on, if so large a share of toxic documents has it.
-MARK_RATIO, MARK_SHARE = 2.0, 0.05
-ROUNDS = 60
+#: A stem marks toxic tokens from this log ratio on, if so large a share of toxic documents has it.
+MARK_RATIO, MARK_SHARE = 2.5, 0.03
+STEM_SIZES = range(4, 9)
+ROUNDS = 40
 THRESHOLD = 0.7
 SPAN_MARGINAL = 0.5
 
 
 @dataclass
 class Field:
-    """Weights: of a word's log ratio here, before and after; of single words; of steps between states."""
+    """Weights: of a word's log ratio here, before and after; of single stems; of steps between states."""
 
-    words: dict[bytes, int]
+    stems: dict[str, int]
     ratios: np.ndarray
     emission: np.ndarray
     own: np.ndarray
     steps: np.ndarray
     start: float
     scale: np.ndarray
+    shift: float = 0.0
 
+    def known(self, words: list[bytes]) -> np.ndarray:
+        """The number of each word's most telling stem, or -1."""
+        at = np.full(len(words), -1, np.int64)
+        for i, word in enumerate(words):
+            found = [n for n in map(self.stems.get, stems(word.decode(errors="replace"))) if n is not None]
+            if found:
+                at[i] = max(found, key=self.ratios.__getitem__)
+        return at
 
-def word_counts(labelled: DataFrame) -> DataFrame:
-    """word, toxic, clean: how many of the labelled documents (toxic, text) of each class hold the word."""
+
+def stems(word: str) -> list[str]:
+    """Beginnings of a word, and the word with a mark of its end."""
+    made = [word[:n] for n in STEM_SIZES if n <= len(word)]
+    return [*made, word + "."] if len(word) < STEM_SIZES.stop else made
+
+
+def stem_counts(labelled: DataFrame) -> DataFrame:
+    """stem, toxic, clean, toxic_docs: occurrences by class in the labelled documents (toxic, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch):
                 words = Words(piece.column(1).cast(pa.large_binary()), ALPHANUMERIC_LOWER)
-                toxic = np.array(piece.column(0).to_pylist(), np.int64)
-                size = len(words.values)
-                pairs = np.unique(words.owners() * max(size, 1) + words.ids)
-                of, word = pairs // max(size, 1), pairs % max(size, 1)
-                hits = np.bincount(word, toxic[of], minlength=size).astype(np.int64)
-                all_ = np.bincount(word, minlength=size)
-                yield pa.RecordBatch.from_arrays(
-                    [words.values.cast(pa.string()), pa.array(hits), pa.array(all_ - hits)], names=["word", "toxic", "clean"]
-                )
+                toxic = np.array(piece.column(0).to_pylist(), np.int64)[words.owners()]
+                numbers: dict[str, int] = {}
+                distinct = words.values.cast(pa.large_binary()).to_pylist()
+                lists = [[numbers.setdefault(s, len(numbers)) for s in stems(w.decode(errors="replace"))] for w in distinct]
+                sizes = np.array([len(x) for x in lists], np.int64)
+                flat, firsts = np.array([n for x in lists for n in x], np.int64), np.cumsum(sizes) - sizes
+                size = len(numbers)
+                # Occurrences are counted by distinct word first, then shared out to its stems.
+                hits = np.bincount(words.ids, toxic, len(sizes)).astype(np.int64)
+                all_ = np.bincount(words.ids, minlength=len(sizes))
+                by_stem = [np.bincount(flat, np.repeat(x, sizes), size).astype(np.int64) for x in (hits, all_ - hits)]
+                ids, owners = words.ids[toxic == 1], words.owners()[toxic == 1]
+                at = np.repeat(firsts[ids] - np.cumsum(sizes[ids]) + sizes[ids], sizes[ids]) + np.arange(sizes[ids].sum())
+                in_docs = np.unique(np.repeat(owners, sizes[ids]) * max(size, 1) + flat[at]) % max(size, 1) if size else at
+                columns = [pa.array(list(numbers), pa.string()), *map(pa.array, by_stem), pa.array(np.bincount(in_docs, minlength=size))]
+                yield pa.RecordBatch.from_arrays(columns, names=["stem", "toxic", "clean", "toxic_docs"])
 
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias(TEXT)
-    partial = labelled.select("toxic", text).mapInArrow(run, "word string, toxic long, clean long")
-    return partial.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    partial = labelled.select("toxic", text).mapInArrow(run, "stem string, toxic long, clean long, toxic_docs long")
+    return partial.groupBy("stem").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "toxic_docs")])
 
 
 def fit(labelled: DataFrame) -> Field | float:
@@ -81,23 +106,25 @@ def fit(labelled: DataFrame) -> Field | float:
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
         return 1.0 if toxic else 0.0
-    ratio = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
-    counted = word_counts(labelled).filter("toxic + clean > 1").withColumn("ratio", ratio)
+    counted = written(stem_counts(labelled).filter("toxic + clean > 1"), "stems")
+    all_toxic, all_clean = counted.agg(F.sum("toxic"), F.sum("clean")).first()
+    ratio = F.log((F.col("toxic") + 0.5) / ((all_toxic or 0) + 1)) - F.log((F.col("clean") + 0.5) / ((all_clean or 0) + 1))
+    counted = counted.withColumn("ratio", ratio)
     weight = F.abs("ratio") * F.sqrt(F.col("toxic") + F.col("clean"))
-    known = counted.orderBy(weight.desc(), "word").limit(VOCABULARY).collect()
-    words = {row["word"].encode(): i for i, row in enumerate(known)}
+    known = counted.orderBy(weight.desc(), "stem").limit(VOCABULARY).collect()
+    numbers = {row["stem"]: i for i, row in enumerate(known)}
     ratios = np.clip(np.array([row["ratio"] for row in known] + [0.0]), -4.0, 6.0)
     least = max(2.0, MARK_SHARE * toxic)
-    marks = np.array([row["ratio"] > MARK_RATIO and row["toxic"] >= least for row in known] + [False])
+    marks = np.array([row["ratio"] > MARK_RATIO and row["toxic_docs"] >= least for row in known] + [False])
     small = labelled.withColumn("text", F.coalesce("text", F.lit(""))).filter(F.octet_length("text") <= SAMPLE_BYTES)
     order = F.xxhash64("text")
     sample = [small.filter(F.col("toxic") == t).orderBy(order, "text").limit(SAMPLE_DOCUMENTS).toArrow() for t in (0, 1)]
     texts = pa.concat_arrays([c.cast(pa.large_binary()) for part in sample for c in part.column("text").chunks] or [pa.array([], pa.large_binary())])
     labels = np.repeat([0, 1], [part.num_rows for part in sample])
-    field = Field(words, ratios, np.array([-3.0, 0.5, 0.0, 0.0]), np.zeros(len(ratios)), np.array([[0.0, -2.0], [-1.0, 0.0]]), -2.0, np.zeros(3))
+    field = Field(numbers, ratios, np.array([-3.0, 0.5, 0.0, 0.0]), np.zeros(len(ratios)), np.array([[0.0, -2.0], [-1.0, 0.0]]), -2.0, np.zeros(3))
     _train(field, Words(texts, ALPHANUMERIC_LOWER), labels, marks)
-    shift = math.log(toxic / clean) - math.log(max(1, labels.sum()) / max(1, (1 - labels).sum()))
-    _calibrate(field, texts, labels, shift)
+    field.shift = math.log(toxic / clean) - math.log(max(1, labels.sum()) / max(1, (1 - labels).sum()))
+    _calibrate(field, texts, labels)
     return field
 
 
@@ -105,7 +132,7 @@ class _Stream:
     """Emissions of a run of texts and what forward-backward makes of them."""
 
     def __init__(self, field: Field, words: Words):
-        known = np.array([field.words.get(v, -1) for v in words.values.cast(pa.large_binary()).to_pylist()], np.int64)
+        known = field.known(words.values.cast(pa.large_binary()).to_pylist())
         self.ids = known[words.ids] if len(words.ids) else words.ids
         self.ratio = field.ratios[self.ids]
         self.starts = words.starts
@@ -169,7 +196,8 @@ def marginals(field: Field, stream: _Stream) -> np.ndarray:
     if not len(stream.ids):
         return np.zeros(0)
     up, down = forward_backward(stream.emissions(field), stream.first, stream.last, field.steps, field.start)
-    return _probability(up + down)
+    # The sample holds as many toxic documents as others; the shift leads back to their true share.
+    return _probability(up + down + field.shift)
 
 
 def _train(field: Field, words: Words, labels: np.ndarray, marks: np.ndarray) -> None:
@@ -209,17 +237,17 @@ def _train(field: Field, words: Words, labels: np.ndarray, marks: np.ndarray) ->
 
 
 def _evidence(p: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """For each text 1, the highest marginal, and the logarithm of 1 + the sum of the marginals."""
+    """For each text 1, the noisy-or of the marginals as -log(1 - p), and the logarithm of 1 + their sum."""
     filled = np.flatnonzero(np.diff(starts) > 0)
     rows = np.zeros((len(starts) - 1, 3))
     rows[:, 0] = 1.0
     if len(filled):
-        rows[filled, 1] = np.maximum.reduceat(p, starts[filled])
+        rows[filled, 1] = np.minimum(30.0, np.add.reduceat(-np.log1p(-np.minimum(p, 0.9999)), starts[filled]))
         rows[filled, 2] = np.log1p(np.add.reduceat(p, starts[filled]))
     return rows
 
 
-def _calibrate(field: Field, texts: pa.Array, labels: np.ndarray, shift: float) -> None:
+def _calibrate(field: Field, texts: pa.Array, labels: np.ndarray) -> None:
     """Logistic regression of the label on the evidence by Newton steps, moved to the true share."""
     words = Words(texts, ALPHANUMERIC_LOWER)
     x = _evidence(marginals(field, _Stream(field, words)), words.starts)
@@ -228,7 +256,7 @@ def _calibrate(field: Field, texts: pa.Array, labels: np.ndarray, shift: float)
         p = _probability(x @ w)
         hessian = (x * (p * (1 - p))[:, None]).T @ x + np.diag([1e-3, 1e-2, 1e-1])
         w = w + np.clip(np.linalg.solve(hessian, x.T @ (labels - p) - np.array([1e-3, 1e-2, 1e-1]) * w), -2, 2)
-    w[0] += shift
+    w[0] += field.shift
     field.scale = w
 
 

@@ -31,7 +31,7 @@ def parse_age(age: str, now: dt.datetime) -> dt.datetime | None:
         return now - _MAX_AGE
     found = re.fullmatch(r"(\d+)([wdh])", text)
     if found is None:
-        raise ValueError(f"Invalid time delta format: '{age}'")
+        raise ValueError(f"{age!r} is no age: write all, max, or a number of w, d or h")
     return now - dt.timedelta(**{_AGE_UNITS[found[2]]: int(found[1])})
 
 

@@ -30,7 +30,8 @@ def to_second(ts: Column) -> Column:
 
 
 def date_of(ts: Column) -> Column:
-    return F.to_date(ts)
+    """The UTC day, whatever the time zone of the session."""
+    return F.date_from_unix_date(F.floor(F.unix_micros(ts) / F.lit(86_400_000_000)).cast("int"))
 
 
 def iso_weekday(date: Column) -> Column:
@@ -92,10 +93,11 @@ def bucket(
     Clock and day windows are counted from the epoch, week windows from a Monday moved by
     ``shift_days`` (or from the epoch with ``weeks_from_epoch``), month windows from the calendar.
     With ``origin`` they are counted from that timestamp instead. ``tz`` moves day, week and month
-    edges to local midnight.
+    edges to local midnight; shorter windows do not depend on it, so an hour that a clock change
+    repeats stays two windows.
     """
     length = parse_every(every)
-    if tz is not None:
+    if tz is not None and (length.months or length.micros % 86_400_000_000 == 0):
         local = bucket(
             F.from_utc_timestamp(ts, tz),
             length,

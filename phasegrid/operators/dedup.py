@@ -27,15 +27,16 @@ def dedup(
     return readings.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
-def distinct_on(df: DataFrame, *subset: str) -> DataFrame:
-    """Any one row per combination of ``subset``."""
-    return df.dropDuplicates(list(subset))
-
-
 def import_counts(readings: DataFrame) -> DataFrame:
-    """Total rows, unique rows and files per device."""
-    return readings.groupBy("device").agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        F.count_distinct("timestamp").alias("unique_rows"),
-        F.count_distinct("file").alias("n_files"),
+    """Total rows, unique rows and files per device.
+
+    Both distinct counts come from an aggregation of their own with map-side combining; no row is
+    multiplied to count two things at once.
+    """
+    by_time = readings.groupBy("device", "timestamp").agg(F.count(F.lit(1)).alias("n"))
+    rows = by_time.groupBy("device").agg(
+        F.sum("n").alias("total_rows"), F.count_if(F.col("timestamp").isNotNull()).alias("unique_rows")
     )
+    by_file = readings.groupBy("device", "file").agg(F.count(F.lit(1)).alias("n"))
+    files = by_file.groupBy(F.col("device").alias("_device")).agg(F.count("file").alias("n_files"))
+    return rows.join(files, F.col("device").eqNullSafe(F.col("_device"))).drop("_device")

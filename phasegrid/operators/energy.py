@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from phasegrid.functions import Every, bucket, date_of, iso_weekday, kwh, parse_every, weekday_name
 from phasegrid.operators.filters import _instant, in_range
-from phasegrid.operators.joins import broadcast_if_small
 from phasegrid.operators.reshape import stack
 from phasegrid.schema import PHASES, WEEKDAYS
 
@@ -85,7 +84,7 @@ def _with_start(
         return df, bucket(ts, length, shift_days=weekdays.index(start_by), tz=tz)
     first = F.min("timestamp").alias("_origin")
     if keys:
-        df = df.join(broadcast_if_small(origins.groupBy(*keys).agg(first)), list(keys))
+        df = df.join(origins.groupBy(*keys).agg(first), list(keys))
     else:
         df = df.withColumn("_origin", origins.agg(first).scalar())
     origin = F.col("_origin")

@@ -1,4 +1,4 @@
-"""Row filters. All are plain comparisons, so they reach the scan as pushed filters."""
+"""Row filters. All are plain comparisons, which Spark can push into a scan that has the column itself."""
 
 from __future__ import annotations
 
@@ -12,12 +12,16 @@ from phasegrid.functions import parse_age
 
 
 def _instant(value: dt.datetime | str):
-    """A timestamp literal; naive values are UTC."""
+    return F.timestamp_micros(F.lit(epoch_micros(value)))
+
+
+def epoch_micros(value: dt.datetime | str) -> int:
+    """Microseconds since the epoch; naive values are UTC, whatever the time zone of the session."""
     if isinstance(value, str):
         value = dt.datetime.fromisoformat(value)
-    if value.tzinfo is not None:
-        value = value.astimezone(dt.timezone.utc).replace(tzinfo=None)
-    return F.lit(value.isoformat(sep=" ")).cast("timestamp")
+    if value.tzinfo is None:
+        value = value.replace(tzinfo=dt.timezone.utc)
+    return (value - dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)) // dt.timedelta(microseconds=1)
 
 
 def between(
@@ -35,10 +39,17 @@ def between(
 
 
 def in_range(
-    df: DataFrame, start: dt.datetime | str, stop: dt.datetime | str, column: str = "timestamp"
+    df: DataFrame,
+    start: dt.datetime | str | None = None,
+    stop: dt.datetime | str | None = None,
+    column: str = "timestamp",
 ) -> DataFrame:
-    """Rows from ``start`` up to, but not including, ``stop``."""
-    return df.where((F.col(column) >= _instant(start)) & (F.col(column) < _instant(stop)))
+    """Rows from ``start`` up to, but not including, ``stop``; either bound may be missing."""
+    if start is not None:
+        df = df.where(F.col(column) >= _instant(start))
+    if stop is not None:
+        df = df.where(F.col(column) < _instant(stop))
+    return df
 
 
 def not_older_than(df: DataFrame, age: str, now: dt.datetime, column: str = "timestamp") -> DataFrame:

@@ -16,12 +16,11 @@ def require_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     The check is one aggregation on ``keys``. Copies of a key are combined in the map tasks, and a
     join on the same keys reuses its partitioning, so the check adds no shuffle to the join.
     """
-    rest = [c for c in df.columns if c not in keys]
-    row = F.any_value(F.struct(*rest)) if rest else F.lit(None)
-    once = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), row.alias("_row"))
+    # Column by column, so that Spark can hash where all of them have a fixed width.
+    row = [F.any_value(c).alias(c) for c in df.columns if c not in keys]
+    once = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *row)
     message = F.concat(F.lit("Key is not unique: "), F.to_json(F.struct(*keys)))
-    once = once.where(F.assert_true(F.col("_n") == 1, message).isNull())
-    return once.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
+    return once.where(F.assert_true(F.col("_n") == 1, message).isNull()).select(*df.columns)
 
 
 def join_validated(
@@ -42,38 +41,22 @@ def join_validated(
     return left.join(right, list(on), how)
 
 
-# Rows up to which a lookup side is broadcast: some ten megabytes of short records.
-BROADCAST_ROWS = 100_000
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """The rows of ``df`` ready for broadcast if there are at most ``limit``, otherwise ``df`` itself.
-
-    ``df`` is computed now, up to the limit, and not again when it is joined. A side that is larger
-    joins by shuffle.
-    """
-    rows = df.limit(limit + 1).toArrow()
-    if rows.num_rows > limit:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-
-
 def device_lookup(devices: DataFrame) -> DataFrame:
     """``devices`` (src, device), checked to have one row per source, ready to be joined."""
-    return broadcast_if_small(require_unique(devices.select("src", "device"), ["src"]))
+    return require_unique(devices.select("src", "device"), ["src"])
 
 
 def attach_device_name(messages: DataFrame, lookup: DataFrame) -> DataFrame:
     """Add the configured ``device`` name for each ``src``; null for an unknown source.
 
-    ``lookup`` comes from ``device_lookup``. Without a broadcast side the messages would be shuffled
-    by source, and one busy source could hold much of them.
+    ``lookup`` comes from ``device_lookup``. Spark broadcasts it if its statistics say it is small; else
+    adaptive execution splits the partition of a busy source.
     """
     return messages.join(lookup, "src", "left")
 
 
 def attach_device_info(df: DataFrame, device_info: DataFrame, on: str = "device") -> DataFrame:
-    """Add the device-information record as the struct ``device_info``."""
+    """Add the device-information record as the struct ``device_info``; a device with two records fails."""
     record = F.struct(*[c for c in device_info.columns if c != on])
-    lookup = broadcast_if_small(device_info.select(on, record.alias("device_info")))
+    lookup = require_unique(device_info.select(on, record.alias("device_info")), [on])
     return df.join(lookup, on, "left")

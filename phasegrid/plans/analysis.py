@@ -21,9 +21,16 @@ class MeterData:
     rows: DataFrame
 
     @classmethod
-    def load(cls, spark: SparkSession, sources: Sequence[DeviceSource]) -> MeterData:
+    def load(
+        cls,
+        spark: SparkSession,
+        sources: Sequence[DeviceSource],
+        start: dt.datetime | str | None = None,
+        end: dt.datetime | str | None = None,
+    ) -> MeterData:
+        """Readings from ``start`` to ``end``, both included. A value that cannot be read fails the query."""
         configure(spark)
-        return cls(load_readings(spark, sources))
+        return cls(load_readings(spark, sources, start=start, end=end, check_time=True))
 
     @property
     def readings(self) -> DataFrame:

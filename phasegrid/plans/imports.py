@@ -2,27 +2,40 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
+from pyspark.sql import functions as F
 
 from phasegrid.operators.dedup import dedup
 from phasegrid.operators.reshape import reading_points
 from phasegrid.session import configure
-from phasegrid.sinks.points import WriteOutcome, write_points
+from phasegrid.sinks.points import WriteOutcome, new_batch, now_micros, write_points
 from phasegrid.sources.csv import DeviceSource, load_readings
-from phasegrid.sources.points import next_batch
 
 
 def import_csv(
-    spark: SparkSession, sources: Sequence[DeviceSource], path: str, batch_id: int | None = None
+    spark: SparkSession,
+    sources: Sequence[DeviceSource],
+    path: str,
+    batch: str | None = None,
+    start: dt.datetime | str | None = None,
+    end: dt.datetime | str | None = None,
 ) -> WriteOutcome:
     """Read strictly, keep the last row per device and timestamp, write four points per row.
 
-    The import is a new batch of the store unless ``batch_id`` names one to replace.
+    The import is a new batch of the store unless ``batch`` names one to replace. A device whose
+    folder holds no files is left out; if none holds any, nothing is written. ``start`` and ``end``
+    bound the readings that are imported.
     """
     configure(spark)
-    if batch_id is None:
-        batch_id = next_batch(spark, path)
-    readings = dedup(load_readings(spark, sources, strict=True), keep="last")
-    return write_points(reading_points(readings), path, batch_id)
+    written = now_micros()
+    rows = load_readings(spark, sources, strict=True, start=start, end=end, missing="skip")
+    if rows is None:
+        return WriteOutcome(batch or "", 0, 0, 0.0)
+    counted = Observation()
+    readings = dedup(rows, keep="last").observe(counted, F.count(F.lit(1)).alias("rows"))
+    return write_points(
+        reading_points(readings), path, batch or new_batch("import"), written, replace=batch is not None, counted=counted
+    )

@@ -24,13 +24,14 @@ from phasegrid.functions import (
 )
 from phasegrid.operators import dedup as dd
 from phasegrid.operators import energy, filters, joins, messages, quality, reshape
+from phasegrid.plans.analysis import MeterData
 from phasegrid.plans.dashboards import csv_active_energy, live_active_power
 from phasegrid.plans.imports import import_csv
 from phasegrid.schema import LIVE_FIELDS, MEASURES, NEUTRAL_MEASURES, PHASES, WIDE_COLUMNS
 from phasegrid.session import configure, scratch_dir
-from phasegrid.sinks import compact_points, retained, write_lines, write_points
-from phasegrid.sources import DeviceSource, load_readings, message_stream, read_points
-from phasegrid.streaming import live, stream_windowed_mean, write_live
+from phasegrid.sinks import compact_points, ensure_table, retained, write_lines, write_points
+from phasegrid.sources import DeviceSource, latest_points, load_readings, message_stream, read_points
+from phasegrid.streaming import live, read_windowed_mean, stream_windowed_mean, write_live, write_windowed_mean
 
 NOW = dt.datetime(2024, 1, 31)
 START, STOP = "2024-01-05 07:30:00", "2024-01-20 16:45:00"
@@ -180,7 +181,7 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stored(spark: SparkSession, sf_dir: str) -> str:
     path = scratch_dir(spark, "points")
-    write_points(_points(spark, sf_dir), path, 0)
+    write_points(_points(spark, sf_dir), path)
     return path
 
 
@@ -323,16 +324,63 @@ def points_table(spark, sf_dir):
     return plain(reshape.field_values(read_points(spark, _stored(spark, sf_dir))))
 
 
+def _doubled(points: DataFrame) -> DataFrame:
+    return points.select(*[(F.col(c) * 2).alias(c) if c in MEASURES else F.col(c) for c in points.columns])
+
+
 def points_compacted(spark, sf_dir):
-    """Two batches over the same points, the second with doubled values for phase a and neutral."""
-    path, target = _stored(spark, sf_dir), scratch_dir(spark, "compacted")
-    points = _points(spark, sf_dir).where("phase IN ('a', 'neutral')")
-    doubled = points.select(*[
-        (F.col(c) * 2).alias(c) if c in MEASURES else F.col(c) for c in points.columns
-    ])
-    write_points(doubled, path, 1)
-    compact_points(spark, path, target)
-    return plain(reshape.field_values(read_points(spark, target)))
+    """Two batches over the same points, the second with doubled values for phase a and neutral, merged."""
+    path = _stored(spark, sf_dir)
+    write_points(_doubled(_points(spark, sf_dir).where("phase IN ('a', 'neutral')")), path)
+    compact_points(spark, path, dt.date(2100, 1, 1))
+    return plain(reshape.field_values(read_points(spark, path)))
+
+
+def store_two_streams(spark, sf_dir):
+    """Two streams with checkpoints of their own write the messages of different devices into one store."""
+    path = scratch_dir(spark, "stream")
+    for part in (0, 1):
+        folder = scratch_dir(spark, "messages")
+        mine = F.pmod(F.xxhash64("value"), F.lit(2)) == part
+        write_lines(status_messages(spark, sf_dir).select("value").where(mine), folder)
+        _run_stream(spark, folder, path, f"{path}-{part}")
+    return plain(reshape.field_values(read_points(spark, path), LIVE_FIELDS))
+
+
+def store_compact_then_stream(spark, sf_dir):
+    """A stream writes, the store is compacted, the same stream goes on with its next micro-batches."""
+    folder, path = scratch_dir(spark, "messages"), scratch_dir(spark, "stream")
+    late = F.pmod(F.xxhash64("value"), F.lit(3)) == 0
+    messages = status_messages(spark, sf_dir).select("value")
+    messages.where(~late).write.mode("append").text(folder)
+    _run_stream(spark, folder, path, path)
+    compact_points(spark, path, dt.date(2100, 1, 1))
+    messages.where(late).write.mode("append").text(folder)
+    _run_stream(spark, folder, path, path)
+    points = reshape.field_values(read_points(spark, path), LIVE_FIELDS)
+    return points.groupBy("device", "phase", "field").agg(F.count(F.lit(1)).alias("n"))
+
+
+def store_rewrite_fewer_days(spark, sf_dir):
+    """A batch is written again under its name with the first half of its time only."""
+    path = scratch_dir(spark, "points")
+    points = _points(spark, sf_dir)
+    write_points(points, path, "import-1")
+    write_points(points.where("ts < TIMESTAMP '2024-01-16 00:00:00'"), path, "import-1")
+    return plain(reshape.field_values(read_points(spark, path)))
+
+
+def store_open_range(spark, sf_dir):
+    """Points from a start on, without an end."""
+    return plain(reshape.field_values(read_points(spark, _stored(spark, sf_dir), start="2024-01-16")))
+
+
+def points_registered(spark, sf_dir):
+    """The store read through its registered table."""
+    path = _stored(spark, sf_dir)
+    name = f"points_{path.rsplit('-', 1)[-1]}"
+    ensure_table(spark, name, path)
+    return plain(reshape.field_values(latest_points(spark.table(name))))
 
 
 def retention(spark, sf_dir):
@@ -489,9 +537,9 @@ def scalar_functions(spark, sf_dir):
     )
 
 
-def _csv_sources(spark: SparkSession, sf_dir: str) -> list[DeviceSource]:
+def _csv_sources(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> list[DeviceSource]:
     path = scratch_dir(spark, "csv")
-    rows = first_readings(spark, sf_dir)
+    rows = first_readings(spark, sf_dir) if rows is None else rows
     rows = rows.na.fill(0.0).select(
         F.unix_seconds("timestamp").alias("timestamp"), *WIDE_COLUMNS[1:], "device"
     )
@@ -499,34 +547,73 @@ def _csv_sources(spark: SparkSession, sf_dir: str) -> list[DeviceSource]:
     return [DeviceSource(f"{path}/device={d}", d) for d in DEVICES]
 
 
+def _overlapping_sources(spark: SparkSession, sf_dir: str) -> list[DeviceSource]:
+    """Two files per device that hold all its readings between them, those of even minutes twice.
+
+    The second file, later by name, has its columns in reverse order and twice the values.
+    """
+    path = scratch_dir(spark, "csv")
+    rows = first_readings(spark, sf_dir).na.fill(0.0).select(
+        F.unix_seconds("timestamp").alias("timestamp"), *WIDE_COLUMNS[1:], "device"
+    )
+    minute = (F.col("timestamp") / 60).cast("bigint")
+    both = minute % 2 == 0
+    twice = [(F.col(c) * 2).alias(c) for c in WIDE_COLUMNS[1:]]
+    for d in DEVICES:
+        mine = rows.where(F.col("device") == d).drop("device").coalesce(1)
+        mine.where(both | (minute % 4 == 1)).write.option("header", True).csv(f"{path}/a/{d}")
+        second = mine.where(both | (minute % 4 == 3)).select("timestamp", *twice)
+        second.select(*reversed(second.columns)).write.option("header", True).csv(f"{path}/b/{d}")
+    return [DeviceSource(f"{path}/{part}/{d}", d) for d in DEVICES for part in "ab"]
+
+
 def csv_roundtrip(spark, sf_dir):
     rows = load_readings(spark, _csv_sources(spark, sf_dir), strict=True)
     return plain(rows.drop("file", "pos"))
 
 
+def csv_analysis(spark, sf_dir):
+    """Overlapping files with different headers: the first file of a device that has a timestamp counts."""
+    data = MeterData.load(spark, _overlapping_sources(spark, sf_dir))
+    which = F.regexp_extract("file", "/([ab])/[^/]*/[^/]*$", 1)
+    return plain(data.readings.withColumn("file", which))
+
+
+def csv_keep_last(spark, sf_dir):
+    path = scratch_dir(spark, "imported")
+    import_csv(spark, _overlapping_sources(spark, sf_dir), path)
+    return plain(reshape.field_values(read_points(spark, path)))
+
+
+def csv_range(spark, sf_dir):
+    """The energy of a time range, read from CSV with the range in the scan."""
+    data = MeterData.load(spark, _csv_sources(spark, sf_dir), start=START, end=STOP)
+    return plain(data.total_energy("1d").drop("window_start"), total_act_energy_kwh=9)
+
+
 def csv_import(spark, sf_dir):
     path = scratch_dir(spark, "imported")
     import_csv(spark, _csv_sources(spark, sf_dir), path)
     return plain(reshape.field_values(read_points(spark, path)))
 
 
-def stream_points(spark, sf_dir):
-    folder, path = _message_folder(spark, sf_dir), scratch_dir(spark, "stream")
+def _run_stream(spark: SparkSession, folder: str, path: str, checkpoint: str) -> None:
     query = write_live(
-        message_stream(spark, folder), device_names(spark), path, f"{path}-rejected", f"{path}-checkpoint",
+        message_stream(spark, folder), device_names(spark), path, f"{path}-rejected", f"{checkpoint}-checkpoint",
         trigger={"availableNow": True},
     )
     query.awaitTermination()
+
+
+def stream_points(spark, sf_dir):
+    folder, path = _message_folder(spark, sf_dir), scratch_dir(spark, "stream")
+    _run_stream(spark, folder, path, path)
     return plain(reshape.field_values(read_points(spark, path), LIVE_FIELDS))
 
 
 def stream_rejected(spark, sf_dir):
     folder, path = _message_folder(spark, sf_dir), scratch_dir(spark, "stream")
-    query = write_live(
-        message_stream(spark, folder), device_names(spark), path, f"{path}-rejected", f"{path}-checkpoint",
-        trigger={"availableNow": True},
-    )
-    query.awaitTermination()
+    _run_stream(spark, folder, path, path)
     rejected = spark.read.parquet(f"{path}-rejected")
     return rejected.groupBy("error").agg(F.count(F.lit(1)).alias("n"))
 
@@ -536,14 +623,8 @@ def stream_mean(spark, sf_dir):
     means = stream_windowed_mean(
         message_stream(spark, folder), device_names(spark), "act_power", "6 hours", "1 hour", phase=PHASES
     )
-    query = (
-        means.writeStream.format("parquet")
-        .option("checkpointLocation", f"{path}-checkpoint")
-        .trigger(availableNow=True)
-        .start(path)
-    )
-    query.awaitTermination()
-    return plain(spark.read.schema(means.schema).parquet(path), value=6)
+    write_windowed_mean(means, path, f"{path}-checkpoint", {"availableNow": True}).awaitTermination()
+    return plain(read_windowed_mean(spark, path), value=6)
 
 
 QUERIES: dict[str, Query] = {
@@ -593,6 +674,11 @@ QUERIES: dict[str, Query] = {
     "line_protocol_file": line_protocol_file,
     "points_table": points_table,
     "points_compacted": points_compacted,
+    "points_registered": points_registered,
+    "store_open_range": store_open_range,
+    "store_rewrite_fewer_days": store_rewrite_fewer_days,
+    "store_compact_then_stream": store_compact_then_stream,
+    "store_two_streams": store_two_streams,
     "points_latest": points_latest,
     "retention": retention,
     "windowed_mean": windowed_mean,
@@ -611,6 +697,9 @@ QUERIES: dict[str, Query] = {
     "scalar_functions": scalar_functions,
     "csv_roundtrip": csv_roundtrip,
     "csv_import": csv_import,
+    "csv_range": csv_range,
+    "csv_keep_last": csv_keep_last,
+    "csv_analysis": csv_analysis,
     "stream_points": stream_points,
     "stream_rejected": stream_rejected,
     "stream_mean": stream_mean,

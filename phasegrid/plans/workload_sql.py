@@ -212,6 +212,10 @@ _INFO = ", ".join(
 _FILLED = ", ".join(f"coalesce({m}, 0) AS {m}" for m in WIDE_MEASURES)
 
 
+def _scaled(factor: str) -> str:
+    return ", ".join(f"coalesce({m}, 0) * ({factor}) AS {m}" for m in WIDE_MEASURES)
+
+
 def _origin(start: str, micros: int) -> str:
     return f"""make_timestamp({start} + {micros} * ((epoch_us(timestamp) - {start}) // {micros}))"""
 
@@ -257,6 +261,10 @@ FROM long GROUP BY timestamp""",
         "date_trunc('day', timestamp)", keep_start=False,
         with_=f"WITH {_READINGS}, {_first(where=f'timestamp BETWEEN {_START} AND {_STOP}')}, {_ENERGY_LONG}",
     ),
+    "csv_range": _energy(
+        "date_trunc('day', timestamp)", keep_start=False,
+        with_=f"WITH {_READINGS}, {_first(where=f'timestamp BETWEEN {_START} AND {_STOP}')}, {_ENERGY_LONG}",
+    ),
     "dedup_first": f"{_WITH_FIRST} SELECT * FROM first_rows",
     "dedup_last": f"WITH {_READINGS}, {_first(order='file DESC, pos DESC')} SELECT * FROM first_rows",
     "dedup_shipments": f"WITH {_SHIPMENTS}, {_first('shipments', 'file, l_orderkey, l_linenumber')} SELECT * FROM first_rows",
@@ -343,9 +351,17 @@ SELECT *, make_timestamp(ts * 1000000) AS timestamp FROM blocks""",
   points AS ({_csv_points('filled')}) {_field_values('points', MEASURES)}""",
     "stream_points": _LATEST,
     "stream_rejected": f"WITH {_ROUTED} SELECT error, count(*) AS n FROM routed WHERE error IS NOT NULL GROUP BY error",
-    "stream_mean": f"""{_LIVE}, bounds AS (SELECT max(date_trunc('second', ts)) - INTERVAL 1 HOUR AS closed FROM accepted),
-  means AS (SELECT measurement, device, source, phase, 'act_power' AS field,
-    make_timestamp({6 * _HOUR} * (epoch_us(ts) // {6 * _HOUR} + 1)) AS time, round(avg(act_power), 6) AS value
-  FROM points WHERE phase IN ('a', 'b', 'c') GROUP BY ALL)
-SELECT * FROM means WHERE time <= (SELECT closed FROM bounds)""",
+    "stream_mean": f"""{_LIVE_LATEST} SELECT measurement, device, source, phase, field,
+    make_timestamp({6 * _HOUR} * (epoch_us(ts) // {6 * _HOUR} + 1)) AS time, round(avg(value), 6) AS value
+  FROM long WHERE field = 'act_power' AND phase IN ('a', 'b', 'c') GROUP BY ALL""",
+    "csv_analysis": f"""{_WITH_FIRST} SELECT timestamp, {_scaled("CASE WHEN minute % 4 = 3 THEN 2 ELSE 1 END")}, device,
+  CASE WHEN minute % 4 = 3 THEN 'b' ELSE 'a' END AS file FROM (SELECT *, epoch_us(timestamp) // 60000000 AS minute FROM first_rows)""",
+    "csv_keep_last": f"""{_WITH_FIRST}, filled AS (SELECT timestamp, {_scaled("CASE WHEN minute % 4 = 1 THEN 1 ELSE 2 END")}, device
+    FROM (SELECT *, epoch_us(timestamp) // 60000000 AS minute FROM first_rows)),
+  points AS ({_csv_points('filled')}) {_field_values('points', MEASURES)}""",
+    "store_two_streams": _LATEST,
+    "store_compact_then_stream": f"{_LIVE_LATEST} SELECT device, phase, field, count(*) AS n FROM long GROUP BY ALL",
+    "store_rewrite_fewer_days": f"{_POINTS}, early AS (SELECT * FROM points WHERE ts < TIMESTAMP '2024-01-16') {_field_values('early', MEASURES)}",
+    "store_open_range": f"{_POINTS}, later AS (SELECT * FROM points WHERE ts >= TIMESTAMP '2024-01-16') {_field_values('later', MEASURES)}",
+    "points_registered": _POINTS_LONG,
 }

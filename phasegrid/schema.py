@@ -58,16 +58,17 @@ POINT_SCHEMA = T.StructType(
     ]
     + [T.StructField(name, T.DoubleType()) for name in POINT_FIELDS]
     + [
+        T.StructField("written", T.LongType()),
         T.StructField("source", T.StringType()),
         T.StructField("date", T.DateType()),
-        T.StructField("batch_id", T.LongType()),
+        T.StructField("batch", T.StringType()),
     ]
 )
-POINT_PARTITIONS = ("source", "date", "batch_id")
+POINT_PARTITIONS = ("source", "date", "batch")
 
 
 def check_measure(name: str) -> str:
     """Return ``name`` if it is a phase measure, otherwise fail while the plan is built."""
     if name not in MEASURES:
-        raise ValueError(f"Unsupported column '{name}'. Use one of {list(MEASURES)}")
+        raise ValueError(f"{name!r} is no phase measure; these are: {', '.join(MEASURES)}")
     return name

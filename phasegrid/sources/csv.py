@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from phasegrid.functions import epoch_to_timestamp
-from phasegrid.operators.joins import BROADCAST_ROWS
+from phasegrid.operators.filters import epoch_micros
 from phasegrid.schema import CSV_SCHEMA
 
 _SCHEME = "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?"
@@ -29,16 +30,27 @@ class DeviceSource:
 
 
 def load_readings(
-    spark: SparkSession, sources: Sequence[DeviceSource], strict: bool = False, any_order: bool = True
-) -> DataFrame:
+    spark: SparkSession,
+    sources: Sequence[DeviceSource],
+    strict: bool = False,
+    any_order: bool = True,
+    start: dt.datetime | str | None = None,
+    end: dt.datetime | str | None = None,
+    missing: str = "fail",
+    check_time: bool = False,
+) -> DataFrame | None:
     """All rows of all devices: the CSV columns, ``device``, ``file`` and ``pos``.
 
     ``strict`` fails the query on any missing or unparsable value, as an import must; otherwise
-    such a value is null. ``any_order`` allows files whose columns stand in another order; it costs
-    one short read per file. Without it Spark checks each header during the scan.
+    such a value is null. ``check_time`` makes only an unreadable timestamp an error, and a file
+    without rows, both naming the file. ``any_order`` allows files whose columns stand in another
+    order; it costs one short read per file. Without it Spark checks each header during the scan.
+    ``start`` and ``end``, both included, reach the scan as bounds of the raw timestamp.
+    ``missing`` tells what a device without files means: ``fail``, or ``skip``, which leaves it out and
+    gives None if no device has any.
     """
     if not sources:
-        raise ValueError("No devices given")
+        raise ValueError("At least one device folder is needed")
     folders = defaultdict(list)
     paths: dict[str, str] = {}
     for source in sources:
@@ -46,25 +58,36 @@ def load_readings(
         if paths.setdefault(folder, str(source.data_dir)) != str(source.data_dir):
             raise ValueError(f"Data dirs differ only in scheme or host: {folder}")
         folders[folder].append(source.device)
-    roots = list(paths.values())
+    if missing == "skip":
+        paths = {folder: root for folder, root in paths.items() if _exists(spark, root)}
+        folders = {folder: folders[folder] for folder in paths}
+        if not paths:
+            return None
     scan = spark.read.option("pathGlobFilter", "*.csv").format("text")
-    files = scan.load([_literal(d) for d in roots]).inputFiles()
+    files = scan.load([_literal(d) for d in paths.values()]).inputFiles()
     found = {_parent(f) for f in files}
-    for folder in folders:
+    for folder, devices in list(folders.items()):
         if folder not in found:
-            raise ValueError(f"Data dir {folder} does not contain CSV files")
-    rows = _scan(spark, roots, files, strict, any_order)
-    if len(sources) == 1:
-        return rows.withColumn("device", F.lit(sources[0].device)).select(*_columns())
+            if missing != "skip":
+                raise ValueError(f"No CSV files for {', '.join(map(repr, devices))} in {folder}")
+            del folders[folder], paths[folder]
+    if not folders:
+        return None
+    rows = _scan(spark, list(paths.values()), files, strict, any_order, start=start, end=end, check_time=check_time)
     pairs = [(folder, device) for folder, devices in folders.items() for device in devices]
+    if len(pairs) == 1:
+        return rows.withColumn("device", F.lit(pairs[0][1])).select(*_columns())
     dim = spark.createDataFrame(pairs, "_folder string, device string")
-    if len(pairs) <= BROADCAST_ROWS:
-        dim = F.broadcast(dim)
     name = F.substring_index("file", "/", -1)
     folder = F.left(F.col("file"), F.length("file") - F.length(name) - 1)
     return rows.withColumn("_folder", folder).join(dim, "_folder").select(*_columns())
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def read_csv_dir(spark: SparkSession, source: DeviceSource, strict: bool = False) -> DataFrame:
     """All rows of the ``*.csv`` files directly in one device folder."""
     return load_readings(spark, [source], strict)
@@ -80,7 +103,7 @@ def load_csv_files(
 ) -> DataFrame:
     """All rows of the given files, with provenance."""
     if not files:
-        raise ValueError("No input files")
+        raise ValueError("At least one file is needed")
     rows = _scan(spark, files, list(files), strict, any_order, schema)
     return rows.withColumn("device", F.lit(device)).select(*_columns(schema))
 
@@ -96,13 +119,16 @@ def _scan(
     strict: bool,
     any_order: bool,
     schema: T.StructType = CSV_SCHEMA,
+    **bounds,
 ) -> DataFrame:
     layouts = header_layouts(spark, files, schema) if any_order else {tuple(schema.names): None}
+    if bounds.get("check_time"):
+        _require_rows(spark, files)
     if list(layouts) == [tuple(schema.names)]:
         # The usual case: scan whole folders instead of naming every file.
-        return _read(spark, paths, schema, schema, strict)
+        return _read(spark, paths, schema, schema, strict, **bounds)
     parts = [
-        _read(spark, members, T.StructType([schema[c] for c in header]), schema, strict)
+        _read(spark, [_decoded(m) for m in members], T.StructType([schema[c] for c in header]), schema, strict, **bounds)
         for header, members in layouts.items()
     ]
     rows = parts[0]
@@ -111,8 +137,29 @@ def _scan(
     return rows
 
 
+def _require_rows(spark: SparkSession, files: Sequence[str]) -> None:
+    """Fail on a file that holds a header and nothing else; short files alone are looked at."""
+    lengths = spark.read.format("binaryFile").load([_literal(_decoded(f)) for f in files]).select("path", "length")
+    short = lengths.where(F.col("length") <= _HEADER_BYTES).select("path")
+    suspects = [row["path"] for row in short.collect()]
+    if not suspects:
+        return
+    lines = spark.read.text([_literal(_decoded(f)) for f in suspects]).where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("file"))
+    full = {row["file"] for row in lines.groupBy("file").count().where("count > 1").collect()}
+    for file in sorted(suspects):
+        if _plain(file) not in {_plain(f) for f in full}:
+            raise ValueError(f"No rows in CSV file {_plain(file)}")
+
+
 def _read(
-    spark: SparkSession, paths: Sequence[str], layout: T.StructType, schema: T.StructType, strict: bool
+    spark: SparkSession,
+    paths: Sequence[str],
+    layout: T.StructType,
+    schema: T.StructType,
+    strict: bool,
+    start: dt.datetime | str | None = None,
+    end: dt.datetime | str | None = None,
+    check_time: bool = False,
 ) -> DataFrame:
     scan = (
         spark.read.schema(layout)
@@ -122,11 +169,23 @@ def _read(
         .option("mode", "FAILFAST" if strict else "PERMISSIVE")
         .csv([_literal(p) for p in paths])
     )
+    # Bounds of the raw column come before anything that would keep them from the scan.
+    if start is not None:
+        scan = scan.where(F.col("timestamp") >= -(-epoch_micros(start) // 1_000_000))
+    if end is not None:
+        scan = scan.where(F.col("timestamp") <= epoch_micros(end) // 1_000_000)
     if strict:
-        # Naming every column keeps them all in the scan, so every value is parsed and checked.
+        # Naming every column keeps them all in the scan, so every value is parsed and checked. The
+        # text of the error is put together only for a row that lacks something.
+        anything = F.lit(False)
+        for c in schema.names:
+            anything = anything | F.col(c).isNull()
         empty = F.concat_ws(", ", *[F.when(F.col(c).isNull(), F.lit(c)) for c in schema.names])
-        message = F.concat(F.lit("Missing value of "), empty)
-        scan = scan.where(F.assert_true(empty == "", message).isNull())
+        message = F.concat(F.lit("Value missing: "), empty, F.lit(" in "), _file_path())
+        scan = scan.where(F.when(anything, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
+    elif check_time:
+        message = F.concat(F.lit("No time in a row of "), _file_path())
+        scan = scan.where(F.when(F.col("timestamp").isNull(), F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
     # A split is read in order by one task, so split start and row number give the file order.
     position = F.struct(
         F.col("_metadata.file_block_start").alias("split"),
@@ -155,27 +214,62 @@ def header_layouts(
 ) -> dict[tuple[str, ...], list[str]]:
     """Files by the column order in their header.
 
-    The tasks read the first line of each file and no more. An empty file, or a header that is not
-    exactly the expected set of columns, is an error that names the file.
+    The tasks read the first line of each file and no more, or, from a store that only Spark can
+    open, Spark's own reader does. An empty file, or a header that is not exactly the expected set
+    of columns, is an error that names the file. Only the different headers reach the driver, and
+    the names of the files whose columns stand in another order than the schema's.
     """
-    paths = spark.createDataFrame([(f,) for f in files], "file string")
-    slots = max(1, min(len(files) // 16, spark.sparkContext.defaultParallelism * 4))
-    headers = paths.repartition(slots).mapInPandas(_first_lines, "file string, header string")
-    groups = headers.groupBy("header").agg(F.collect_list("file").alias("files")).collect()
+    headers = _headers(spark, files)
+    kinds = headers.groupBy("header").agg(F.min("file").alias("example")).collect()
     layouts: dict[tuple[str, ...], list[str]] = {}
-    expected = set(schema.names)
-    for row in groups:
+    expected, texts = set(schema.names), defaultdict(list)
+    for row in kinds:
         if row.header is None:
-            raise ValueError(f"CSV file is empty: {sorted(row.files)[0]}")
+            raise ValueError(f"CSV file without a header: {row.example}")
         names = tuple(name.strip().strip('"') for name in row.header.split(","))
         if set(names) != expected or len(names) != len(expected):
-            raise ValueError(
-                f"Unexpected columns {sorted(expected ^ set(names))} in {sorted(row.files)[0]}"
-            )
-        layouts.setdefault(names, []).extend(row.files)
+            raise ValueError(f"Header of {row.example} differs in {sorted(expected ^ set(names))}")
+        texts[names].append(row.header)
+    if set(texts) == {tuple(schema.names)}:
+        return {tuple(schema.names): []}
+    other = [h for names, group in texts.items() if names != tuple(schema.names) for h in group]
+    rows = headers.where(F.col("header").isin(other)).collect()
+    placed = {row.file for row in rows}
+    for names, group in texts.items():
+        layouts[names] = [r.file for r in rows if r.header in group]
+    if tuple(schema.names) in layouts:
+        layouts[tuple(schema.names)] = [f for f in files if f not in placed]
     return layouts
 
 
+#: Files a task opens one after another to read their headers.
+_FILES_A_TASK = 64
+#: A file with a row is longer than this.
+_HEADER_BYTES = 4096
+
+
+def _headers(spark: SparkSession, files: Sequence[str]) -> DataFrame:
+    """file, header: the first line of each file, null for an empty one."""
+    paths = spark.createDataFrame([(f,) for f in files], "file string")
+    if all(_opens(f) for f in files):
+        return paths.repartition(max(1, len(files) // _FILES_A_TASK)).mapInPandas(_first_lines, "file string, header string")
+    lines = spark.read.text([_literal(_decoded(f)) for f in files]).select(
+        _file_path().alias("_file"),
+        F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row")).alias("at"),
+        "value",
+    )
+    first = lines.groupBy("_file").agg(F.min_by("value", "at").alias("header"))
+    header = F.nullif(F.rtrim("header"), F.lit(""))
+    plain = spark.createDataFrame([(f, _plain(f)) for f in files], "file string, _plain string")
+    return plain.join(first, F.col("_plain") == F.col("_file"), "left").select("file", header.alias("header"))
+
+
+def _opens(path: str) -> bool:
+    """Whether the tasks can open the path themselves: a local one, or one of a store Arrow knows by this name."""
+    scheme = re.match("^([a-zA-Z][a-zA-Z0-9+.-]*):", path)
+    return scheme is None or scheme[1].lower() in ("file", "s3", "gs")
+
+
 def _first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyarrow import fs
 
@@ -195,12 +289,6 @@ def _first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.assign(header=[first_line(f) for f in batch["file"]])
 
 
-def files_without_rows(spark: SparkSession, files: Sequence[str], stats: DataFrame) -> DataFrame:
-    """Files that have a header but no data row, and so no line in ``file_stats``."""
-    paths = spark.createDataFrame([(_plain(f),) for f in files], "file string")
-    return paths.join(stats, "file", "left_anti")
-
-
 def _plain(path: str) -> str:
     """A path without scheme and host, as it appears in ``file``."""
     path = str(path)
@@ -209,6 +297,12 @@ def _plain(path: str) -> str:
     return path.rstrip("/") or "/"
 
 
+def _decoded(uri: str) -> str:
+    """A listed file's address as a path to load: listings encode characters, paths do not."""
+    scheme = re.match(_SCHEME, uri)
+    return uri if scheme is None else scheme[0] + unquote(uri[scheme.end() :])
+
+
 def _parent(path: str) -> str:
     return _plain(path).rsplit("/", 1)[0]
 

@@ -5,11 +5,10 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phasegrid.operators.filters import in_range
+from phasegrid.operators.filters import epoch_micros, in_range
 from phasegrid.operators.reshape import point_fields
 from phasegrid.schema import POINT_FIELDS, POINT_KEY, POINT_SCHEMA
 
@@ -19,18 +18,7 @@ def point_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(POINT_SCHEMA).parquet(path)
 
 
-def next_batch(spark: SparkSession, path: str) -> int:
-    """The first batch number above those in the store; 0 for a store that does not exist yet."""
-    try:
-        last = point_log(spark, path).agg(F.max("batch_id")).first()[0]
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        last = None
-    return 0 if last is None else last + 1
-
-
-def latest_points(points: DataFrame, order: Column | str = "batch_id") -> DataFrame:
+def latest_points(points: DataFrame, order: Column | str = "written") -> DataFrame:
     """One row per series and second; each field has its latest non-null value.
 
     With ``order`` of fixed width this is one hash aggregation with map-side combining.
@@ -51,13 +39,18 @@ def read_points(
     stop: dt.datetime | str | None = None,
     fields: Sequence[str] = POINT_FIELDS,
 ) -> DataFrame:
-    """Current points in ``[start, stop)``, reading only ``fields``.
+    """Current points in ``[start, stop)``, reading only ``fields``; either bound may be missing.
 
-    The time range is repeated as a range of the ``date`` partition column, so that Spark skips the
+    Each bound is repeated as a bound of the ``date`` partition column, so that Spark skips the
     folders outside it.
     """
-    log = point_log(spark, path)
-    if start is not None and stop is not None:
-        days = [F.lit(str(x)).cast("timestamp").cast("date") for x in (start, stop)]
-        log = in_range(log, start, stop, column="ts").where(F.col("date").between(*days))
-    return latest_points(log.select(*POINT_KEY, "batch_id", *fields))
+    log = in_range(point_log(spark, path), start, stop, column="ts")
+    if start is not None:
+        log = log.where(F.col("date") >= F.lit(_day(start)))
+    if stop is not None:
+        log = log.where(F.col("date") <= F.lit(_day(stop)))
+    return latest_points(log.select(*POINT_KEY, "written", *fields))
+
+
+def _day(value: dt.datetime | str) -> dt.date:
+    return (dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=epoch_micros(value))).date()

@@ -1,5 +1,19 @@
 """Structured Streaming pipelines."""
 
-from phasegrid.streaming.live import live_points, stop, stream_windowed_mean, write_live
+from phasegrid.streaming.live import (
+    live_points,
+    read_windowed_mean,
+    stop,
+    stream_windowed_mean,
+    write_live,
+    write_windowed_mean,
+)
 
-__all__ = ["live_points", "stop", "stream_windowed_mean", "write_live"]
+__all__ = [
+    "live_points",
+    "read_windowed_mean",
+    "stop",
+    "stream_windowed_mean",
+    "write_live",
+    "write_windowed_mean",
+]

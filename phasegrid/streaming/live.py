@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from phasegrid.operators.filters import with_tags
 from phasegrid.operators.joins import attach_device_name, device_lookup
 from phasegrid.operators.messages import parse_messages
-from phasegrid.operators.reshape import event_points, field_values
-from phasegrid.sinks.points import WriteOutcome, write_points
+from phasegrid.operators.reshape import event_points
+from phasegrid.sinks.points import WriteOutcome, now_micros, write_points
 from phasegrid.sources.points import latest_points
 
 FLUSH_INTERVAL = "1 second"
@@ -23,7 +24,13 @@ def parse_events(raw: DataFrame, devices: DataFrame, text: str = "value") -> Dat
 
     A message from a source that is not in ``devices`` becomes an error row.
     """
-    return _parse(raw.withColumnRenamed(text, "value"), device_lookup(devices))
+    return _parse(raw.withColumnRenamed(text, "value"), _lookup(devices))
+
+
+def _lookup(devices: DataFrame) -> DataFrame:
+    """The device of each source, and the source's place among those of its device."""
+    rank = F.row_number().over(Window.partitionBy("device").orderBy("src"))
+    return device_lookup(devices).withColumn("source_rank", rank)
 
 
 def _parse(raw: DataFrame, lookup: DataFrame) -> DataFrame:
@@ -34,17 +41,26 @@ def _parse(raw: DataFrame, lookup: DataFrame) -> DataFrame:
     ).withColumn("route", F.when(unknown, F.lit("error")).otherwise(F.col("route")))
 
 
-def live_points(raw: DataFrame, devices: DataFrame) -> DataFrame:
-    """Points of all accepted notifications."""
-    return event_points(parse_events(raw, devices).where("route = 'status'"))
+def live_points(raw: DataFrame, devices: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """Points of all accepted notifications; ``carry`` may name ``event``, the order of the events."""
+    events = parse_events(raw, devices).where("route = 'status'").withColumn("event", _event_order())
+    return event_points(events, carry=list(carry)) if carry else event_points(events)
+
+
+def _event_order() -> Column:
+    """Time of an event, then its source, as one number of fixed width, so that aggregations can hash."""
+    micros = F.unix_micros("timestamp").cast("decimal(20,0)")
+    return (micros * F.lit(10**10).cast("decimal(11,0)") + F.col("source_rank")).cast("decimal(38,0)")
 
 
 def batch_points(events: DataFrame) -> DataFrame:
     """Points of one batch, one per series and second: the latest event wins, then the later source."""
-    points = event_points(
-        events.withColumn("event", F.struct(F.unix_micros("timestamp"), "src")), carry=["event"]
-    )
-    return latest_points(points, "event")
+    return latest_points(event_points(events.withColumn("event", _event_order()), carry=["event"]), "event")
+
+
+def stream_identity(spark: SparkSession, checkpoint: str) -> str:
+    """The name Spark gave the stream in its checkpoint; it stays over restarts and no other stream has it."""
+    return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata", wholetext=True).first()[0])["id"]
 
 
 def write_live(
@@ -55,31 +71,45 @@ def write_live(
     checkpoint: str,
     trigger: dict | None = None,
     on_batch: Callable[[DataFrame, WriteOutcome], None] | None = None,
+    on_failure: Callable[[WriteOutcome], None] | None = None,
 ) -> StreamingQuery:
     """Start the live pipeline.
 
-    Points go to the store at ``path`` under the micro-batch number, so a batch that is repeated
-    after a failure replaces itself. Messages that cannot be processed go to ``dead_letters`` with
-    the reason and stop nothing. ``on_batch`` sees each batch of accepted events.
+    Points go to the store at ``path`` under the stream's own name and the micro-batch number, so a
+    batch that is repeated after a failure replaces itself and no other stream's. Messages that
+    cannot be processed go to ``dead_letters`` with the reason and stop nothing. ``on_batch`` sees
+    each batch of accepted events; ``on_failure`` sees a batch that could not be stored, before the
+    stream ends with the error. ``devices`` is read again for each batch.
     """
-
-    lookup = device_lookup(devices)
+    known: dict[str, str] = {}
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        events = _parse(batch, lookup).persist()
+        spark, written = batch.sparkSession, now_micros()
+        first = "stream" not in known
+        if first:
+            known["stream"] = stream_identity(spark, checkpoint)
+        name = f"live-{known['stream']}-{batch_id}"
+        events = _parse(batch, _lookup(devices)).persist()
         try:
             accepted = events.where("route = 'status'")
-            outcome = write_points(batch_points(accepted), path, batch_id)
+            counted = Observation()
+            seen = accepted.observe(counted, F.count(F.lit(1)).alias("rows"))
+            # Only the first batch after a start may have been tried before.
+            outcome = write_points(batch_points(seen), path, name, written, replace=first, counted=counted)
             (
                 events.where("route = 'error'")
-                .select("value", "error", F.lit(batch_id).cast("bigint").alias("batch_id"))
+                .select("value", "error", F.lit(name).alias("batch"))
                 .write.mode("overwrite")
                 .option("partitionOverwriteMode", "dynamic")
-                .partitionBy("batch_id")
+                .partitionBy("batch")
                 .parquet(dead_letters)
             )
             if on_batch is not None:
                 on_batch(accepted, outcome)
+        except Exception as error:
+            if on_failure is not None:
+                on_failure(WriteOutcome(name, 0, None, 0.0, str(error)))
+            raise
         finally:
             events.unpersist()
 
@@ -96,20 +126,42 @@ def stream_windowed_mean(
     device: str | Sequence[str] | None = None,
     phase: str | Sequence[str] | None = None,
 ) -> DataFrame:
-    """Mean of one field per series and window over a stream of notifications.
+    """Mean of one field per series and window over a stream of notifications, for update mode.
 
+    As in the store, a series has one value per second, that of its latest event; the state of a
+    window holds those. A window, open ones included, comes again with each batch that changes it.
     Windows are ``every`` long in Spark's interval syntax and are labelled with their end. Events
     later than ``late`` may be left out; state older than that is dropped.
     """
-    points = live_points(raw, devices).withWatermark("ts", late)
+    points = live_points(raw, devices, carry=["event"]).withWatermark("ts", late)
     tags = {name: value for name, value in (("device", device), ("phase", phase)) if value is not None}
-    values = with_tags(field_values(points, [field]), **tags)
-    series = ["measurement", "device", "source", "phase", "field"]
-    return (
-        values.groupBy(F.window("ts", every), *series)
-        .agg(F.avg("value").alias("value"))
-        .select(*series, F.col("window.end").alias("time"), "value")
+    values = with_tags(points, **tags).where(F.col(field).isNotNull())
+    series = ["measurement", "device", "source", "phase"]
+    of_window = F.collect_set(F.struct("ts", "event", F.col(field).alias("value")))
+    grouped = values.groupBy(F.window("ts", every), *series).agg(of_window.alias("values"))
+    latest = F.filter(
+        "values",
+        lambda v: ~F.exists("values", lambda o: (o["ts"] == v["ts"]) & (o["event"] > v["event"])),
     )
+    total = F.aggregate(latest, F.lit(0.0), lambda a, v: a + v["value"])
+    return grouped.select(*series, F.lit(field).alias("field"), F.col("window.end").alias("time"), (total / F.size(latest)).alias("value"))
+
+
+def write_windowed_mean(means: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Keep every version of the windows of ``stream_windowed_mean`` below ``path``; a repeated batch replaces itself."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        stored = batch.withColumn("batch", F.lit(batch_id).cast("bigint"))
+        stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+    writer = means.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"processingTime": FLUSH_INTERVAL})).start()
+
+
+def read_windowed_mean(spark: SparkSession, path: str) -> DataFrame:
+    """The latest value of every window, the open ones included."""
+    series = ["measurement", "device", "source", "phase", "field", "time"]
+    return spark.read.parquet(path).groupBy(*series).agg(F.max_by("value", "batch").alias("value"))
 
 
 def stop(query: StreamingQuery, timeout: int = 60) -> bool:

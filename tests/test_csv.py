@@ -4,22 +4,22 @@ from pyspark.sql import functions as F
 from conftest import tuples, utc
 from phasegrid import DeviceSource, MeterData
 from phasegrid.operators.dedup import dedup
-from phasegrid.operators.quality import file_stats
 from phasegrid.plans import import_csv
 from phasegrid.schema import MEASURES, WIDE_COLUMNS
-from phasegrid.sources.csv import files_without_rows, load_csv_files, load_readings, read_csv_dir
+from phasegrid.sources import csv
+from phasegrid.sources.csv import load_csv_files, load_readings, read_csv_dir
 from phasegrid.sources.points import read_points
 
 
 def test_empty_inputs(spark, tmp_path):
-    with pytest.raises(ValueError, match="No devices given"):
+    with pytest.raises(ValueError, match="At least one device"):
         MeterData.load(spark, [])
-    with pytest.raises(ValueError, match="No input files"):
+    with pytest.raises(ValueError, match="At least one file"):
         load_csv_files(spark, [], "d")
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "deep.csv").write_text("timestamp\n1\n")
     (tmp_path / "note.txt").write_text("x")
-    with pytest.raises(ValueError, match="does not contain CSV files"):
+    with pytest.raises(ValueError, match="No CSV files for 'd'"):
         read_csv_dir(spark, DeviceSource(str(tmp_path), "d"))
 
 
@@ -86,21 +86,65 @@ def test_reordered_header(spark, tmp_path, write_csv):
 @pytest.mark.parametrize("columns", [(*WIDE_COLUMNS, "more"), WIDE_COLUMNS[:-1]])
 def test_wrong_header(spark, tmp_path, write_csv, columns):
     path = write_csv(tmp_path / "x.csv", [0], columns=columns)
-    with pytest.raises(ValueError, match="Unexpected columns") as info:
+    with pytest.raises(ValueError, match="Header of") as info:
         load_readings(spark, [DeviceSource(str(tmp_path), "d")])
     assert path in str(info.value)
 
 
 def test_empty_file(spark, tmp_path):
     (tmp_path / "x.csv").write_text("")
-    with pytest.raises(ValueError, match="CSV file is empty.*x.csv"):
+    with pytest.raises(ValueError, match="without a header.*x.csv"):
         load_readings(spark, [DeviceSource(str(tmp_path), "d")])
 
 
 def test_header_only_file(spark, tmp_path, write_csv):
-    full, bare = write_csv(tmp_path / "x.csv", [0]), write_csv(tmp_path / "y.csv", [])
-    stats = file_stats(load_readings(spark, [DeviceSource(str(tmp_path), "d")]))
-    assert tuples(files_without_rows(spark, [full, f"file://{bare}"], stats)) == [(bare,)]
+    write_csv(tmp_path / "x.csv", [0])
+    bare = write_csv(tmp_path / "y.csv", [])
+    source = [DeviceSource(str(tmp_path), "d")]
+    with pytest.raises(ValueError, match="No rows in CSV file") as info:
+        MeterData.load(spark, source)
+    assert bare in str(info.value)
+    assert load_readings(spark, source).count() == 1
+
+
+@pytest.mark.parametrize("cell", ["", "soon"])
+def test_unreadable_time_fails_an_analysis(spark, tmp_path, write_csv, cell):
+    path = write_csv(tmp_path / "x.csv", [0, 60])
+    text = (tmp_path / "x.csv").read_text().replace("\n60,", f"\n{cell},")
+    (tmp_path / "x.csv").write_text(text)
+    with pytest.raises(Exception, match="No time in a row") as info:
+        MeterData.load(spark, [DeviceSource(str(tmp_path), "d")]).files.collect()
+    assert path in str(info.value)
+
+
+def test_time_range_reaches_the_scan(spark, tmp_path, write_csv):
+    write_csv(tmp_path / "x.csv", range(0, 600, 60))
+    source = [DeviceSource(str(tmp_path), "d")]
+    rows = MeterData.load(spark, source, start="1970-01-01T00:01:30", end="1970-01-01T00:05:00+00:00").rows
+    assert tuples(rows, F.unix_seconds("timestamp")) == [(120,), (180,), (240,), (300,)]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    pushed = plan.split("PushedFilters: ")[1].split("]")[0]
+    assert "GreaterThanOrEqual(timestamp,90)" in pushed and "LessThanOrEqual(timestamp,300)" in pushed
+
+
+def test_headers_of_a_store_only_spark_opens(spark, tmp_path, write_csv, monkeypatch):
+    write_csv(tmp_path / "x_1.csv", [0])
+    write_csv(tmp_path / "x_2.csv", [60], columns=WIDE_COLUMNS[::-1])
+    monkeypatch.setattr(csv, "_opens", lambda path: False)
+    rows = load_readings(spark, [DeviceSource(str(tmp_path), "d")], strict=True).orderBy("timestamp").collect()
+    assert [r[1:52] for r in rows] == [tuple(float(t + i) for i in range(1, 52)) for t in (0, 60)]
+    (tmp_path / "x_3.csv").write_text("")
+    with pytest.raises(ValueError, match="without a header.*x_3.csv"):
+        load_readings(spark, [DeviceSource(str(tmp_path), "d")])
+
+
+def test_import_goes_on_past_a_device_without_files(spark, tmp_path, write_csv):
+    write_csv(tmp_path / "one" / "x.csv", [0])
+    (tmp_path / "two").mkdir()
+    sources = [DeviceSource(str(tmp_path / d), d) for d in ("one", "two", "three")]
+    assert import_csv(spark, sources, str(tmp_path / "store")).rows == 1
+    assert import_csv(spark, sources[1:], str(tmp_path / "store")).points == 0
+    assert tuples(read_points(spark, str(tmp_path / "store")).select("device").distinct()) == [("one",)]
 
 
 @pytest.mark.parametrize("cell", ["", "abc"])
@@ -110,7 +154,7 @@ def test_bad_values(spark, tmp_path, write_csv, cell):
     row = load_readings(spark, source).first()
     assert row.c_max_voltage is None and row.a_max_voltage is not None
     # Every value counts, also of columns the query does not use.
-    with pytest.raises(Exception, match="Missing value of c_max_voltage|MALFORMED|FAILED_READ_FILE"):
+    with pytest.raises(Exception, match="Value missing: c_max_voltage|MALFORMED|FAILED_READ_FILE"):
         load_readings(spark, source, strict=True).select("device").collect()
 
 

@@ -1,6 +1,8 @@
+import datetime as dt
 import json
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from conftest import tuples, utc
@@ -9,8 +11,7 @@ from phasegrid.plans import live_active_power
 from phasegrid.schema import LIVE_FIELDS, POINT_KEY, POINT_SCHEMA
 from phasegrid.sinks import compact_points, ensure_table, retained, write_lines, write_points
 from phasegrid.sources import latest_points, message_stream, point_log, read_json_lines, read_points
-from phasegrid.sources.points import next_batch
-from phasegrid.streaming import live, stop, stream_windowed_mean, write_live
+from phasegrid.streaming import live, read_windowed_mean, stop, stream_windowed_mean, write_live, write_windowed_mean
 from test_messages import message, meter
 
 
@@ -26,34 +27,59 @@ NOON = utc("2024-01-01T12:00:00")
 
 def test_later_batch_wins_field_by_field(spark, tmp_path):
     path = str(tmp_path / "store")
-    assert next_batch(spark, path) == 0
-    outcome = write_points(live_point(spark, [(NOON, "a", 1.0, 10.0), (NOON, "b", 2.0, 20.0)]), path, 0)
-    assert (outcome.points, outcome.rows) == (2, 1)
-    write_points(live_point(spark, [(NOON, "a", 5.0, None)]), path, 1)
-    assert next_batch(spark, path) == 2
+    outcome = write_points(live_point(spark, [(NOON, "a", 1.0, 10.0), (NOON, "b", 2.0, 20.0)]), path)
+    assert (outcome.points, outcome.rows, outcome.error) == (2, None, None)
+    write_points(live_point(spark, [(NOON, "a", 5.0, None)]), path, "second")
     expected = [("a", 5.0, 10.0), ("b", 2.0, 20.0)]
     assert tuples(read_points(spark, path), "phase", "current", "voltage") == expected
     # The same batch again replaces itself.
-    write_points(live_point(spark, [(NOON, "a", 6.0, None)]), path, 1)
+    write_points(live_point(spark, [(NOON, "a", 6.0, None)]), path, "second")
     assert point_log(spark, path).count() == 3
     assert tuples(read_points(spark, path), "phase", "current", "voltage")[0] == ("a", 6.0, 10.0)
 
 
+def test_batch_written_again_leaves_no_old_day(spark, tmp_path):
+    path = str(tmp_path / "store")
+    days = [utc(f"2024-03-0{d}T01:00:00") for d in (1, 2, 3)]
+    write_points(live_point(spark, [(t, "a", 1.0, 1.0) for t in days]), path, "mine")
+    write_points(live_point(spark, [(days[0], "b", 1.0, 1.0)]), path, "other")
+    write_points(live_point(spark, [(days[1], "a", 2.0, 2.0)]), path, "mine")
+    assert tuples(read_points(spark, path), "ts", "phase") == [(days[0], "b"), (days[1], "a")]
+
+
 def test_empty_write_reports_nothing(spark, tmp_path):
-    outcome = write_points(live_point(spark, []), str(tmp_path / "store"), 0)
-    assert (outcome.points, outcome.rows) == (0, 0)
+    outcome = write_points(live_point(spark, []), str(tmp_path / "store"))
+    assert outcome.points == 0
 
 
 def test_latest_does_not_depend_on_order(spark):
     rows = [(NOON, "a", float(i), None if i % 3 else float(i)) for i in range(200)]
-    points = live_point(spark, rows).withColumn("batch_id", F.col("current").cast("long")).repartition(5)
+    points = live_point(spark, rows).withColumn("written", F.col("current").cast("long")).repartition(5)
     assert tuples(latest_points(points), "current", "voltage") == [(199.0, 198.0)]
 
 
+def test_bounds_and_days_do_not_depend_on_the_session_zone(spark, tmp_path):
+    path, zone = str(tmp_path / "store"), spark.conf.get("spark.sql.session.timeZone")
+    times = [utc("2024-01-01T23:30:00"), utc("2024-01-02T02:00:00"), utc("2024-01-03T00:00:00")]
+    points = live_point(spark, [(t, "a", float(i), 0.0) for i, t in enumerate(times)])
+    found = {}
+    for name in ("UTC", "America/New_York", "Asia/Tokyo"):
+        spark.conf.set("spark.sql.session.timeZone", name)
+        try:
+            write_points(points, f"{path}-{name[:3]}")
+            bounds = [("2024-01-01T23:00:00", "2024-01-02T03:00:00"), ("2024-01-02", None), (None, "2024-01-03"), (None, None)]
+            found[name] = [tuples(read_points(spark, f"{path}-{name[:3]}", *b), "current") for b in bounds]
+            assert sorted(f.name for f in (tmp_path / f"store-{name[:3]}" / "source=live").iterdir()) == [f"date=2024-01-0{d}" for d in (1, 2, 3)]
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", zone)
+    assert found["UTC"] == [[(0.0,), (1.0,)], [(1.0,), (2.0,)], [(0.0,), (1.0,)], [(0.0,), (1.0,), (2.0,)]]
+    assert found["America/New_York"] == found["Asia/Tokyo"] == found["UTC"]
+
+
 def test_time_range_prunes_dates_and_fields(spark, tmp_path):
     path = str(tmp_path / "store")
     days = [utc(f"2024-01-0{d}T12:00:00") for d in range(1, 6)]
-    write_points(live_point(spark, [(t, "a", 1.0, 2.0) for t in days]), path, 0)
+    write_points(live_point(spark, [(t, "a", 1.0, 2.0) for t in days]), path)
     df = read_points(spark, path, "2024-01-02T12:00:00", "2024-01-04T12:00:00", ["current"])
     assert tuples(df, "ts") == [(days[1],), (days[2],)]
     plan = df._jdf.queryExecution().executedPlan().toString()
@@ -62,21 +88,66 @@ def test_time_range_prunes_dates_and_fields(spark, tmp_path):
 
 
 def test_compaction_and_retention(spark, tmp_path):
-    path, target = str(tmp_path / "store"), str(tmp_path / "new")
-    old = utc("2023-01-01")
-    write_points(live_point(spark, [(NOON, "a", 1.0, 1.0), (old, "a", 9.0, 9.0)]), path, 0)
-    write_points(live_point(spark, [(NOON, "a", 2.0, None)]), path, 4)
-    assert tuples(retained(point_log(spark, path), NOON), "current") == [(1.0,), (2.0,)]
-    compact_points(spark, path, target, now=NOON)
-    assert tuples(point_log(spark, target), "current", "voltage", "batch_id") == [(2.0, 1.0, 4)]
+    path = str(tmp_path / "store")
+    old, today = utc("2023-01-01"), NOON + dt.timedelta(days=1)
+    write_points(live_point(spark, [(NOON, "a", 1.0, 1.0), (old, "a", 9.0, 9.0), (today, "a", 3.0, 3.0)]), path)
+    last = write_points(live_point(spark, [(NOON, "a", 2.0, None), (today, "a", 4.0, None)]), path, written=5 * 10**15)
+    assert len(tuples(retained(point_log(spark, path), NOON), "current")) == 4
+    assert compact_points(spark, path, today.date(), now=NOON).points == 1
+    log = point_log(spark, path).where("ts < TIMESTAMP '2024-01-02 00:00:00'")
+    assert tuples(log, "current", "voltage", "written") == [(2.0, 1.0, 5 * 10**15)]
+    # The open day is as it was, the old one is gone, and a second compaction finds nothing to do.
+    assert point_log(spark, path).count() == 3
+    assert compact_points(spark, path, today.date()) is None
+    # A write after the compaction still wins.
+    write_points(live_point(spark, [(NOON, "a", 7.0, None)]), path, written=5 * 10**15 + 1)
+    assert tuples(read_points(spark, path, stop="2024-01-02"), "current", "voltage") == [(7.0, 1.0)]
+    assert last.points == 2
 
 
-def test_table(spark, tmp_path):
+def test_table_shows_the_store(spark, tmp_path):
     path = str(tmp_path / "store")
+    write_points(live_point(spark, [(NOON, "a", 1.0, 1.0)]), path)
     assert ensure_table(spark, "points_under_test", path)
+    assert spark.table("points_under_test").count() == 1
+    write_points(live_point(spark, [(NOON, "b", 1.0, 1.0)]), path)
     assert not ensure_table(spark, "points_under_test", path)
+    assert spark.table("points_under_test").count() == 2
     assert set(spark.table("points_under_test").columns) == set(POINT_SCHEMA.names)
     spark.sql("DROP TABLE points_under_test")
+    assert ensure_table(spark, "points_not_yet_written", str(tmp_path / "none"))
+    spark.sql("DROP TABLE points_not_yet_written")
+
+
+def test_streams_share_a_store(spark, tmp_path, devices):
+    path, rejected = str(tmp_path / "store"), str(tmp_path / "rejected")
+    for part, (start, count) in enumerate(((0, 6), (100, 8))):
+        landing = tmp_path / f"in{part}"
+        landing.mkdir()
+        (landing / "1.txt").write_text("\n".join([*texts(start, count, 1.0), "{broken"]))
+        query = write_live(
+            message_stream(spark, str(landing)), devices, path, rejected, str(tmp_path / f"c{part}"), trigger={"availableNow": True}
+        )
+        assert query.awaitTermination(120)
+    assert read_points(spark, path).where("phase = 'a'").count() == 14
+    assert spark.read.parquet(rejected).count() == 2
+
+
+def test_failed_batch_is_reported(spark, tmp_path, devices):
+    landing, failed = tmp_path / "in", []
+    landing.mkdir()
+    (landing / "1.txt").write_text("\n".join(texts(0, 3)))
+
+    def broken(events, outcome):
+        raise RuntimeError(f"{outcome.rows} events seen")
+
+    query = write_live(
+        message_stream(spark, str(landing)), devices, str(tmp_path / "s"), str(tmp_path / "r"), str(tmp_path / "c"),
+        trigger={"availableNow": True}, on_batch=broken, on_failure=failed.append,
+    )
+    with pytest.raises(StreamingQueryException):
+        query.awaitTermination(120)
+    assert [("3 events seen" in o.error, o.points) for o in failed] == [(True, 0)]
 
 
 def test_lines_round_trip(spark, tmp_path):
@@ -93,7 +164,7 @@ def devices(spark):
 def texts(start, count, step=0.4):
     out = []
     for i in range(start, start + count):
-        params = {"ts": 1716560784.74 + i * step, "em:0": meter() | {"a_act_power": float(i), "n_current": i / 4 if i % 2 else None}}
+        params = {"ts": 1700000000.25 + i * step, "em:0": meter() | {"a_act_power": float(i), "n_current": i / 4 if i % 2 else None}}
         out.append(json.dumps(message(src=f"meter-{1 + i % 2}", params=params)))
     return out
 
@@ -136,28 +207,26 @@ def test_repeated_batch_leaves_no_copies(spark, tmp_path, devices):
     raw = spark.createDataFrame([(t,) for t in texts(0, 10)], "value string")
     points = live.batch_points(live.parse_events(raw, devices).where("route = 'status'"))
     for _ in range(2):
-        write_points(points, str(tmp_path / "store"), 7)
+        write_points(points, str(tmp_path / "store"), "seven")
     log = point_log(spark, str(tmp_path / "store"))
     assert log.count() == points.count() == log.select(*POINT_KEY).distinct().count()
 
 
-def test_stream_mean_equals_batch_for_closed_windows(spark, tmp_path, devices):
+def test_stream_mean_equals_the_stored_one(spark, tmp_path, devices):
     landing, out = tmp_path / "in", str(tmp_path / "means")
     landing.mkdir()
-    (landing / "1.txt").write_text("\n".join(texts(0, 200, 7.0)))
+    (landing / "1.txt").write_text("\n".join(texts(0, 150, 0.3)))
+    (landing / "2.txt").write_text("\n".join(texts(150, 150, 2.0)))
     means = stream_windowed_mean(
-        message_stream(spark, str(landing)), devices, "act_power", "5 minutes", "1 minute", phase="a"
-    )
-    query = (
-        means.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c"))
-        .trigger(availableNow=True).start(out)
+        message_stream(spark, str(landing), 1), devices, "act_power", "1 minute", "1 hour", phase="a"
     )
-    assert query.awaitTermination(120)
-    points = live.live_points(read_json_lines(spark, str(landing)), devices).where("phase = 'a'")
-    batch = live_active_power(points, ["kitchen", "cellar"], "5m", "2024-01-01", "2025-01-01")
-    closed = points.agg(F.max("ts") - F.expr("INTERVAL 1 MINUTE")).first()[0]
-    got = tuples(spark.read.schema(means.schema).parquet(out), "device", "time", F.round("value", 6))
-    assert got == tuples(batch.where(F.col("time") <= closed), "device", "time", F.round("value", 6)) and len(got) >= 6
+    assert write_windowed_mean(means, out, str(tmp_path / "c"), {"availableNow": True}).awaitTermination(120)
+    events = live.parse_events(read_json_lines(spark, str(landing)), devices).where("route = 'status'")
+    points = live.batch_points(events).where("phase = 'a'")
+    batch = live_active_power(points, ["kitchen", "cellar"], "1m", "2024-01-01", "2025-01-01")
+    got = tuples(read_windowed_mean(spark, out), "device", "time", F.round("value", 6))
+    assert got == tuples(batch, "device", "time", F.round("value", 6)) and len(got) >= 8
+    assert points.count() < live.live_points(read_json_lines(spark, str(landing)), devices).where("phase = 'a'").count()
 
 
 def test_stop(spark, tmp_path, devices):

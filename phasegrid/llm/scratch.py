@@ -2,23 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import weakref
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phasegrid.session import scratch_dir
 
 _SEQUENCE_BITS = 33
+#: Where each written table lies.
+_FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` as a table in the shared scratch folder: computed once, safe against lost executors."""
     path = scratch_dir(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _FOLDERS[table] = path
+    return table
 
 
-def empty_like(spark: SparkSession, ddl: str) -> DataFrame:
-    return spark.createDataFrame([], ddl)
+def discard(*tables: DataFrame) -> None:
+    """Remove written tables that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop(table))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def numbered(df: DataFrame, order: list, name: str, purpose: str) -> DataFrame:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phasegrid.llm.scratch import written
+from phasegrid.llm.scratch import discard, written
 from phasegrid.llm.texts import buffer_of, map_texts, quoted, without
 from phasegrid.session import scratch_dir
 
@@ -191,6 +191,10 @@ class SuffixFamily:
             self.levels.append([level + 1, self._store(self._sorted(self._run(a).unionByName(self._run(b))))])
         self._commit()
 
+    def drop(self) -> None:
+        """Remove the family and all it holds."""
+        self.files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.folder), True)
+
     def matches(self) -> DataFrame:
         """The indexed suffixes that begin like another."""
         shared = None
@@ -225,7 +229,9 @@ def repeated_spans(family: SuffixFamily, texts: DataFrame, group: int = GROUP) -
     small = fetched.filter(F.col("kinds") <= group).repartition("gram").sortWithinPartitions("gram")
     compared = small.mapInArrow(_compare(length), "t1 long, t2 long, start long, stop long")
     spans = settled.unionByName(compared).unionByName(_aggregated(fetched.filter(F.col("kinds") > group), length))
-    return written(spans, "spans")
+    spans = written(spans, "spans")
+    discard(matches, kinds, fetched)
+    return spans
 
 
 def _fetch(reach: int):
@@ -352,6 +358,7 @@ def remove_repeats(
     for b in range(batches):
         family.add(texts.filter(F.pmod("t2", F.lit(batches)) == b))
     spans = repeated_spans(family, texts, group)
+    family.drop()
     spans = spans.groupBy(F.col("t1").alias("__u1"), F.col("t2").alias("__u2")).agg(F.collect_list(F.struct("start", "stop")).alias("__spans"))
     result = [*RESULT, "kept_text"]
     kept = [c for c in without(docs, result) if not (drop_text and c == text)]

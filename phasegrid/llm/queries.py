@@ -1,4 +1,4 @@
-"""One registered query per operator, over its whole table, and its SQL where SQL can express it."""
+"""One registered query per operator, over its whole table; ``oracles`` has the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -126,5 +126,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-
-ORACLE_SQL: dict[str, str] = {}

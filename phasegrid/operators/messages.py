@@ -248,6 +248,36 @@ def parse_snapshots(raw: DataFrame, text: str = "value") -> DataFrame:
     )
 
 
+def _single(raw: DataFrame, text: str, name: str, types: dict[str, str], optional: Sequence[str], made) -> DataFrame:
+    """One object per document, typed as ``name``; ``error`` tells why a document was rejected."""
+    step = raw.withColumns({"_d": _parse(text, _fields(types)), "_keys": _keys(F.try_parse_json(text), "$")})
+    error = F.coalesce(
+        object_error(F.col("_keys"), name, types, optional),
+        F.when(F.col(f"_d.{_WRONG}").isNotNull(), F.lit(f"{name}: value of wrong type")),
+    )
+    step = compute_once(step, {"error": error})
+    return step.select(*raw.columns, "error", F.when(F.col("error").isNull(), made(F.col("_d"))).alias(name))
+
+
+def parse_system_status(raw: DataFrame, text: str = "value") -> DataFrame:
+    """Stand-alone system status documents as the struct ``sys``."""
+    return _single(raw, text, "sys", SYSTEM_FIELDS, (), lambda d: F.struct(*[d[k].alias(k) for k in SYSTEM_FIELDS]))
+
+
+def parse_meter_status(raw: DataFrame, text: str = "value") -> DataFrame:
+    """Stand-alone meter status documents as the struct ``em``."""
+    return _single(raw, text, "em", _METER_TYPES, ERROR_LISTS, lambda d: meter_status(d, keep_calibration=True))
+
+
+def parse_meter_counters(raw: DataFrame, text: str = "value") -> DataFrame:
+    """Stand-alone energy counter documents as the struct ``emdata``."""
+
+    def counters(d: Column) -> Column:
+        return F.struct(*[d[k].alias(k) for k in METER_DATA_FIELDS], _or_empty(d["errors"]).alias("errors"))
+
+    return _single(raw, text, "emdata", _METER_DATA_TYPES, ["errors"], counters)
+
+
 def flatten_snapshots(snapshots: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """One flat row per accepted snapshot: temperature, clock, per-phase and total values."""
     em, emdata = F.col("em"), F.col("emdata")

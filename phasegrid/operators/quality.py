@@ -122,8 +122,17 @@ def device_stats(readings: DataFrame, threshold_seconds: float = GAP_SECONDS) ->
     )
 
 
+def with_gap_list(stats: DataFrame, found: DataFrame) -> DataFrame:
+    """``device_stats`` with each device's gaps, in order, as ``gaps``; a list holds no more than the gap table."""
+    rows = F.array_sort(F.collect_list(F.struct("start", "end", "duration_s"))).alias("gaps")
+    lists = found.groupBy(F.col("device").alias("_device")).agg(rows)
+    joined = stats.join(lists, F.col("device").eqNullSafe(F.col("_device")), "left").drop("_device")
+    return joined.withColumn("gaps", F.coalesce("gaps", F.array().cast(joined.schema["gaps"].dataType)))
+
+
 def stats_lines(stats: DataFrame, tz: str) -> DataFrame:
     """One readable line per device, with times in ``tz``."""
+    # Fixed form of the line.
     line = F.format_string(
         "Device '%s' with %d rows from %s to %s (%s) with %d gaps",
         F.col("device"),
@@ -138,6 +147,7 @@ def stats_lines(stats: DataFrame, tz: str) -> DataFrame:
 
 def file_lines(files: DataFrame) -> DataFrame:
     """One readable line per file."""
+    # Fixed form of the line.
     line = F.format_string(
         "Device '%s' / %s: %s .. %s (%d rows)",
         F.col("device"),

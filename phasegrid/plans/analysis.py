@@ -43,7 +43,11 @@ class MeterData:
 
     @property
     def duplicate_files(self) -> DataFrame:
-        return quality.duplicate_files(self.files)
+        """Files within the time of their device's leading file; an error if there are no files at all."""
+        files = self.files
+        if files.isEmpty():
+            raise ValueError("There are no files to compare")
+        return quality.duplicate_files(files)
 
     @property
     def gaps(self) -> DataFrame:
@@ -53,6 +57,10 @@ class MeterData:
     def statistics(self) -> DataFrame:
         return quality.device_stats(self.rows)
 
+    @property
+    def statistics_with_gaps(self) -> DataFrame:
+        return quality.with_gap_list(self.statistics, self.gaps)
+
     def statistics_lines(self, tz: str) -> DataFrame:
         return quality.stats_lines(self.statistics, tz)
 

@@ -483,6 +483,39 @@ def snapshots(spark, sf_dir):
     return messages.flatten_snapshots(parsed, keep=["event_id"])
 
 
+def _part(spark, sf_dir, path: str) -> DataFrame:
+    documents = snapshot_documents(spark, sf_dir)
+    return documents.select("event_id", F.get_json_object("value", path).alias("value"))
+
+
+def system_status(spark, sf_dir):
+    rows = messages.parse_system_status(_part(spark, sf_dir, "$.sys"))
+    return rows.select("event_id", "error", *[F.col(f"sys.{f}").alias(f) for f in ("mac", "unixtime", "uptime")])
+
+
+def meter_status(spark, sf_dir):
+    em = messages.parse_meter_status(_part(spark, sf_dir, "$['em:0']"))
+    return plain(em.select("event_id", "error", "em.n_current", *[f"em.total_{f}" for f in ("current", "act_power", "aprt_power")]))
+
+
+def meter_counters(spark, sf_dir):
+    rows = messages.parse_meter_counters(_part(spark, sf_dir, "$['emdata:0']"))
+    return plain(rows.select("event_id", "error", *[F.col(f"emdata.{f}").alias(f) for f in messages.METER_DATA_FIELDS[1:]]))
+
+
+def gap_lists(spark, sf_dir):
+    rows = readings(spark, sf_dir)
+    stats = quality.with_gap_list(quality.device_stats(rows, 3600), quality.gaps(rows, 3600))
+    listed = stats.select("device", "n_gaps", F.posexplode_outer("gaps").alias("place", "gap"))
+    return plain(listed.select("device", "n_gaps", "place", "gap.start", "gap.end"))
+
+
+def energy_local_hours(spark, sf_dir):
+    """Hours do not depend on the zone; only the date of a window does."""
+    rows = first_readings(spark, sf_dir)
+    return plain(energy.total_energy(rows, "1h", ("device",), tz=ZONE, keep_window_start=True), total_act_energy_kwh=9)
+
+
 def snapshots_rejected(spark, sf_dir):
     parsed = messages.parse_snapshots(snapshot_documents(spark, sf_dir))
     return parsed.where("error IS NOT NULL").select("event_id", "error")
@@ -692,6 +725,11 @@ QUERIES: dict[str, Query] = {
     "messages_points": messages_points,
     "snapshots": snapshots,
     "snapshots_rejected": snapshots_rejected,
+    "system_status": system_status,
+    "meter_status": meter_status,
+    "meter_counters": meter_counters,
+    "gap_lists": gap_lists,
+    "energy_local_hours": energy_local_hours,
     "device_info": device_info,
     "record_blocks": record_blocks,
     "scalar_functions": scalar_functions,

@@ -364,4 +364,18 @@ SELECT *, make_timestamp(ts * 1000000) AS timestamp FROM blocks""",
     "store_rewrite_fewer_days": f"{_POINTS}, early AS (SELECT * FROM points WHERE ts < TIMESTAMP '2024-01-16') {_field_values('early', MEASURES)}",
     "store_open_range": f"{_POINTS}, later AS (SELECT * FROM points WHERE ts >= TIMESTAMP '2024-01-16') {_field_values('later', MEASURES)}",
     "points_registered": _POINTS_LONG,
+    "system_status": """SELECT event_id, CASE WHEN event_type = 'error' THEN 'sys: missing uptime' END AS error,
+  CASE WHEN event_type <> 'error' THEN 'mac-' || user_id END AS mac,
+  CASE WHEN event_type <> 'error' THEN event_id + 3 END AS unixtime,
+  CASE WHEN event_type <> 'error' THEN event_id + 4 END AS uptime FROM events""",
+    "meter_status": f"""SELECT event_id, CAST(NULL AS VARCHAR) AS error,
+  CASE WHEN event_type = 'click' THEN value * {_number(0.125)} END AS n_current,
+  value * {_number(1.75)} AS total_current, value * {_number(5.25)} AS total_act_power,
+  value * {_number(7.0)} AS total_aprt_power FROM events""",
+    "meter_counters": f"""SELECT event_id, CAST(NULL AS VARCHAR) AS error,
+  {', '.join(f'value * {_number(i + 1.0)} AS {f}' for i, f in enumerate(METER_DATA_FIELDS[1:]))} FROM events""",
+    "gap_lists": f"""WITH {_READINGS}, {_stats('readings', 3600)}, found AS ({_gaps('readings', 3600)})
+SELECT device, n_gaps, CASE WHEN "start" IS NOT NULL THEN row_number() OVER (PARTITION BY device ORDER BY "start") - 1 END AS place,
+  "start", "end" FROM stats LEFT JOIN found USING (device)""",
+    "energy_local_hours": _energy("date_trunc('hour', timestamp)", ("device",), date=_LOCAL.format("window_start")),
 }

@@ -213,7 +213,7 @@ def nested_readings(spark, sf_dir):
     return plain(
         nested.select(
             "device", "timestamp", F.size("phases").alias("n_phases"),
-            *[phases[i]["avg_current"].alias(f"{p}_avg_current") for i, p in enumerate(PHASES)],
+            *[phases[i][m].alias(f"{p}_{m}") for i, p in enumerate(PHASES) for m in MEASURES],
             *[f"n_{m}" for m in NEUTRAL_MEASURES],
         )
     )

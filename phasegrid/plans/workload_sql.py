@@ -273,7 +273,7 @@ FROM long GROUP BY timestamp""",
     "phase_column": f"WITH {_READINGS} {_phases('readings', 'timestamp, device, file', {'total_act_energy': 'total_act_energy'})}",
     "phase_all": f"WITH {_READINGS} {_phases('readings', 'timestamp, device, file', {m: m for m in MEASURES})}",
     "nested_readings": f"""WITH {_READINGS} SELECT device, timestamp, 3 AS n_phases,
-  a_avg_current, b_avg_current, c_avg_current, {', '.join(f'n_{m}' for m in NEUTRAL_MEASURES)} FROM readings""",
+  {', '.join(f'{p}_{m}' for p in PHASES for m in MEASURES)}, {', '.join(f'n_{m}' for m in NEUTRAL_MEASURES)} FROM readings""",
     "time_range": f"""WITH {_READINGS} SELECT count(*) AS n_rows, min(timestamp) AS first_ts,
   max(timestamp) AS last_ts FROM readings""",
     "file_stats": f"WITH {_READINGS}, {_FILES.format('readings')} SELECT * FROM files",

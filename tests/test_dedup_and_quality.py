@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import tuples, utc
+from phasegrid import MeterData
 from phasegrid.operators import dedup as dd
 from phasegrid.operators import quality
 
@@ -12,25 +13,28 @@ def row(device, file, pos, s, v=0.0):
     return (device, file, pos, s, float(v), 0.0, 0.0)
 
 
+#: Three files: p holds minutes 0, 7, 9; q holds 9, 11; r holds 7, 11, 20, 20.
 OVERLAP = [
-    row("d", "file1", 0, 0, 1), row("d", "file1", 1, 60, 2), row("d", "file1", 2, 120, 3),
-    row("d", "file2", 0, 120, 4), row("d", "file2", 1, 180, 5),
+    *(row("d", "p.csv", i, 60 * m, 10 + m) for i, m in enumerate([0, 7, 9])),
+    *(row("d", "q.csv", i, 60 * m, 30 + m) for i, m in enumerate([9, 11])),
+    *(row("d", "r.csv", i, 60 * m, 50 + i) for i, m in enumerate([7, 11, 20, 20])),
 ]
 
 
 def test_keep_first_and_last(readings):
     first = dd.dedup(readings(OVERLAP), "first").orderBy("timestamp").collect()
-    assert [r.file for r in first] == ["file1", "file1", "file1", "file2"]
-    assert [r.a_total_act_energy for r in first] == [1, 2, 3, 5]
+    assert [r.file[0] for r in first] == ["p", "p", "p", "q", "r"]
+    assert [r.a_total_act_energy for r in first] == [10, 17, 19, 41, 52]
     last = dd.dedup(readings(OVERLAP), "last").orderBy("timestamp").collect()
-    assert [r.a_total_act_energy for r in last] == [1, 2, 4, 5]
+    assert [r.file[0] for r in last] == ["p", "r", "q", "r", "r"]
+    assert [r.a_total_act_energy for r in last] == [10, 50, 39, 51, 53]
     with pytest.raises(ValueError):
         dd.dedup(readings(OVERLAP), "any")
 
 
 def test_devices_are_not_merged(readings):
-    two = readings([("e" if r[1] == "file2" else "d", *r[1:]) for r in OVERLAP])
-    assert dd.dedup(two).count() == 5
+    two = readings([("e" if r[1] == "r.csv" else "d", *r[1:]) for r in OVERLAP])
+    assert dd.dedup(two).count() == 7
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -53,7 +57,7 @@ def test_dedup_ignores_input_order(spark, readings, seed):
 
 
 def test_import_counts(readings):
-    assert tuples(dd.import_counts(readings(OVERLAP))) == [("d", 5, 4, 2)]
+    assert tuples(dd.import_counts(readings(OVERLAP))) == [("d", 9, 5, 3)]
 
 
 def test_dedup_limits_before_the_shuffle(readings):
@@ -94,6 +98,17 @@ def test_gaps_and_stats_match_a_loop(spark, seed, threshold):
     ]
 
 
+def test_gap_lists(readings):
+    df = readings([row("d", "f", i, s) for i, s in enumerate([0, 500, 560, 9000])] + [row("e", "f", 9, 0)])
+    lists = quality.with_gap_list(quality.device_stats(df), quality.gaps(df)).orderBy("device").collect()
+    assert [(r.device, r.n_gaps, [g.duration_s for g in r.gaps]) for r in lists] == [("d", 2, [500.0, 8440.0]), ("e", 0, [])]
+
+
+def test_no_files_to_compare(readings):
+    with pytest.raises(ValueError, match="no files"):
+        MeterData(readings(OVERLAP).limit(0)).duplicate_files
+
+
 def test_gap_threshold_must_be_positive(readings):
     with pytest.raises(ValueError):
         quality.gaps(readings(OVERLAP), 0)
@@ -107,16 +122,19 @@ def test_lines(readings):
     assert line == "Device 'd' / f.csv: 1970-01-01 00:00:00+00:00 .. 1970-01-02 01:00:00+00:00 (3 rows)"
 
 
+#: Files as name, first hour, last hour, rows; then the redundant ones.
 CASES = {
-    "single": ([("file1", 1, 2, 0)], []),
-    "overlapping": ([("file1", 1, 3, 0), ("file2", 2, 4, 0)], []),
-    "disjoint": ([("file1", 1, 2, 0), ("file2", 3, 4, 0)], []),
-    "included": ([("file1", 1, 4, 0), ("file2", 2, 3, 0)], ["file2"]),
-    "same first": ([("file1", 1, 4, 0), ("file2", 1, 3, 0)], ["file2"]),
-    "same last": ([("file1", 1, 4, 0), ("file2", 2, 4, 0)], ["file2"]),
-    "identical": ([("file1", 1, 2, 0), ("file2", 1, 2, 0)], ["file2"]),
-    "longer wins": ([("file2", 1, 2, 10), ("file1", 1, 2, 5)], ["file1"]),
-    "only the leading file counts": ([("file1", 1, 2, 0), ("file2", 3, 6, 0), ("file3", 4, 5, 0)], []),
+    "alone": ([("k", 5, 9, 40)], []),
+    "cut at both ends": ([("k", 2, 20, 90), ("m", 6, 11, 30), ("n", 19, 20, 2)], ["m", "n"]),
+    "starts within, ends later": ([("k", 2, 12, 50), ("m", 11, 15, 9)], []),
+    "one after the other": ([("k", 0, 3, 8), ("m", 4, 8, 8), ("n", 9, 9, 1)], []),
+    "same start, shorter": ([("k", 7, 17, 60), ("m", 7, 13, 20)], ["m"]),
+    "same end, later start": ([("k", 1, 23, 99), ("m", 22, 23, 3)], ["m"]),
+    "copies": ([("m", 3, 6, 12), ("k", 3, 6, 12), ("n", 3, 6, 12)], ["m", "n"]),
+    "more rows lead": ([("k", 3, 6, 4), ("m", 3, 6, 12)], ["k"]),
+    "same start, fewer rows but longer": ([("k", 3, 8, 5), ("m", 3, 6, 12)], []),
+    "inside a file that does not lead": ([("k", 0, 4, 9), ("m", 6, 18, 9), ("n", 8, 10, 2)], []),
+    "a single instant": ([("k", 4, 4, 1), ("m", 4, 4, 1)], ["m"]),
 }
 
 
@@ -124,7 +142,7 @@ CASES = {
 @pytest.mark.parametrize("reverse", [False, True])
 def test_duplicate_files(spark, name, reverse):
     files, expected = CASES[name]
-    rows = [("dev", f, utc(f"2024-10-0{a}"), utc(f"2024-10-0{b}"), n) for f, a, b, n in files]
+    rows = [("dev", f, utc(f"2022-02-11T{a:02d}:00:00"), utc(f"2022-02-11T{b:02d}:00:00"), n) for f, a, b, n in files]
     rows += [("other", f"o{f}", a, b, n) for _, f, a, b, n in rows]
     df = spark.createDataFrame(
         rows[::-1] if reverse else rows,

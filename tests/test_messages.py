@@ -152,3 +152,20 @@ def test_device_info(spark):
     info = messages.parse_device_info(raw).where("error IS NULL").select("device", "info.*")
     joined = joins.attach_device_info(spark.createDataFrame([("d0",), ("d9",)], "device string"), info)
     assert tuples(joined.select("device", F.coalesce("device_info.gen", F.lit(-1)))) == [("d0", 3), ("d9", -1)]
+
+
+def test_stand_alone_documents(spark):
+    whole = snapshot()
+
+    def rows(parse, *documents):
+        raw = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(documents)], "n int, value string")
+        return parse(raw).orderBy("n").collect()
+
+    system = rows(messages.parse_system_status, whole["sys"], {}, whole["sys"] | {"uptime": "long"})
+    assert system[0].error is None and system[0].sys.unixtime == 7
+    assert system[1].error.startswith("sys: missing") and system[2].error == "sys: value of wrong type" and system[2].sys is None
+    meters = rows(messages.parse_meter_status, whole["em:0"], meter(), 5)
+    assert meters[0].error is None and meters[0].em.total_current == meter()["total_current"]
+    assert meters[1].error == "em: missing user_calibrated_phase" and meters[2].error == "em: not an object"
+    counters = rows(messages.parse_meter_counters, whole["emdata:0"], whole["emdata:0"] | {"more": 1})
+    assert counters[0].error is None and counters[0].emdata.errors == [] and counters[1].error == "emdata: unknown more"

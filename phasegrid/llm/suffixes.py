@@ -207,7 +207,9 @@ class SuffixFamily:
             found = part if found is None else found.unionByName(part)
         if found is None:
             return self.spark.createDataFrame([], _ENTRY)
-        return found.join(shared.distinct(), "gram", "left_semi").select(*[c.split()[0] for c in _ENTRY.split(", ")])
+        # Written first, so that both sides of the join are plain shuffles and Spark can split a hot gram.
+        shared = written(shared.distinct(), "shared")
+        return found.join(shared, "gram", "left_semi").select(*[c.split()[0] for c in _ENTRY.split(", ")])
 
 
 def repeated_spans(family: SuffixFamily, texts: DataFrame, group: int = GROUP) -> DataFrame:

@@ -12,7 +12,6 @@ from phasegrid.functions.times import (
     iso_weekday,
     local_text,
     seconds_between,
-    to_second,
     utc_text,
     weekday_name,
 )
@@ -35,7 +34,6 @@ __all__ = [
     "parse_every",
     "seconds_between",
     "strict_number",
-    "to_second",
     "utc_text",
     "weekday_name",
 ]

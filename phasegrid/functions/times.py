@@ -25,10 +25,6 @@ def epoch_micros_to_timestamp(seconds: Column) -> Column:
     return F.timestamp_micros((exact * 1_000_000).cast("bigint"))
 
 
-def to_second(ts: Column) -> Column:
-    return F.date_trunc("second", ts)
-
-
 def date_of(ts: Column) -> Column:
     """The UTC day, whatever the time zone of the session."""
     return F.date_from_unix_date(F.floor(F.unix_micros(ts) / F.lit(86_400_000_000)).cast("int"))

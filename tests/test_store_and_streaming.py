@@ -203,6 +203,14 @@ def test_stream_equals_batch_across_restarts(spark, tmp_path, devices):
     assert last.act_power == 48.0
 
 
+def test_latest_events_are_hashed(spark, devices):
+    raw = spark.createDataFrame([(t,) for t in texts(0, 10)], "value string")
+    events = live.parse_events(raw, devices).where("route = 'status'")
+    plan = live.batch_points(events)._jdf.queryExecution().executedPlan().toString()
+    after = plan.split("Generate")[0]
+    assert "HashAggregate" in after and "SortAggregate" not in after
+
+
 def test_repeated_batch_leaves_no_copies(spark, tmp_path, devices):
     raw = spark.createDataFrame([(t,) for t in texts(0, 10)], "value string")
     points = live.batch_points(live.parse_events(raw, devices).where("route = 'status'"))

@@ -27,7 +27,8 @@ def epoch_micros_to_timestamp(seconds: Column) -> Column:
 
 def date_of(ts: Column) -> Column:
     """The UTC day, whatever the time zone of the session."""
-    return F.date_from_unix_date(F.floor(F.unix_micros(ts) / F.lit(86_400_000_000)).cast("int"))
+    micros, day = F.unix_micros(ts), F.lit(86_400_000_000)
+    return F.date_from_unix_date(((micros - F.pmod(micros, day)) / day).cast("int"))
 
 
 def iso_weekday(date: Column) -> Column:

@@ -36,9 +36,9 @@ SEQUENCE = 1024
 BATCH_SEQUENCES = 256
 FILE_BATCHES = 128
 #: Words whose ids a worker keeps for later texts.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 _PLAIN = re.compile(rb"[A-Za-z]+\Z")
-_JOINED = 64
+_JOINED = 256
 
 
 class WordEncoder:
@@ -85,7 +85,8 @@ class WordEncoder:
         words = Words(texts, SPACED)
         distinct = words.values.cast(pa.large_binary()).to_pylist()
         if len(self.known) > REMEMBERED:
-            self.known = {}
+            # Words of the present texts stay, above all the frequent ones.
+            self.known = {w: self.known[w] for w in distinct if w in self.known}
         self._learn([w for w in distinct if w not in self.known])
         coded = [self.known[w] for w in distinct] + [np.array([end_id], self.type).tobytes()]
         pool = np.frombuffer(b"".join(coded), self.type)

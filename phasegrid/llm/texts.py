@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PIECE_BYTES = 8 << 20
-BATCH_BYTES = 16 << 20
+PIECE_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 TEXT = "__text"
 
 
@@ -66,6 +66,8 @@ def map_texts(
                 columns = [piece.column(i) for i in range(len(kept))]
                 columns += [made[n] if isinstance(made[n], pa.Array) else pa.array(made[n], t) for n, t in types]
                 yield pa.RecordBatch.from_arrays(columns, names=kept + names)
+                del made, columns
+                pa.default_memory_pool().release_unused()
 
     return source.mapInArrow(run, schema)
 

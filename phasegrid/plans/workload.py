@@ -507,6 +507,7 @@ def gap_lists(spark, sf_dir):
     rows = readings(spark, sf_dir)
     stats = quality.with_gap_list(quality.device_stats(rows, 3600), quality.gaps(rows, 3600))
     listed = stats.select("device", "n_gaps", F.posexplode_outer("gaps").alias("place", "gap"))
+    listed = listed.withColumn("place", F.col("place").cast("long"))
     return plain(listed.select("device", "n_gaps", "place", "gap.start", "gap.end"))
 
 

@@ -293,7 +293,10 @@ def _spans(p: np.ndarray, words: Words) -> list[list[dict]]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
-    """toxic, text of the labelled documents that may be learnt from, written once."""
+    """toxic, text of the labelled documents that may be learnt from, written once.
+
+    The labels may be many, so they are merged with the documents at every size of the tables.
+    """
     allowed = F.crc32(F.col(key).cast("string").cast("binary")) % 3 != 1
-    rows = docs.filter(allowed).select(key, "text").join(labels.filter("toxic IS NOT NULL").select(key, "toxic"), key)
+    rows = docs.filter(allowed).select(key, "text").join(labels.filter("toxic IS NOT NULL").select(key, "toxic").hint("merge"), key)
     return written(rows.select("toxic", "text"), "labelled")

@@ -352,7 +352,7 @@ SELECT *, make_timestamp(ts * 1000000) AS timestamp FROM blocks""",
     "stream_points": _LATEST,
     "stream_rejected": f"WITH {_ROUTED} SELECT error, count(*) AS n FROM routed WHERE error IS NOT NULL GROUP BY error",
     "stream_mean": f"""{_LIVE_LATEST} SELECT measurement, device, source, phase, field,
-    make_timestamp({6 * _HOUR} * (epoch_us(ts) // {6 * _HOUR} + 1)) AS time, round(avg(value), 6) AS value
+    make_timestamp({6 * _HOUR} * (epoch_us(ts) // {6 * _HOUR} + 1)) AS time, round(avg(value), 9) AS value
   FROM long WHERE field = 'act_power' AND phase IN ('a', 'b', 'c') GROUP BY ALL""",
     "csv_analysis": f"""{_WITH_FIRST} SELECT timestamp, {_scaled("CASE WHEN minute % 4 = 3 THEN 2 ELSE 1 END")}, device,
   CASE WHEN minute % 4 = 3 THEN 'b' ELSE 'a' END AS file FROM (SELECT *, epoch_us(timestamp) // 60000000 AS minute FROM first_rows)""",

@@ -33,6 +33,32 @@ def test_bands_reject_repetition_and_noise(spark):
     assert found[3]["n_bad_chunks"] > 0 and found[0]["text"] == fine
 
 
+def test_shipped_bands_tell_noise_and_short_cycles_from_prose(spark):
+    rng = random.Random(4)
+    printable = [chr(c) for c in range(33, 127)]
+    base64 = [c for c in printable if c.isalnum() or c in "+/"]
+    plain = prose(rng, 400).split(" ")
+
+    def filled(size, more):
+        text = ""
+        while len(text.encode()) < size:
+            text += more() + " "
+        return text.encode()[:size].decode(errors="ignore")
+
+    kinds = {
+        "prose": lambda: prose(rng, 30),
+        "base64": lambda: "".join(rng.choices(base64, k=rng.randint(4, 12))),
+        "printable": lambda: "".join(rng.choices(printable, k=rng.randint(4, 12))),
+        "words": lambda: " ".join([rng.choice(plain)] * 7),
+    }
+    rows = [(kind, size, filled(size, more)) for kind, more in kinds.items() for size in (300, 500, 700, 1000, 2000, 5000, 10_000, 100_000)]
+    half = 20_000
+    rows += [("mixed", half, filled(half, kinds["prose"]) + filled(half, kinds[kind])) for kind in ("base64", "words")]
+    for r in quality.compression_bands(spark.createDataFrame(rows, "kind string, size int, text string")).collect():
+        assert not r["base_failed"]
+        assert r["kept"] == (r["kind"] == "prose"), (r["kind"], r["size"], r["ratio"])
+
+
 # --- decontamination
 
 

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phasegrid.llm.scratch import discard, written
@@ -213,7 +213,7 @@ class SuffixFamily:
 
 
 def repeated_spans(family: SuffixFamily, texts: DataFrame, group: int = GROUP) -> DataFrame:
-    """t1, t2, start, stop of the repeated strings in the indexed texts; ``texts`` has t1, t2, content."""
+    """t1, t2, start, stop of the maximal runs of repeated strings in the indexed texts; ``texts`` has t1, t2, content."""
     length, reach = family.length, family.length - GRAM
     kind = ["gram", "around", "before", "after"]
     matches = written(family.matches(), "matches")
@@ -231,11 +231,21 @@ def repeated_spans(family: SuffixFamily, texts: DataFrame, group: int = GROUP) -
     small = fetched.filter(F.col("kinds") <= group).repartition("gram").sortWithinPartitions("gram")
     compared = small.mapInArrow(_compare(length), "t1 long, t2 long, start long, stop long")
     spans = settled.unionByName(compared).unionByName(_aggregated(fetched.filter(F.col("kinds") > group), length))
-    spans = written(spans, "spans")
+    spans = written(maximal_runs(spans), "spans")
     discard(matches, kinds, fetched)
     return spans
 
 
+def maximal_runs(spans: DataFrame) -> DataFrame:
+    """The spans (t1, t2, start, stop) with those of a text that overlap or touch made one; sorted, so not held in memory."""
+    text = Window.partitionBy("t1", "t2").orderBy("start", "stop")
+    reached = F.max("stop").over(text.rowsBetween(Window.unboundedPreceding, -1))
+    begun = spans.withColumn("begins", F.when(F.col("start") <= reached, 0).otherwise(1))
+    run = F.sum("begins").over(text.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    runs = begun.withColumn("run", run).groupBy("t1", "t2", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return runs.drop("run")
+
+
 def _fetch(reach: int):
     """Cut the surroundings of the wanted anchors out of a text."""
 

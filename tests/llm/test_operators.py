@@ -378,3 +378,14 @@ def test_long_texts_go_piece_by_piece(monkeypatch):
     monkeypatch.setattr(suffixes, "SEGMENT", 1500)
     parts = suffixes.text_anchors(data, ends, 400)
     assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
+
+
+def test_a_run_of_one_byte_is_one_span(spark):
+    rng = random.Random(6)
+    before = prose(rng, 50)
+    docs = spark.createDataFrame([(0, 0, before + "=" * 5000), (0, 1, "ab" * 1000), (0, 2, before)], "t1 long, t2 long, content string")
+    family = suffixes.SuffixFamily(spark, scratch_dir(spark, "family"), 100)
+    family.add(docs)
+    spans = suffixes.repeated_spans(family, docs).orderBy("t2").collect()
+    n = len(before.encode())
+    assert [tuple(r) for r in spans] == [(0, 0, 0, n + 5000), (0, 1, 0, 2000), (0, 2, 0, n)]

@@ -174,7 +174,8 @@ class SuffixFamily:
         return self.spark.read.schema(ddl).parquet(f"{self.folder}/{name}")
 
     def _sorted(self, df: DataFrame) -> DataFrame:
-        return df.repartition("gram").sortWithinPartitions("gram", "around")
+        """In order within each task only: dealt out by gram, all suffixes of a common one would go to one task."""
+        return df.sortWithinPartitions("gram", "around")
 
     def add(self, docs: DataFrame) -> None:
         """Index a batch (t1, t2, content), note which suffixes begin like others, and merge equal levels."""

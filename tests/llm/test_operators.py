@@ -389,3 +389,15 @@ def test_a_run_of_one_byte_is_one_span(spark):
     spans = suffixes.repeated_spans(family, docs).orderBy("t2").collect()
     n = len(before.encode())
     assert [tuple(r) for r in spans] == [(0, 0, 0, n + 5000), (0, 1, 0, 2000), (0, 2, 0, n)]
+
+
+def test_a_common_gram_is_spread_over_the_files_of_a_run(spark):
+    text = prose(random.Random(7), 20)
+    docs = spark.createDataFrame([(i, i, text) for i in range(80)], "t1 long, t2 long, content string").repartition(8)
+    family = suffixes.SuffixFamily(spark, scratch_dir(spark, "family"), 100)
+    for of in (0, 1):
+        family.add(docs.filter(F.col("t1") % 2 == of))
+        for _, name in family.levels:
+            files = [r["count"] for r in family._run(name).groupBy(F.input_file_name()).count().collect()]
+            assert max(files) < sum(files) / 2
+    assert len(family.levels) == 1 and sum(files) == family.matches().count()

@@ -2,10 +2,11 @@
 
 Every string of ``LENGTH`` bytes contains the place where the hash of the next ``GRAM`` bytes is least;
 equal strings have it at the same distance from their start. Only these places, the anchors, about one
-in 170 bytes, are indexed. A batch of texts becomes a run: its anchored suffixes in the order of the
-hash of their first ``GRAM`` bytes (only equality counts, so the order need not be alphabetical). A new
-run is merge-scanned against the runs of all levels for suffixes that begin alike; then two runs of one
-level merge into one of the next, so that a family of n batches has at most log2(n) + 1 runs.
+in 170 bytes, are indexed. A batch of texts becomes a run: its anchored suffixes with the hash of their
+first ``GRAM`` bytes, in the order of the hash within each task (only equality counts). Which suffixes of
+a new run and of the runs of all levels begin alike is told by grouping the hashes; no suffixes are
+merge-scanned. Then two runs of one level merge into one of the next, so that a family of n batches has
+at most log2(n) + 1 runs.
 
 Suffixes that begin alike are then compared with all bytes a string of ``LENGTH`` around the anchor can
 have. Anchors with equal surroundings settle each other. Of those that remain, one of each kind is

@@ -1,4 +1,3 @@
-import datetime as dt
 import sys
 from pathlib import Path
 
@@ -29,16 +28,6 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-def utc(text):
-    return dt.datetime.fromisoformat(text)
-
-
-def tuples(df, *columns):
-    """Sorted rows as tuples."""
-    selected = df.select(*columns) if columns else df
-    return sorted(tuple(row) for row in selected.collect())
-
-
 @pytest.fixture
 def readings(spark):
     """Build narrow readings from (device, file, pos, epoch seconds, a, b, c) rows."""

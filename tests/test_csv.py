@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import tuples, utc
+from meter_helpers import tuples, utc
 from phasegrid import DeviceSource, MeterData
 from phasegrid.operators.dedup import dedup
 from phasegrid.plans import import_csv

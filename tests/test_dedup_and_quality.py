@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import tuples, utc
+from meter_helpers import tuples, utc
 from phasegrid import MeterData
 from phasegrid.operators import dedup as dd
 from phasegrid.operators import quality

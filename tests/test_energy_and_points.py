@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import tuples, utc
+from meter_helpers import tuples, utc
 from phasegrid.operators import energy, filters, joins, reshape
 from phasegrid.operators.dedup import dedup, import_counts
 from phasegrid.schema import LIVE_FIELDS, MEASURES, NEUTRAL_MEASURES, WIDE_COLUMNS
@@ -144,15 +144,15 @@ def test_phase_column(spark, measure):
 def test_phase_table_and_nesting(spark):
     df = reshape.phase_table(wide_row(spark, b_max_voltage=7.0))
     assert df.columns == ["timestamp", "device", "file", "phase", *MEASURES] and df.count() == 3
-    nested = reshape.nest_readings(wide_row(spark, a_avg_current=0.079, n_avg_current=0.0)).first()
+    nested = reshape.nest_readings(wide_row(spark, a_avg_current=3.25, n_avg_current=1.5)).first()
     assert [p.phase_name for p in nested.phases] == ["a", "b", "c"]
-    assert nested.phases[0].avg_current == 0.079 and nested.n_avg_current == 0.0
+    assert nested.phases[0].avg_current == 3.25 and nested.n_avg_current == 1.5
     assert len(nested) == 3 + len(NEUTRAL_MEASURES)
 
 
-def test_unsupported_measure(spark):
-    with pytest.raises(ValueError, match="'unsupported' is no phase measure"):
-        reshape.phase_column(wide_row(spark), "unsupported")
+def test_measure_that_no_phase_has(spark):
+    with pytest.raises(ValueError, match="'brightness' is no phase measure"):
+        reshape.phase_column(wide_row(spark), "brightness")
 
 
 def test_join_validation(spark):

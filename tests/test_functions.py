@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import utc
+from meter_helpers import utc
 from phasegrid import functions as pf
 
 NOW = utc("2031-02-03T04:05:06")

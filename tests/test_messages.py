@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import tuples, utc
+from meter_helpers import tuples, utc
 from phasegrid.operators import joins, messages
 from phasegrid.schema import LIVE_FIELDS, PHASES, TOTAL_FIELDS
 from phasegrid.streaming import live

@@ -5,7 +5,7 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from conftest import tuples, utc
+from meter_helpers import tuples, utc
 from phasegrid.operators import reshape
 from phasegrid.plans import live_active_power
 from phasegrid.schema import LIVE_FIELDS, POINT_KEY, POINT_SCHEMA

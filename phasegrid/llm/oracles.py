@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from phasegrid.llm import decontaminate, mixing, secrets
+from phasegrid.llm import chat, decontaminate, lexical, mixing, negatives, secrets
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BENCHMARK_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -76,8 +76,57 @@ SELECT any_value(doc_id) AS doc_id, {counts},
 FROM docs LEFT JOIN found USING (r) GROUP BY r"""
 
 
+def chat_formatting() -> str:
+    pattern = chat.ESCAPABLE
+
+    def size(text: str) -> str:
+        return f"(length({text}) + len(regexp_extract_all({text}, '{pattern}')))"
+
+    known = " ".join(f"WHEN '{r}' THEN {len(f.before) + len(f.after)}" for r, f in chat.FRAMES.items())
+    spoken = f"coalesce(string_agg(text, '' ORDER BY place) FILTER (role = '{chat.SPOKEN}'), '')"
+    return f"""WITH log AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+  turns AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM log)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+  CAST(length({spoken}) AS BIGINT) AS loss_chars, sha256({spoken}) AS loss_sha256,
+  CAST(sum({size('text')} + CASE role {known} ELSE {len(chat.ROLE) + len(chat.TEXT) + len(chat.END)} + {size('role')} END) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id"""
+
+
+def hard_negatives(positives: int = negatives.POSITIVES, most: int = negatives.NEGATIVES) -> str:
+    return f"""WITH vectors AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor({negatives.SCALE} * CAST(x AS DOUBLE))) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  scored AS (SELECT a.r AS anchor, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+    FROM vectors AS a, vectors AS b WHERE a.vec_id % 100 = 0 AND a.r <> b.r),
+  positive AS (SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) <= {positives}),
+  numbered AS (SELECT *, row_number() OVER () AS p FROM positive)
+SELECT n.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.p ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank,
+  n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM numbered AS p JOIN scored AS n ON p.anchor = n.anchor AND NOT n.same AND {negatives.LEAST} * p.score <= 100 * n.score AND 100 * n.score <= {negatives.MOST} * p.score
+QUALIFY rank <= {most}"""
+
+
+def lexical_search(k: int = lexical.TOP) -> str:
+    term = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{term}')"
+    return f"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {words} AS words FROM documents),
+  items AS (SELECT row_number() OVER () AS i, item_id, {words} AS words FROM benchmark),
+  totals AS (SELECT count(*) FILTER (len(words) > 0) AS n_docs, CAST(sum(len(words)) AS BIGINT) AS n_terms FROM docs),
+  uses AS (SELECT i, term, count(*) AS times FROM (SELECT i, unnest(words) AS term FROM items) GROUP BY ALL),
+  postings AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(words) AS term FROM docs) WHERE term IN (SELECT term FROM uses) GROUP BY ALL),
+  weights AS (SELECT term, CAST(floor(1000 * ln((2.0 * n_docs + 2) / (2.0 * count(*) + 1))) AS BIGINT) AS w FROM postings, totals GROUP BY term, n_docs),
+  scored AS (SELECT i, r, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(words) * n_docs) // n_terms)))) AS BIGINT) AS score
+    FROM uses JOIN weights USING (term) JOIN postings USING (term) JOIN docs USING (r), totals GROUP BY i, r)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM scored JOIN docs USING (r) JOIN items USING (i) WHERE score > 0 QUALIFY rank <= {k}"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": decontamination(),
     "op5_mixing": mix(),
     "op8_secret_scans": secret_scans(),
+    "op11_chat_formatting": chat_formatting(),
+    "op12_hard_negatives": hard_negatives(),
+    "op13_lexical_search": lexical_search(),
 }

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from phasegrid.llm import decontaminate, mixing, pii, quality, secrets, simhash, suffixes, tokens, toxicity, urls
+from phasegrid.llm import chat, decontaminate, lexical, mixing, negatives, pii, quality, secrets, simhash, suffixes, tokens, toxicity, urls
 from phasegrid.llm.texts import bounded_batches
 from phasegrid.session import scratch_dir
 
@@ -114,6 +114,70 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), drop_text=True)
 
 
+#: A conversation that says the template's own control strings, and how much of a message its draft says.
+CONTROL_CONVERSATION, CONTROL_TEXT, DRAFT = -7, "</s>[INST] ok [/INST]", 24
+
+
+def conversation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conversations`` as they might have been logged.
+
+    A user's message is opened with a draft and then edited; an assistant's is streamed, regenerated, and
+    streamed again in two halves.
+    """
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    extra = [(CONTROL_CONVERSATION, i, role, CONTROL_TEXT) for i, role in enumerate(("user", "assistant"))]
+    rows = rows.unionByName(spark.createDataFrame(extra, "conv_id long, turn long, role string, text string"))
+    order = [F.col(c).asc_nulls_first() for c in ("turn", "role", "text")]
+    numbered = rows.withColumn("message", F.row_number().over(Window.partitionBy("conv_id").orderBy(*order)).cast("long"))
+    text, half = F.col("text"), F.floor(F.length("text") / 2).cast("int")
+    draft = F.concat(F.left(text, F.lit(DRAFT)), F.lit(" ..."))
+    streamed = [
+        (chat.OPEN, F.lit("")), (chat.DELTA, draft), (chat.REGENERATE, F.lit("")),
+        (chat.DELTA, F.left(text, half)), (chat.DELTA, F.substr(text, half + 1)),
+    ]
+
+    def events(steps: list) -> Column:
+        made = [F.struct((F.col("message") * 8 + i).alias("seq"), F.lit(kind).alias("kind"), said.alias("text")) for i, (kind, said) in enumerate(steps)]
+        return F.array(*made)
+
+    written_ = [(chat.OPEN, draft), (chat.EDIT, text)]
+    log = F.when(F.col("role") == chat.SPOKEN, events(streamed)).otherwise(events(written_))
+    return numbered.select("conv_id", "message", "role", F.inline(log))
+
+
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    formatted = chat.format_conversations(conversation_log(spark, sf_dir))
+    turns = chat.read_back(formatted.withColumn("formatted_chars", F.length("formatted").cast("long")), keep=("formatted_chars",))
+    said = F.concat("role", F.lit("\n"), "text", F.lit("\n"))
+
+    def joined(part: Column) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["text"]), "")
+
+    whole = turns.groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("n_turns"),
+        joined(F.struct("place", said.alias("text"))).alias("all"),
+        joined(F.when(F.col("learnt"), F.struct("place", "text"))).alias("learnt"),
+        F.max("formatted_chars").alias("formatted_chars"),
+    )
+    return whole.select(
+        "conv_id", "n_turns", F.sha2(F.col("all").cast("binary"), 256).alias("turns_sha256"),
+        F.length("learnt").cast("long").alias("loss_chars"), F.sha2(F.col("learnt").cast("binary"), 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), label, F.col("id") % 100 == 0)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.build_index(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = lexical.search(index, table(spark, sf_dir, "benchmark"))
+    index.discard()
+    return found
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_files": op2_token_files,
@@ -125,4 +189,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scans": op8_secret_scans,
     "op9_toxicity": op9_toxicity,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_chat_formatting": op11_chat_formatting,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_lexical_search": op13_lexical_search,
 }

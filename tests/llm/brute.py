@@ -163,3 +163,77 @@ def hosts(url):
 
 def held_out(doc_id):
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 3 == 1
+
+
+def chat(rows):
+    """{conv_id: (n_turns, turns_sha256, loss_chars, loss_sha256)} of (conv_id, turn, role, text) rows."""
+    first = lambda v: (v is not None, v if v is not None else 0)
+    of = {}
+    for c, turn, role, text in rows:
+        of.setdefault(c, []).append((first(turn), (role or "").encode(), (text or "").encode()))
+    made = {}
+    for c, turns in of.items():
+        turns = sorted(turns)
+        learnt = b"".join(t for _, r, t in turns if r == b"assistant")
+        made[c] = (len(turns), sha(b"".join(r + b"\n" + t + b"\n" for _, r, t in turns)), len(learnt.decode()), sha(learnt))
+    return made
+
+
+def fold(log):
+    """{(conv, message): (role, text)} by going through the events in order."""
+    kinds = ["open", "delta", "edit", "regenerate"]
+    key = lambda e: (e[1], kinds.index(e[3]), (e[4] is not None, e[4] or ""), e[5] or "")
+    state = {}
+    for conv, _, message, kind, role, text in sorted((e for e in log if e[3] in kinds), key=key):
+        old = state.get((conv, message), (None, ""))
+        if kind == "open":
+            state[conv, message] = (role, text or "")
+        elif kind == "delta":
+            state[conv, message] = (old[0], old[1] + (text or ""))
+        elif kind == "edit":
+            state[conv, message] = (old[0], text or "")
+        else:
+            state = {k: v for k, v in state.items() if k[0] != conv or k[1] <= message}
+            state[conv, message] = (old[0], "")
+    return {k: (role or "", text) for k, (role, text) in state.items()}
+
+
+def hard_negatives(rows):
+    import math
+
+    taken = [
+        (v, (lab + 1) % 10 if v % 7 == 0 else lab, [math.floor(256 * x) for x in e])
+        for v, e, lab in rows
+        if v is not None and e is not None and lab is not None and all(x is not None and math.isfinite(x) for x in e)
+    ]
+    score = lambda a, b: sum(x * y for x, y in zip(a, b, strict=False))
+    result = []
+    for i, (anchor, label, vector) in enumerate(taken):
+        if anchor % 100:
+            continue
+        scored = sorted((-score(vector, e), v, lab == label) for j, (v, lab, e) in enumerate(taken) if j != i)
+        for p, positive, _ in [s for s in scored if s[2]][:5]:
+            fit = [(-s, v) for s, v, same in scored if not same and 30 * -p <= 100 * -s <= 90 * -p][:10]
+            result += [(anchor, positive, rank, v, -p, s) for rank, (s, v) in enumerate(fit, 1)]
+    return result
+
+
+def ranking(docs, items, top=10):
+    import math
+
+    split = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    terms = [(d, Counter(split.findall(lower(t or "")))) for d, t in docs]
+    total = sum(sum(c.values()) for _, c in terms)
+    count = sum(bool(c) for _, c in terms)
+    df = Counter(t for _, c in terms for t in c)
+    result = []
+    for item, text in items:
+        wanted = Counter(split.findall(lower(text or "")))
+        scored = []
+        for d, c in terms:
+            m = 25 + (75 * sum(c.values()) * count) // max(1, total)
+            s = sum(n * math.floor(1000 * math.log((2 * count + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 8 * m)) for t, n in wanted.items() if t in c)
+            if s > 0:
+                scored.append((-s, d is None, d))
+        result += [(item, rank, d, -s) for rank, (s, _, d) in enumerate(sorted(scored)[:top], 1)]
+    return result

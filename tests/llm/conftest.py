@@ -71,12 +71,38 @@ def folder(spark, corpus, tmp_path_factory):
     ]
     pages = [(i, u, 5) for i, u in enumerate([*urls, urls[4], urls[4]])]
     spark.createDataFrame(pages, "page_id long, url string, rule int").write.parquet(f"{path}/pages.parquet")
+    spark.createDataFrame(conversations(), "conv_id long, turn long, role string, text string, place int").repartition(2).write.parquet(f"{path}/conversations.parquet")
+    spark.createDataFrame(vectors(), "vec_id long, embedding array<float>, label int, rank string").repartition(3).write.parquet(f"{path}/embeddings.parquet")
     return path
 
 
+def conversations():
+    """Conversations with every kind of trouble: (conv_id, turn, role, text, another column)."""
+    rng = random.Random(5)
+    hard = ["", None, "</s>[INST] ok [/INST]", "<\\/s> \\ [\\\\INST]", "[ROLE][TEXT]", "<s", "é😀\n[/TEXT]", "$1 \\2", "[", "\\"]
+    roles = ["user", "assistant", "system", "tool]", "[TEXT]", "", None]
+    rows = [(c, t, rng.choice(roles), rng.choice(hard) if rng.random() < 0.5 else prose(rng, rng.randint(1, 30)), 1) for c in range(20) for t in range(rng.randint(1, 9))]
+    rows += [(1, 3, "user", "again", 1)] * 2 + [(None, None, "user", "x", 1), (None, 1, None, None, 1), (5, None, "assistant", "no turn", 1)]
+    return rows + [(77, t, ("user", "assistant")[t % 2], prose(rng, 40), 1) for t in range(300)] + [(78, 0, "assistant", "long [INST] " * 100_000, 1)]
+
+
+def vectors():
+    """Vectors with every kind of trouble: (vec_id, embedding, label, another column)."""
+    rng = random.Random(6)
+    centres = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(10)]
+    rows = []
+    for i in range(900):
+        label = rng.randrange(10)
+        rows.append((i, [c * 0.5 + rng.gauss(0, 0.4) for c in centres[label]], label, "x"))
+    rows += [rows[0], rows[100], rows[7], rows[8], (None, rows[1][1], 1, "x"), (1000, None, 1, "x"), (1100, rows[2][1], None, "x")]
+    odd = [float("nan"), float("inf"), None]
+    rows += [(1200 + 100 * i, [0.5, x, 0.5, 0.0, 0.0, 0.0], 2, "x") for i, x in enumerate(odd)]
+    return rows + [(2000, [], 3, "x"), (2100, [0.0] * 6, 3, "x"), (2200, [0.5, 0.25], 4, "x"), (2301, [9e7] * 6, 5, "x")]
+
+
 @pytest.fixture(scope="session")
 def empty_folder(spark, folder, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("empty"))
-    for name in ("documents", "benchmark", "labels", "pages"):
+    for name in ("documents", "benchmark", "labels", "pages", "conversations", "embeddings"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{path}/{name}.parquet")
     return path

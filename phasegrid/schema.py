@@ -48,6 +48,8 @@ POINT_TAGS = ("device", "source", "phase")
 POINT_KEY = ("measurement",) + POINT_TAGS + ("ts",)
 POINT_FIELDS = MEASURES + LIVE_FIELDS
 
+STAMP = T.DecimalType(38, 0)
+
 # One row per point; a field that a point does not carry is null.
 POINT_SCHEMA = T.StructType(
     [
@@ -59,6 +61,8 @@ POINT_SCHEMA = T.StructType(
     + [T.StructField(name, T.DoubleType()) for name in POINT_FIELDS]
     + [
         T.StructField("written", T.LongType()),
+        # Only merged batches carry these: the precedence of each field, that of the batch its value came in.
+        T.StructField("stamps", T.StructType([T.StructField(name, STAMP) for name in POINT_FIELDS])),
         T.StructField("source", T.StringType()),
         T.StructField("date", T.DateType()),
         T.StructField("batch", T.StringType()),

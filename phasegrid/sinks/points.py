@@ -2,9 +2,10 @@
 
 A batch is named by its writer and a number of the writer's own, so writers never meet in a folder.
 A batch that is written again under its name replaces all it held. Which of several values of a point
-counts is told by ``written``, the time at which their batch began: the later one wins, field by
-field (``sources.latest_points``). Compaction keeps the latest ``written`` of what it merges, so
-every later write still wins.
+counts is told by the batch's stamp: the time ``written`` at which it began, then its name. The later one
+wins, field by field (``sources.latest_points``). Compaction keeps each value with the stamp of the batch it
+came in, so a batch that began before the compaction and ends after it, or takes part in the next one, has
+the same place among the others as without any compaction. A batch holds a point once.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import datetime as dt
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from urllib.parse import unquote
 
@@ -23,7 +25,7 @@ from phasegrid.functions import date_of
 from phasegrid.operators.filters import between, epoch_micros
 from phasegrid.operators.reshape import point_fields
 from phasegrid.schema import POINT_KEY, POINT_PARTITIONS, POINT_SCHEMA, RETENTION_WEEKS
-from phasegrid.sources.points import latest_points
+from phasegrid.sources.points import MERGED, field_stamp
 
 
 @dataclass(frozen=True)
@@ -38,7 +40,11 @@ class WriteOutcome:
 
 
 def ensure_table(spark: SparkSession, name: str, path: str) -> bool:
-    """Register the point store as a table if it is missing and show it all folders; tell whether it was created."""
+    """Register the point store as a table if it is missing and bring its partitions in step with the folders.
+
+    Folders that writes added become partitions, and partitions whose folders compaction or retention
+    removed go. Tells whether the table was created.
+    """
     created = not spark.catalog.tableExists(name)
     if created:
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in POINT_SCHEMA.fields)
@@ -47,7 +53,7 @@ def ensure_table(spark: SparkSession, name: str, path: str) -> bool:
             f"PARTITIONED BY ({', '.join(POINT_PARTITIONS)}) LOCATION '{path}'"
         )
     if _files(spark, path)[1]:
-        spark.catalog.recoverPartitions(name)
+        spark.sql(f"MSCK REPAIR TABLE {name} SYNC PARTITIONS")
     return created
 
 
@@ -71,7 +77,8 @@ def write_points(
     """Write ``points`` as one batch and report how many they were.
 
     A named batch replaces what it held before; ``replace=False`` saves looking for that where the
-    name is known to be new. ``written`` is the batch's precedence, by default the present time.
+    name is known to be new. ``written`` is when the batch began, by default now; merged points bring
+    their own stamps.
     ``counted`` is an observation with a metric ``rows`` on what the points came from.
 
     The rebalance step lets Spark size the files of each partition folder at run time: a folder with
@@ -81,9 +88,10 @@ def write_points(
     spark = points.sparkSession
     named, batch = batch is not None, batch or new_batch("batch")
     observed = Observation()
+    if "stamps" not in points.columns:
+        points = points.withColumn("written", F.lit(now_micros() if written is None else written).cast("bigint"))
     stored = (
-        points.withColumn("written", F.lit(now_micros() if written is None else written).cast("bigint"))
-        .withColumn("date", date_of(F.col("ts")))
+        points.withColumn("date", date_of(F.col("ts")))
         .withColumn("batch", F.lit(batch))
         .hint("rebalance", "source", "date")
         .observe(observed, F.count(F.lit(1)).alias("points"))
@@ -98,6 +106,19 @@ def write_points(
     return WriteOutcome(batch, _metric(observed, "points"), rows, time.monotonic() - started)
 
 
+def _merged(log: DataFrame) -> DataFrame:
+    """One row per point, each field with its latest value and that value's stamp."""
+    fields = point_fields(log)
+    ordered = log.select(*POINT_KEY, "written", *fields, *[field_stamp(f).alias(f"_stamp_{f}") for f in fields])
+    grouped = ordered.groupBy(*POINT_KEY).agg(
+        F.max("written").alias("written"),
+        *[F.max_by(f, f"_stamp_{f}").alias(f) for f in fields],
+        *[F.max(f"_stamp_{f}").alias(f"_stamp_{f}") for f in fields],
+    )
+    stamps = F.struct(*[F.col(f"_stamp_{f}").alias(f) for f in fields]).alias("stamps")
+    return grouped.select(*POINT_KEY, *fields, "written", stamps)
+
+
 def _metric(observed: Observation, name: str) -> int:
     try:
         return observed.get[name]
@@ -135,17 +156,25 @@ def retained(points: DataFrame, now: dt.datetime, weeks: int = RETENTION_WEEKS)
 
 
 def compact_points(
-    spark: SparkSession, path: str, before: dt.date, now: dt.datetime | None = None, weeks: int = RETENTION_WEEKS
+    spark: SparkSession,
+    path: str,
+    before: dt.date,
+    now: dt.datetime | None = None,
+    weeks: int = RETENTION_WEEKS,
+    of: Callable[[str], bool] | None = None,
+    table: str | None = None,
 ) -> WriteOutcome | None:
     """Merge the batches of each closed day, a day before ``before``, into one; with ``now``, drop what is past retention.
 
-    Only days with more than one batch, and days that retention touches, are read. The merged batch is
-    written first and the folders it replaces are removed afterwards, so a failure loses nothing:
-    until then both are there and tell the same.
+    Only days with more than one batch, and days that retention touches, are read; ``of`` narrows the
+    batches that are merged by their name. The merged batch is written first and the folders it replaces
+    are removed afterwards, so a failure loses nothing: until then both are there and tell the same.
+    ``table`` names a registered table to bring in step.
     """
     days: dict[tuple[str, str], list[str]] = {}
-    for source, date, _, folder in batch_folders(spark, path):
-        days.setdefault((source, date), []).append(folder)
+    for source, date, batch, folder in batch_folders(spark, path):
+        if of is None or of(batch):
+            days.setdefault((source, date), []).append(folder)
     oldest = None if now is None else now - dt.timedelta(weeks=weeks)
     edge = None if oldest is None else str(_utc_day(oldest))
     old = [f for (_, date), folders in days.items() if edge is not None and date < edge for f in folders]
@@ -156,15 +185,15 @@ def compact_points(
         if date < str(before) and (edge is None or date >= edge) and (len(folders) > 1 or date == edge)
         for f in folders
     ]
-    if not merged:
-        return None
-    log = spark.read.schema(POINT_SCHEMA).option("basePath", path).parquet(*merged)
-    if oldest is not None:
-        log = between(log, start=oldest, column="ts")
-    newest = log.agg(F.max("written")).first()[0] or 0
-    current = latest_points(log).select(*POINT_KEY, *point_fields(log))
-    outcome = write_points(current, path, new_batch("compacted"), written=newest, replace=False)
-    _remove(spark, path, merged)
+    outcome = None
+    if merged:
+        log = spark.read.schema(POINT_SCHEMA).option("basePath", path).parquet(*merged)
+        if oldest is not None:
+            log = between(log, start=oldest, column="ts")
+        outcome = write_points(_merged(log), path, new_batch(MERGED), replace=False)
+        _remove(spark, path, merged)
+    if table is not None:
+        ensure_table(spark, table, path)
     return outcome
 
 

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.errors import StreamingQueryException
@@ -10,6 +11,7 @@ from phasegrid.operators import reshape
 from phasegrid.plans import live_active_power
 from phasegrid.schema import LIVE_FIELDS, POINT_KEY, POINT_SCHEMA
 from phasegrid.sinks import compact_points, ensure_table, retained, write_lines, write_points
+from phasegrid.sinks.points import batch_folders
 from phasegrid.sources import latest_points, message_stream, point_log, read_json_lines, read_points
 from phasegrid.streaming import live, read_windowed_mean, stop, stream_windowed_mean, write_live, write_windowed_mean
 from test_messages import message, meter
@@ -105,6 +107,77 @@ def test_compaction_and_retention(spark, tmp_path):
     assert last.points == 2
 
 
+def test_compaction_keeps_the_order_of_writes(spark, tmp_path):
+    """A batch that began earlier than another series' merged batch, and is stored later, still wins over what it came after."""
+    path = str(tmp_path / "store")
+    write_points(live_point(spark, [(NOON, "a", 1.0, 1.0)]), path, written=10)
+    write_points(live_point(spark, [(NOON, "b", 5.0, 5.0)]), path, written=30)
+    compact_points(spark, path, dt.date(2030, 1, 1))
+    write_points(live_point(spark, [(NOON, "a", 2.0, None)]), path, written=20)
+    expected = [("a", 2.0, 1.0), ("b", 5.0, 5.0)]
+    assert tuples(read_points(spark, path), "phase", "current", "voltage") == expected
+    compact_points(spark, path, dt.date(2030, 1, 1))
+    assert tuples(read_points(spark, path), "phase", "current", "voltage") == expected
+    write_points(live_point(spark, [(NOON, "a", 0.5, 7.0)]), path, written=15)
+    assert tuples(read_points(spark, path), "phase", "current", "voltage") == [("a", 2.0, 7.0), ("b", 5.0, 5.0)]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_any_interleaving_of_writes_and_compactions(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    path, wanted, written = str(tmp_path / "store"), {}, {}
+    for i in range(7):
+        rows = [
+            (NOON + dt.timedelta(days=d), p, rng.choice([None, rng.random()]), rng.choice([None, rng.random()]))
+            for d in range(2) for p in "ab" if rng.random() < 0.7
+        ]
+        # Two batches may begin in the same instant, and a later write may have begun earlier.
+        name, began = f"b{i}", rng.randrange(4)
+        write_points(live_point(spark, rows), path, name, written=began)
+        written[name] = began, spark.range(1).select(F.xxhash64(F.lit(name))).first()[0]
+        for ts, phase, *values in rows:
+            for field, value in zip(("current", "voltage"), values, strict=True):
+                held = wanted.get((ts, phase, field))
+                if value is not None and (held is None or written[name] > held[0]):
+                    wanted[ts, phase, field] = written[name], value
+        if rng.random() < 0.5:
+            compact_points(spark, path, rng.choice([dt.date(2024, 1, 2), dt.date(2030, 1, 1)]))
+        found = {
+            (r.ts, r.phase, f): r[f] for r in read_points(spark, path).collect() for f in ("current", "voltage") if r[f] is not None
+        }
+        assert found == {k: v for k, (_, v) in wanted.items()}
+
+
+def test_a_merged_range_is_read_without_a_shuffle(spark, tmp_path):
+    path = str(tmp_path / "store")
+    for i in range(2):
+        write_points(live_point(spark, [(NOON + dt.timedelta(days=d), "a", float(i), None) for d in range(3)]), path)
+    compact_points(spark, path, dt.date(2024, 1, 3))
+    merged = read_points(spark, path, stop="2024-01-02T12:00:01", fields=["current"])
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+    assert tuples(merged, "ts", "current") == [(NOON, 1.0), (NOON + dt.timedelta(days=1), 1.0)]
+    # An open day is merged, and only that one.
+    both = read_points(spark, path, fields=["current"])
+    assert "Exchange" in both._jdf.queryExecution().executedPlan().toString()
+    assert [r[1] for r in tuples(both, "ts", "current")] == [1.0, 1.0, 1.0]
+    assert read_points(spark, path, stop="2024-01-02T12:00:01", fields=["voltage"]).count() == 0
+
+
+def test_table_follows_compaction_and_retention(spark, tmp_path):
+    path = str(tmp_path / "store")
+    old = utc("2020-01-01T00:00:00")
+    for i in range(2):
+        write_points(live_point(spark, [(NOON, "a", float(i), 1.0), (old, "a", 9.0, 9.0)]), path)
+    ensure_table(spark, "points_in_step", path)
+    assert spark.sql("SHOW PARTITIONS points_in_step").count() == 4
+    compact_points(spark, path, dt.date(2024, 1, 2), now=NOON + dt.timedelta(days=3), table="points_in_step")
+    shown = {r[0] for r in spark.sql("SHOW PARTITIONS points_in_step").collect()}
+    assert shown == {f"source={s}/date={d}/batch={b}" for s, d, b, _ in batch_folders(spark, path)} and len(shown) == 1
+    assert tuples(latest_points(spark.table("points_in_step")), "current", "voltage") == [(1.0, 1.0)]
+    spark.sql("DROP TABLE points_in_step")
+
+
 def test_table_shows_the_store(spark, tmp_path):
     path = str(tmp_path / "store")
     write_points(live_point(spark, [(NOON, "a", 1.0, 1.0)]), path)

@@ -67,7 +67,7 @@ def _narrow(values: np.ndarray) -> np.ndarray:
     return values.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4")
 
 
-def invert(texts: pa.Array) -> tuple[list[str], np.ndarray, pa.Array, list[bytes], np.ndarray]:
+def invert(texts: pa.Array) -> tuple[pa.Array, np.ndarray, pa.Array, pa.Array, np.ndarray]:
     """Terms of a shard with df, list-level impacts and encoded postings, and the lengths of its documents."""
     words = Words(texts, ALPHANUMERIC_LOWER)
     sizes, docs = words.counts, len(texts)
@@ -91,8 +91,9 @@ def invert(texts: pa.Array) -> tuple[list[str], np.ndarray, pa.Array, list[bytes
     lasts = np.append(firsts[1:], len(term))
     block_starts = np.searchsorted(firsts, starts)
     impact_starts = np.searchsorted(impact_block, np.arange(len(firsts) + 1))
+    many = np.flatnonzero(df > 1)
     lists = []
-    for i in range(len(df)):
+    for i in many.tolist():
         blocks = range(block_starts[i], block_starts[i + 1])
         coded = [(_narrow(gaps[firsts[b] : lasts[b]]), _narrow(tf[firsts[b] : lasts[b]])) for b in blocks]
         head = np.array(
@@ -102,6 +103,14 @@ def invert(texts: pa.Array) -> tuple[list[str], np.ndarray, pa.Array, list[bytes
         front = impact[impact_starts[blocks.start] : impact_starts[blocks.stop]]
         data = b"".join(x.tobytes() for pair in coded for x in pair)
         lists.append(np.uint32(len(head)).tobytes() + head.tobytes() + front.tobytes() + data)
+    # Most terms stand in one document only; their lists have one layout and are written together.
+    one = np.flatnonzero(df == 1)
+    at, ones = starts[one], np.ones(len(one), np.int64)
+    rows = np.column_stack([ones, doc[at], ones, 4 * ones, 4 * ones, ones, tf[at], sizes[doc[at]], doc[at], tf[at]]).astype("<u4")
+    width = rows.shape[1] * 4
+    offsets = np.arange(len(one) + 1, dtype=np.int32) * width
+    singles = pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(offsets), pa.py_buffer(rows.tobytes())])
+    lists = pa.concat_arrays([singles, pa.array(lists, pa.binary())]).take(pa.array(np.argsort(np.concatenate([one, many]))))
     return words.values.cast(pa.string()), df, fronts, lists, sizes
 
 
@@ -169,7 +178,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Ind
                 terms, df, fronts, lists, sizes = invert(piece.column(1).cast(pa.large_binary()))
                 n = len(terms)
                 none = [pa.nulls(n, kinds.field(c).type) for c in ("ids", "sizes", "n_docs", "n_terms")]
-                columns = [pa.array([shard] * n, pa.int64()), terms, pa.array(df.astype(np.int32)), fronts.cast(kinds.field("best").type), pa.array(lists, pa.binary())]
+                columns = [pa.array([shard] * n, pa.int64()), terms, pa.array(df.astype(np.int32)), fronts.cast(kinds.field("best").type), lists]
                 yield pa.RecordBatch.from_arrays([*columns, *none], schema=kinds)
                 own = {"shard": [shard], "ids": [piece.column(0).to_pylist()], "sizes": [sizes.astype("<i8").tobytes()], "n_docs": [int((sizes > 0).sum())], "n_terms": [int(sizes.sum())]}
                 yield pa.RecordBatch.from_pydict({f.name: own.get(f.name, [None]) for f in kinds}, kinds)

@@ -111,7 +111,7 @@ def test_index_blocks(docs):
         lexical.BLOCK = block
     assert sizes.tolist() == [len(d.split()) for d in docs]
     shard = lexical.Shard(sizes, 50, 700)
-    for term, n, front, data in zip(terms.to_pylist(), df.tolist(), fronts.to_pylist(), lists, strict=True):
+    for term, n, front, data in zip(terms.to_pylist(), df.tolist(), fronts.to_pylist(), lists.to_pylist(), strict=True):
         p = lexical.Postings(data)
         found = [(d, f) for b in range(len(p.last)) for d, f in zip(*(x.tolist() for x in p.block(b)), strict=True)]
         assert found == [(i, d.split().count(term)) for i, d in enumerate(docs) if term in d.split()] and len(found) == n
@@ -131,7 +131,7 @@ def test_blocks_are_rejected_before_they_are_decoded(monkeypatch):
     for limit in (0, 1):
         shard = lexical.Shard(sizes, 4000, total)
         uses = []
-        for term, n, front, data in zip(terms.to_pylist(), df.tolist(), fronts.to_pylist(), lists, strict=True):
+        for term, n, front, data in zip(terms.to_pylist(), df.tolist(), fronts.to_pylist(), lists.to_pylist(), strict=True):
             if term != "pad":
                 w = int(1000 * np.log(8002 / (2 * n + 1)))
                 best = np.array([(f["tf"], f["n"]) for f in front])

@@ -2,7 +2,7 @@
 
 Each task cuts its documents into shards of bounded bytes and inverts each shard: a row per term and shard
 with the term's postings, in blocks of ``BLOCK`` documents. A block is stored as document gaps and term
-frequencies of as few bytes as they need, and can be decoded alone. Beside it stand its impacts: those pairs
+frequencies, of two bytes where they fit, and can be decoded alone. Beside it stand its impacts: those pairs
 (frequency, length of the document) that no other posting of the block beats in both. From them the largest
 score a block can give follows exactly, whatever the statistics of the corpus turn out to be; so one pass over
 the texts makes the index, and the counts N, L and df are sums over it.
@@ -45,6 +45,8 @@ BLOCK, RANGE = 128, 2048
 FIRST = 8
 #: Queries that search a shard together.
 QUERIES = 512
+#: Terms that a task hands on at once.
+TERMS = 100_000
 TOP = 10
 
 _INDEX = (
@@ -62,15 +64,13 @@ def _pareto(owner: np.ndarray, tf: np.ndarray, n: np.ndarray) -> np.ndarray:
     return order[np.concatenate([[True], least[1:] < least[:-1]])] if len(order) else order
 
 
-def _narrow(values: np.ndarray) -> np.ndarray:
-    top = int(values.max()) if len(values) else 0
-    return values.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4")
-
-
 def invert(texts: pa.Array) -> tuple[pa.Array, np.ndarray, pa.Array, pa.Array, np.ndarray]:
     """Terms of a shard with df, list-level impacts and encoded postings, and the lengths of its documents."""
     words = Words(texts, ALPHANUMERIC_LOWER)
     sizes, docs = words.counts, len(texts)
+    if not len(words.ids):
+        kind = pa.list_(pa.struct([("tf", pa.int32()), ("n", pa.int32())]))
+        return pa.array([], pa.string()), np.zeros(0, np.int64), pa.array([], kind), pa.array([], pa.large_binary()), sizes
     pairs, tf = np.unique(words.ids * docs + words.owners(), return_counts=True)
     term, doc = pairs // docs, pairs % docs
     df = np.bincount(term, minlength=len(words.values))
@@ -84,33 +84,42 @@ def invert(texts: pa.Array) -> tuple[pa.Array, np.ndarray, pa.Array, pa.Array, n
     opens = place % BLOCK == 0
     block = np.cumsum(opens) - 1
     impacts = _pareto(block, tf, sizes[doc])
-    impact_block, impact = block[impacts], np.column_stack([tf[impacts], sizes[doc[impacts]]]).astype("<u4")
+    impact_block, impact = block[impacts], np.column_stack([tf[impacts], sizes[doc[impacts]]])
     gaps = np.diff(doc, prepend=0)
     gaps[opens] = doc[opens]
     firsts = np.flatnonzero(opens)
     lasts = np.append(firsts[1:], len(term))
     block_starts = np.searchsorted(firsts, starts)
     impact_starts = np.searchsorted(impact_block, np.arange(len(firsts) + 1))
-    many = np.flatnonzero(df > 1)
-    lists = []
-    for i in many.tolist():
-        blocks = range(block_starts[i], block_starts[i + 1])
-        coded = [(_narrow(gaps[firsts[b] : lasts[b]]), _narrow(tf[firsts[b] : lasts[b]])) for b in blocks]
-        head = np.array(
-            [(doc[lasts[b] - 1], lasts[b] - firsts[b], g.itemsize, f.itemsize, impact_starts[b + 1] - impact_starts[b]) for b, (g, f) in zip(blocks, coded, strict=True)],
-            "<u4",
-        )
-        front = impact[impact_starts[blocks.start] : impact_starts[blocks.stop]]
-        data = b"".join(x.tobytes() for pair in coded for x in pair)
-        lists.append(np.uint32(len(head)).tobytes() + head.tobytes() + front.tobytes() + data)
-    # Most terms stand in one document only; their lists have one layout and are written together.
-    one = np.flatnonzero(df == 1)
-    at, ones = starts[one], np.ones(len(one), np.int64)
-    rows = np.column_stack([ones, doc[at], ones, 4 * ones, 4 * ones, ones, tf[at], sizes[doc[at]], doc[at], tf[at]]).astype("<u4")
-    width = rows.shape[1] * 4
-    offsets = np.arange(len(one) + 1, dtype=np.int32) * width
-    singles = pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(offsets), pa.py_buffer(rows.tobytes())])
-    lists = pa.concat_arrays([singles, pa.array(lists, pa.binary())]).take(pa.array(np.argsort(np.concatenate([one, many]))))
+    fronts_a_block, blocks_a_term = np.diff(impact_starts), np.diff(block_starts)
+    front_starts = impact_starts[block_starts]
+    # All lists are laid out at once, in units of two bytes; a wide number takes two of them.
+    wide_gap, wide_tf = 1 + int(docs > 1 << 16), 1 + int(int(tf.max()) >= 1 << 16)
+    units = 4 + 6 * blocks_a_term + 4 * np.diff(front_starts) + (wide_gap + wide_tf) * df
+    base = np.cumsum(units) - units
+    out = np.zeros(int(units.sum()), "<u2")
+
+    def put(at: np.ndarray, values: np.ndarray, wide: int = 2) -> None:
+        out[at] = values & 0xFFFF
+        if wide == 2:
+            out[at + 1] = values >> 16
+
+    put(base, blocks_a_term)
+    put(base + 2, np.full(len(base), wide_gap + (wide_tf << 8)))
+    of_block = term[firsts]
+    head = base[of_block] + 4 + 6 * (np.arange(len(firsts)) - block_starts[of_block])
+    for i, values in enumerate((doc[lasts - 1], lasts - firsts, fronts_a_block)):
+        put(head + 2 * i, values)
+    of_front = of_block[impact_block]
+    at = base[of_front] + 4 + 6 * blocks_a_term[of_front] + 4 * (np.arange(len(impacts)) - front_starts[of_front])
+    put(at, impact[:, 0])
+    put(at + 2, impact[:, 1])
+    within = np.arange(len(term)) - firsts[block]
+    data = (base + 4 + 6 * blocks_a_term + 4 * np.diff(front_starts))[term] + (wide_gap + wide_tf) * (firsts[block] - starts[term])
+    put(data + wide_gap * within, gaps, wide_gap)
+    put(data + wide_gap * (lasts - firsts)[block] + wide_tf * within, tf, wide_tf)
+    offsets = np.append(base, len(out)).astype(np.int64) * 2
+    lists = pa.Array.from_buffers(pa.large_binary(), len(df), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
     return words.values.cast(pa.string()), df, fronts, lists, sizes
 
 
@@ -118,24 +127,24 @@ class Postings:
     """One term's list in one shard; blocks are decoded when asked for."""
 
     def __init__(self, data: bytes):
-        n = int(np.frombuffer(data, "<u4", 1)[0])
-        self.data = data
-        head = np.frombuffer(data, "<u4", 5 * n, 4).reshape(n, 5).astype(np.int64)
-        self.last, self.counts, self.gap_bytes, self.tf_bytes = head[:, 0], head[:, 1], head[:, 2], head[:, 3]
-        ends = np.cumsum(head[:, 4])
-        self.front_starts = ends - head[:, 4]
-        self.front = np.frombuffer(data, "<u4", 2 * int(ends[-1]), 4 + 20 * n).reshape(-1, 2).astype(np.int64)
-        sizes = self.counts * (self.gap_bytes + self.tf_bytes)
-        self.at = 4 + 20 * n + 8 * int(ends[-1]) + np.cumsum(sizes) - sizes
+        n, code = (int(x) for x in np.frombuffer(data, "<u4", 2))
+        self.data, self.wide_gap, self.wide_tf = data, 2 * (code & 0xFF), 2 * (code >> 8)
+        head = np.frombuffer(data, "<u4", 3 * n, 8).reshape(n, 3).astype(np.int64)
+        self.last, self.counts = head[:, 0], head[:, 1]
+        ends = np.cumsum(head[:, 2])
+        self.front_starts = ends - head[:, 2]
+        self.front = np.frombuffer(data, "<u4", 2 * int(ends[-1]), 8 + 12 * n).reshape(-1, 2).astype(np.int64)
+        sizes = self.counts * (self.wide_gap + self.wide_tf)
+        self.at = 8 + 12 * n + 8 * int(ends[-1]) + np.cumsum(sizes) - sizes
         #: What a shard's search has made of the blocks: the largest shares, and documents with their shares.
         self.maxima: np.ndarray | None = None
         self.shared: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def block(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """Documents and frequencies of the block ``i``."""
-        count, at, wide = int(self.counts[i]), int(self.at[i]), int(self.gap_bytes[i])
-        gaps = np.frombuffer(self.data, f"<u{wide}", count, at)
-        tf = np.frombuffer(self.data, f"<u{int(self.tf_bytes[i])}", count, at + count * wide)
+        count, at = int(self.counts[i]), int(self.at[i])
+        gaps = np.frombuffer(self.data, f"<u{self.wide_gap}", count, at)
+        tf = np.frombuffer(self.data, f"<u{self.wide_tf}", count, at + count * self.wide_gap)
         return np.cumsum(gaps, dtype=np.int64), tf.astype(np.int64)
 
     def between(self, low: int, high: int) -> range:
@@ -176,10 +185,12 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Ind
         for batch in batches:
             for piece in pieces(batch):
                 terms, df, fronts, lists, sizes = invert(piece.column(1).cast(pa.large_binary()))
-                n = len(terms)
-                none = [pa.nulls(n, kinds.field(c).type) for c in ("ids", "sizes", "n_docs", "n_terms")]
-                columns = [pa.array([shard] * n, pa.int64()), terms, pa.array(df.astype(np.int32)), fronts.cast(kinds.field("best").type), lists]
-                yield pa.RecordBatch.from_arrays([*columns, *none], schema=kinds)
+                for at in range(0, len(terms), TERMS):
+                    n = min(TERMS, len(terms) - at)
+                    none = [pa.nulls(n, kinds.field(c).type) for c in ("ids", "sizes", "n_docs", "n_terms")]
+                    own = [pa.array(df[at : at + n].astype(np.int32)), fronts.slice(at, n).cast(kinds.field("best").type)]
+                    columns = [pa.array(np.full(n, shard)), terms.slice(at, n), *own, lists.slice(at, n).cast(pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*columns, *none], schema=kinds)
                 own = {"shard": [shard], "ids": [piece.column(0).to_pylist()], "sizes": [sizes.astype("<i8").tobytes()], "n_docs": [int((sizes > 0).sum())], "n_terms": [int(sizes.sum())]}
                 yield pa.RecordBatch.from_pydict({f.name: own.get(f.name, [None]) for f in kinds}, kinds)
                 shard += 1

@@ -11,14 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from phasegrid.operators import energy, quality, reshape
 from phasegrid.operators.dedup import dedup
 from phasegrid.session import configure
-from phasegrid.sources.csv import DeviceSource, load_readings
+from phasegrid.sources.csv import FAIL, SET_ASIDE, DeviceSource, load_readings, rejected_readings
 
 
 @dataclass(frozen=True)
 class MeterData:
-    """Readings of one or more devices, as loaded: ``rows`` still has the copies of overlapping files."""
+    """Readings of one or more devices, as loaded: ``rows`` still has the copies of overlapping files.
+
+    ``rejected`` has the rows that were set aside, if that was asked for.
+    """
 
     rows: DataFrame
+    rejected: DataFrame | None = None
 
     @classmethod
     def load(
@@ -27,10 +31,16 @@ class MeterData:
         sources: Sequence[DeviceSource],
         start: dt.datetime | str | None = None,
         end: dt.datetime | str | None = None,
+        set_aside: bool = False,
     ) -> MeterData:
-        """Readings from ``start`` to ``end``, both included. A value that cannot be read fails the query."""
+        """Readings from ``start`` to ``end``, both included.
+
+        A value that cannot be read, in whichever column, fails the query with its device and file;
+        with ``set_aside`` such rows are left out and kept in ``rejected``.
+        """
         configure(spark)
-        return cls(load_readings(spark, sources, start=start, end=end, check_time=True))
+        rows = load_readings(spark, sources, start=start, end=end, bad=SET_ASIDE if set_aside else FAIL)
+        return cls(rows, rejected_readings(spark, sources, start, end) if set_aside else None)
 
     @property
     def readings(self) -> DataFrame:

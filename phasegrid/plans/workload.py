@@ -9,7 +9,8 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phasegrid.functions import (
@@ -29,13 +30,15 @@ from phasegrid.plans.dashboards import csv_active_energy, live_active_power
 from phasegrid.plans.imports import import_csv
 from phasegrid.schema import LIVE_FIELDS, MEASURES, NEUTRAL_MEASURES, PHASES, WIDE_COLUMNS
 from phasegrid.session import configure, scratch_dir
-from phasegrid.sinks import compact_points, ensure_table, retained, write_lines, write_points
-from phasegrid.sources import DeviceSource, latest_points, load_readings, message_stream, read_points
-from phasegrid.streaming import live, read_windowed_mean, stream_windowed_mean, write_live, write_windowed_mean
+from phasegrid.sinks import compact_points, ensure_table, read_outcomes, record_outcome, retained, write_lines, write_points
+from phasegrid.sources import DeviceSource, latest_points, load_readings, message_stream, point_log, read_points
+from phasegrid.streaming import live, read_windowed_mean, stream_seconds, write_live, write_seconds
 
 NOW = dt.datetime(2024, 1, 31)
 START, STOP = "2024-01-05 07:30:00", "2024-01-20 16:45:00"
 ZONE = "Europe/Berlin"
+#: Retention seen from here goes back to the start of 2024-01-16.
+NOON_OF_RETENTION = dt.datetime(2024, 12, 31)
 DEVICES = ("dev0", "dev1", "dev2")
 ERROR = "'error'"
 PHASE_SCALE = {"a": 1.0, "b": 0.5, "c": 0.25}
@@ -350,15 +353,14 @@ def store_two_streams(spark, sf_dir):
 def store_compact_then_stream(spark, sf_dir):
     """A stream writes, the store is compacted, the same stream goes on with its next micro-batches."""
     folder, path = scratch_dir(spark, "messages"), scratch_dir(spark, "stream")
-    late = F.pmod(F.xxhash64("value"), F.lit(3)) == 0
-    messages = status_messages(spark, sf_dir).select("value")
-    messages.where(~late).write.mode("append").text(folder)
+    late = F.col("event_id") % 3 == 0
+    messages = status_messages(spark, sf_dir)
+    messages.where(~late).select("value").write.mode("append").text(folder)
     _run_stream(spark, folder, path, path)
     compact_points(spark, path, dt.date(2100, 1, 1))
-    messages.where(late).write.mode("append").text(folder)
+    messages.where(late).select("value").write.mode("append").text(folder)
     _run_stream(spark, folder, path, path)
-    points = reshape.field_values(read_points(spark, path), LIVE_FIELDS)
-    return points.groupBy("device", "phase", "field").agg(F.count(F.lit(1)).alias("n"))
+    return plain(reshape.field_values(read_points(spark, path), LIVE_FIELDS))
 
 
 def store_rewrite_fewer_days(spark, sf_dir):
@@ -376,11 +378,19 @@ def store_open_range(spark, sf_dir):
 
 
 def points_registered(spark, sf_dir):
-    """The store read through its registered table."""
+    """The store read through its registered table, before and after a second batch, compaction and retention.
+
+    The table's partitions are told beside the points: they are those of the folders.
+    """
     path = _stored(spark, sf_dir)
     name = f"points_{path.rsplit('-', 1)[-1]}"
     ensure_table(spark, name, path)
-    return plain(reshape.field_values(latest_points(spark.table(name))))
+    write_points(_points(spark, sf_dir), path)
+    compact_points(spark, path, dt.date(2100, 1, 1), now=NOON_OF_RETENTION, table=name)
+    days = spark.sql(f"SHOW PARTITIONS {name}").select(F.regexp_extract("partition", "date=([^/]*)", 1).alias("day"))
+    counted = days.groupBy("day").agg(F.count(F.lit(1)).alias("partitions"))
+    points = reshape.field_values(latest_points(spark.table(name)))
+    return plain(points.withColumn("day", F.date_format("ts", "yyyy-MM-dd")).join(counted, "day", "left").drop("day"))
 
 
 def retention(spark, sf_dir):
@@ -593,12 +603,11 @@ def _overlapping_sources(spark: SparkSession, sf_dir: str) -> list[DeviceSource]
     minute = (F.col("timestamp") / 60).cast("bigint")
     both = minute % 2 == 0
     twice = [(F.col(c) * 2).alias(c) for c in WIDE_COLUMNS[1:]]
-    for d in DEVICES:
-        mine = rows.where(F.col("device") == d).drop("device").coalesce(1)
-        mine.where(both | (minute % 4 == 1)).write.option("header", True).csv(f"{path}/a/{d}")
-        second = mine.where(both | (minute % 4 == 3)).select("timestamp", *twice)
-        second.select(*reversed(second.columns)).write.option("header", True).csv(f"{path}/b/{d}")
-    return [DeviceSource(f"{path}/{part}/{d}", d) for d in DEVICES for part in "ab"]
+    first = rows.where(both | (minute % 4 == 1))
+    first.write.partitionBy("device").option("header", True).csv(f"{path}/a")
+    second = rows.where(both | (minute % 4 == 3)).select("timestamp", *twice, "device")
+    second.select(*reversed(second.columns)).write.partitionBy("device").option("header", True).csv(f"{path}/b")
+    return [DeviceSource(f"{path}/{part}/device={d}", d) for d in DEVICES for part in "ab"]
 
 
 def csv_roundtrip(spark, sf_dir):
@@ -613,6 +622,35 @@ def csv_analysis(spark, sf_dir):
     return plain(data.readings.withColumn("file", which))
 
 
+def csv_bad_cell(spark, sf_dir):
+    """Every ``error`` reading has a text among its values: these are set aside, the energy of the others is summed."""
+    path = scratch_dir(spark, "csv")
+    rows = first_readings(spark, sf_dir).na.fill(0.0)
+    faulty = F.col("file") == "error"
+    cells = {
+        "b_max_voltage": F.when(faulty, F.lit("n/a")).otherwise(F.col("b_max_voltage").cast("string")),
+        "n_avg_current": F.when(faulty & (F.unix_seconds("timestamp") % 120 == 0), F.lit("-")).otherwise(F.col("n_avg_current").cast("string")),
+    }
+    rows.withColumns(cells).select(F.unix_seconds("timestamp").alias("timestamp"), *WIDE_COLUMNS[1:], "device").write.partitionBy(
+        "device"
+    ).option("header", True).csv(path)
+    data = MeterData.load(spark, [DeviceSource(f"{path}/device={d}", d) for d in DEVICES], set_aside=True)
+    second = F.timestamp_seconds(F.split_part("line", F.lit(","), F.lit(1)).cast("bigint"))
+    rejected = data.rejected.select("device", second.alias("timestamp"), F.array_join("columns", " ").alias("columns"), F.lit(None).cast("double").alias("kwh"))
+    daily = data.total_energy("1d", ("device",), keep_window_start=True)
+    kept = daily.select("device", F.col("window_start").alias("timestamp"), F.lit(None).cast("string").alias("columns"), F.col("total_act_energy_kwh").alias("kwh"))
+    return plain(rejected.unionByName(kept), kwh=9)
+
+
+def weekday_ordered(spark, sf_dir):
+    """The weekday profile in its order: each row with its place in the sorted frame."""
+    data = MeterData(readings(spark, sf_dir))
+    placed = data.total_energy_by_day_of_week().withColumn("_place", F.monotonically_increasing_id())
+    # A week's profile has seven rows a series; numbering it takes one small window.
+    place = F.row_number().over(Window.orderBy("_place"))
+    return plain(placed.withColumn("place", place).drop("_place"), total_act_energy_kwh=9)
+
+
 def csv_keep_last(spark, sf_dir):
     path = scratch_dir(spark, "imported")
     import_csv(spark, _overlapping_sources(spark, sf_dir), path)
@@ -654,11 +692,61 @@ def stream_rejected(spark, sf_dir):
 
 def stream_mean(spark, sf_dir):
     folder, path = _message_folder(spark, sf_dir), scratch_dir(spark, "means")
-    means = stream_windowed_mean(
-        message_stream(spark, folder), device_names(spark), "act_power", "6 hours", "1 hour", phase=PHASES
-    )
-    write_windowed_mean(means, path, f"{path}-checkpoint", {"availableNow": True}).awaitTermination()
-    return plain(read_windowed_mean(spark, path), value=9)
+    seconds = stream_seconds(message_stream(spark, folder), device_names(spark), "act_power", "1 hour", phase=PHASES)
+    write_seconds(seconds, path, f"{path}-checkpoint", {"availableNow": True}).awaitTermination()
+    return plain(read_windowed_mean(spark, path, "6 hours"), value=9)
+
+
+def stream_flushed(spark, sf_dir):
+    """A stream under a processing-time trigger, bounded to a file a batch, stopped and started again between files.
+
+    Every second batch it merges the folders of the batches before. The days are told with the points: none
+    is left with more than the merged folder and those of two batches.
+    """
+    folder, path = scratch_dir(spark, "messages"), scratch_dir(spark, "stream")
+    messages = status_messages(spark, sf_dir)
+    for half in (0, 1):
+        part = F.col("event_id") % 2 == half
+        messages.where(part).select("value").repartition(3).write.mode("append").text(folder)
+        query = write_live(
+            message_stream(spark, folder, max_files_per_trigger=1), device_names(spark), path, f"{path}-rejected", f"{path}-checkpoint",
+            trigger={"processingTime": "100 milliseconds"}, merge_every=2, outcomes=f"{path}-outcomes",
+        )
+        query.processAllAvailable()
+        live.stop(query)
+    batches = read_outcomes(spark, f"{path}-outcomes").where("outcome = 'success'").count()
+    folders = point_log(spark, path).groupBy("date").agg(F.countDistinct("batch").alias("n")).agg(F.max("n").alias("n"))
+    points = reshape.field_values(read_points(spark, path), LIVE_FIELDS).groupBy("measurement", "device", "source", "phase", "ts", "field").agg(F.count(F.lit(1)).alias("n"))
+    return plain(points.withColumns({"merged": F.lit(folders.first()[0] <= 3), "batches": F.lit(batches >= 6)}))
+
+
+def write_outcomes(spark, sf_dir):
+    """What became of three batches: one stored, one whose first attempt failed, one stored twice under its name."""
+    folder, path = scratch_dir(spark, "messages"), scratch_dir(spark, "stream")
+    write_lines(status_messages(spark, sf_dir).select("value"), folder)
+    told = f"{path}-outcomes"
+
+    def run(on_batch=None) -> None:
+        query = write_live(
+            message_stream(spark, folder), device_names(spark), path, f"{path}-rejected", f"{path}-checkpoint",
+            trigger={"availableNow": True}, outcomes=told, on_batch=on_batch,
+        )
+        query.awaitTermination()
+
+    def broken(events: DataFrame, outcome) -> None:
+        raise RuntimeError("no room left")
+
+    try:
+        run(broken)
+    except StreamingQueryException:
+        run()
+    points = _points(spark, sf_dir)
+    for _ in range(2):
+        record_outcome(spark, told, write_points(points, path, "import-1"))
+    record_outcome(spark, told, write_points(points.where("phase = 'a'"), path, "import-2"))
+    kind = F.when(F.col("batch").startswith("live-"), "live").otherwise(F.col("batch"))
+    error = F.when(F.col("error").contains("no room left"), "no room left")
+    return read_outcomes(spark, told).select(kind.alias("batch"), "attempt", "outcome", "points", "rows", error.alias("error"))
 
 
 QUERIES: dict[str, Query] = {
@@ -679,6 +767,7 @@ QUERIES: dict[str, Query] = {
     "energy_shipments_monthly": _shipped_energy("1mo"),
     "energy_shipments_weekly": _shipped_energy("1w"),
     "energy_weekday": energy_weekday,
+    "weekday_ordered": weekday_ordered,
     "energy_per_timestamp": energy_per_timestamp,
     "energy_since_age": energy_since_age,
     "energy_range": energy_range,
@@ -739,7 +828,10 @@ QUERIES: dict[str, Query] = {
     "csv_range": csv_range,
     "csv_keep_last": csv_keep_last,
     "csv_analysis": csv_analysis,
+    "csv_bad_cell": csv_bad_cell,
     "stream_points": stream_points,
     "stream_rejected": stream_rejected,
     "stream_mean": stream_mean,
+    "stream_flushed": stream_flushed,
+    "write_outcomes": write_outcomes,
 }

@@ -156,9 +156,8 @@ _ACCEPTED = f"""accepted AS (SELECT event_id, ts, value, event_type, {_EVENT_SRC
   WHERE event_type IN ('view', 'click') AND user_id % 50 <> 49)"""
 
 
-def _live_points(source: str = "accepted") -> str:
+def _live_points(source: str = "accepted", order: str = "epoch_us(ts) AS us, src") -> str:
     head = "SELECT 'em' AS measurement, device, 'live' AS source, '{}' AS phase, date_trunc('second', ts) AS ts"
-    order = "epoch_us(ts) AS us, src"
     parts = [
         head.format(p) + ", " + ", ".join(f"value * {_number(s * (i + 1))} AS {f}" for i, f in enumerate(LIVE_FIELDS))
         + f", {order} FROM {source}"
@@ -179,6 +178,11 @@ _LIVE_LATEST = f"""{_LIVE}, long AS (SELECT * FROM ({" UNION ALL ".join(
     f"SELECT measurement, device, source, phase, ts, us, src, '{f}' AS field, {f} AS value FROM points WHERE {f} IS NOT NULL"
     for f in LIVE_FIELDS)})
   QUALIFY row_number() OVER (PARTITION BY device, phase, ts, field ORDER BY us DESC, src DESC) = 1)"""
+_LATEST_IN_PARTS = f"""WITH {_ACCEPTED}, points AS ({_live_points(order='epoch_us(ts) AS us, src, event_id % 3 = 0 AS late')})
+SELECT measurement, device, source, phase, ts, field, value FROM ({" UNION ALL ".join(
+    f"SELECT measurement, device, source, phase, ts, us, src, late, '{f}' AS field, {f} AS value FROM points WHERE {f} IS NOT NULL"
+    for f in LIVE_FIELDS)})
+  QUALIFY row_number() OVER (PARTITION BY device, phase, ts, field ORDER BY late DESC, us DESC, src DESC) = 1"""
 _LATEST = f"{_LIVE_LATEST} SELECT measurement, device, source, phase, ts, field, value FROM long"
 
 
@@ -251,6 +255,11 @@ ORACLE_SQL: dict[str, str] = {
 SELECT CAST(isodow(date) AS INTEGER) AS day_of_week_num, device, phase,
   round(avg(kwh), 9) AS total_act_energy_kwh, {_WEEKDAY.format('date')} AS day_of_week
 FROM daily GROUP BY ALL""",
+    "weekday_ordered": f"""{_WITH_LONG}, {_DAILY}
+SELECT *, CAST(row_number() OVER (ORDER BY day_of_week_num, device, phase) AS INTEGER) AS place FROM (
+  SELECT CAST(isodow(date) AS INTEGER) AS day_of_week_num, device, phase,
+  round(avg(kwh), 9) AS total_act_energy_kwh, {_WEEKDAY.format('date')} AS day_of_week
+FROM daily GROUP BY ALL)""",
     "energy_per_timestamp": f"""{_WITH_LONG} SELECT timestamp, round(coalesce(sum(e), 0), 6) AS total_act_energy
 FROM long GROUP BY timestamp""",
     "energy_since_age": _energy(
@@ -354,16 +363,33 @@ SELECT *, make_timestamp(ts * 1000000) AS timestamp FROM blocks""",
     "stream_mean": f"""{_LIVE_LATEST} SELECT measurement, device, source, phase, field,
     make_timestamp({6 * _HOUR} * (epoch_us(ts) // {6 * _HOUR} + 1)) AS time, round(avg(value), 9) AS value
   FROM long WHERE field = 'act_power' AND phase IN ('a', 'b', 'c') GROUP BY ALL""",
+    "stream_flushed": f"""{_LIVE_LATEST} SELECT measurement, device, source, phase, ts, field,
+    CAST(1 AS BIGINT) AS n, TRUE AS merged, TRUE AS batches FROM long""",
+    "write_outcomes": f"""{_POINTS}, live AS (SELECT count(DISTINCT (device, phase, ts)) AS points FROM ({_live_points("l")})),
+  accepted AS (SELECT count(*) AS rows FROM l), stored AS (SELECT count(*) AS points, count(*) FILTER (phase = 'a') AS few FROM points)
+SELECT 'live' AS batch, 1 AS attempt, 'error' AS outcome, CAST(0 AS BIGINT) AS points, CAST(NULL AS BIGINT) AS rows, 'no room left' AS error
+UNION ALL SELECT 'live', 2, 'retry', points, rows, NULL FROM live, accepted
+UNION ALL SELECT 'import-1', 1, 'success', points, NULL, NULL FROM stored
+UNION ALL SELECT 'import-1', 2, 'retry', points, NULL, NULL FROM stored
+UNION ALL SELECT 'import-2', 1, 'success', few, NULL, NULL FROM stored""".replace("WITH ", f"WITH {_ACCEPTED.replace('accepted AS', 'l AS', 1)}, ", 1),
     "csv_analysis": f"""{_WITH_FIRST} SELECT timestamp, {_scaled("CASE WHEN minute % 4 = 3 THEN 2 ELSE 1 END")}, device,
   CASE WHEN minute % 4 = 3 THEN 'b' ELSE 'a' END AS file FROM (SELECT *, epoch_us(timestamp) // 60000000 AS minute FROM first_rows)""",
     "csv_keep_last": f"""{_WITH_FIRST}, filled AS (SELECT timestamp, {_scaled("CASE WHEN minute % 4 = 1 THEN 1 ELSE 2 END")}, device
     FROM (SELECT *, epoch_us(timestamp) // 60000000 AS minute FROM first_rows)),
   points AS ({_csv_points('filled')}) {_field_values('points', MEASURES)}""",
     "store_two_streams": _LATEST,
-    "store_compact_then_stream": f"{_LIVE_LATEST} SELECT device, phase, field, count(*) AS n FROM long GROUP BY ALL",
+    # Of two values of a second the one stored later counts: that of the events of the second part.
+    "store_compact_then_stream": _LATEST_IN_PARTS,
     "store_rewrite_fewer_days": f"{_POINTS}, early AS (SELECT * FROM points WHERE ts < TIMESTAMP '2024-01-16') {_field_values('early', MEASURES)}",
     "store_open_range": f"{_POINTS}, later AS (SELECT * FROM points WHERE ts >= TIMESTAMP '2024-01-16') {_field_values('later', MEASURES)}",
-    "points_registered": _POINTS_LONG,
+    "points_registered": f"{_POINTS}, kept AS (SELECT * FROM points WHERE ts >= TIMESTAMP '2024-01-16') "
+    f"SELECT *, CAST(1 AS BIGINT) AS partitions FROM ({_field_values('kept', MEASURES)})",
+    "csv_bad_cell": f"""{_WITH_FIRST} SELECT device, timestamp,
+    'b_max_voltage' || CASE WHEN epoch_us(timestamp) // 1000000 % 120 = 0 THEN ' n_avg_current' ELSE '' END AS columns, CAST(NULL AS DOUBLE) AS kwh
+  FROM first_rows WHERE file = 'error'
+  UNION ALL SELECT device, date_trunc('day', timestamp), NULL,
+    round((sum(a_total_act_energy) + sum(b_total_act_energy) + sum(coalesce(c_total_act_energy, 0))) * CAST(0.001 AS DOUBLE), 9)
+  FROM first_rows WHERE file <> 'error' GROUP BY ALL""",
     "system_status": """SELECT event_id, CASE WHEN event_type = 'error' THEN 'sys: missing uptime' END AS error,
   CASE WHEN event_type <> 'error' THEN 'mac-' || user_id END AS mac,
   CASE WHEN event_type <> 'error' THEN event_id + 3 END AS unixtime,

@@ -163,13 +163,14 @@ def compact_points(
     weeks: int = RETENTION_WEEKS,
     of: Callable[[str], bool] | None = None,
     table: str | None = None,
+    name: str = "",
 ) -> WriteOutcome | None:
     """Merge the batches of each closed day, a day before ``before``, into one; with ``now``, drop what is past retention.
 
     Only days with more than one batch, and days that retention touches, are read; ``of`` narrows the
     batches that are merged by their name. The merged batch is written first and the folders it replaces
     are removed afterwards, so a failure loses nothing: until then both are there and tell the same.
-    ``table`` names a registered table to bring in step.
+    ``table`` names a registered table to bring in step; ``name`` goes into the merged batch's own.
     """
     days: dict[tuple[str, str], list[str]] = {}
     for source, date, batch, folder in batch_folders(spark, path):
@@ -190,7 +191,7 @@ def compact_points(
         log = spark.read.schema(POINT_SCHEMA).option("basePath", path).parquet(*merged)
         if oldest is not None:
             log = between(log, start=oldest, column="ts")
-        outcome = write_points(_merged(log), path, new_batch(MERGED), replace=False)
+        outcome = write_points(_merged(log), path, new_batch(f"{MERGED}-{name}" if name else MERGED), replace=False)
         _remove(spark, path, merged)
     if table is not None:
         ensure_table(spark, table, path)

@@ -4,16 +4,16 @@ from phasegrid.streaming.live import (
     live_points,
     read_windowed_mean,
     stop,
-    stream_windowed_mean,
+    stream_seconds,
     write_live,
-    write_windowed_mean,
+    write_seconds,
 )
 
 __all__ = [
     "live_points",
     "read_windowed_mean",
     "stop",
-    "stream_windowed_mean",
+    "stream_seconds",
     "write_live",
-    "write_windowed_mean",
+    "write_seconds",
 ]

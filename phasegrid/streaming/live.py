@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 from collections.abc import Callable, Sequence
 
@@ -13,8 +14,10 @@ from phasegrid.operators.filters import with_tags
 from phasegrid.operators.joins import attach_device_name, device_lookup
 from phasegrid.operators.messages import parse_messages
 from phasegrid.operators.reshape import event_points
-from phasegrid.sinks.points import WriteOutcome, now_micros, write_points
-from phasegrid.sources.points import latest_points
+from phasegrid.schema import POINT_KEY
+from phasegrid.sinks.outcomes import record_outcome
+from phasegrid.sinks.points import WriteOutcome, compact_points, now_micros, write_points
+from phasegrid.sources.points import MERGED, latest_points
 
 FLUSH_INTERVAL = "1 second"
 
@@ -72,6 +75,8 @@ def write_live(
     trigger: dict | None = None,
     on_batch: Callable[[DataFrame, WriteOutcome], None] | None = None,
     on_failure: Callable[[WriteOutcome], None] | None = None,
+    outcomes: str | None = None,
+    merge_every: int | None = None,
 ) -> StreamingQuery:
     """Start the live pipeline.
 
@@ -80,6 +85,11 @@ def write_live(
     cannot be processed go to ``dead_letters`` with the reason and stop nothing. ``on_batch`` sees
     each batch of accepted events; ``on_failure`` sees a batch that could not be stored, before the
     stream ends with the error. ``devices`` is read again for each batch.
+
+    How often points are flushed is the ``trigger``'s part, how many at once the source's
+    (``message_stream``'s bounds). After every ``merge_every`` batches the stream merges the folders of its
+    own finished batches, so their number per day stays small. ``outcomes`` names a table of what became of
+    each attempt (``sinks.read_outcomes``).
     """
     known: dict[str, str] = {}
 
@@ -106,9 +116,18 @@ def write_live(
             )
             if on_batch is not None:
                 on_batch(accepted, outcome)
+            if merge_every is not None and batch_id and batch_id % merge_every == 0:
+                own = f"live-{known['stream']}-"
+                # The present batch may be tried again under its name; those before it are done.
+                compact_points(spark, path, dt.date.max, of=lambda b: b != name and b.startswith((own, f"{MERGED}-{own}")), name=own)
+            if outcomes is not None:
+                record_outcome(spark, outcomes, outcome)
         except Exception as error:
+            failed = WriteOutcome(name, 0, None, 0.0, str(error))
+            if outcomes is not None:
+                record_outcome(spark, outcomes, failed)
             if on_failure is not None:
-                on_failure(WriteOutcome(name, 0, None, 0.0, str(error)))
+                on_failure(failed)
             raise
         finally:
             events.unpersist()
@@ -117,51 +136,48 @@ def write_live(
     return writer.trigger(**(trigger or {"processingTime": FLUSH_INTERVAL})).start()
 
 
-def stream_windowed_mean(
+def stream_seconds(
     raw: DataFrame,
     devices: DataFrame,
     field: str,
-    every: str,
     late: str,
     device: str | Sequence[str] | None = None,
     phase: str | Sequence[str] | None = None,
 ) -> DataFrame:
-    """Mean of one field per series and window over a stream of notifications, for update mode.
+    """One field of a stream of notifications, one value per series and second, for update mode.
 
-    As in the store, a series has one value per second, that of its latest event; the state of a
-    window holds those. A window, open ones included, comes again with each batch that changes it.
-    Windows are ``every`` long in Spark's interval syntax and are labelled with their end. Events
-    later than ``late`` may be left out; state older than that is dropped.
+    As in the store, the latest event of a second counts; a second comes again with each batch that changes
+    it. The state holds one value and its event per series and second, not older than ``late``; events later
+    than that may be left out.
     """
     points = live_points(raw, devices, carry=["event"]).withWatermark("ts", late)
     tags = {name: value for name, value in (("device", device), ("phase", phase)) if value is not None}
     values = with_tags(points, **tags).where(F.col(field).isNotNull())
-    series = ["measurement", "device", "source", "phase"]
-    of_window = F.collect_set(F.struct("ts", "event", F.col(field).alias("value")))
-    grouped = values.groupBy(F.window("ts", every), *series).agg(of_window.alias("values"))
-    latest = F.filter(
-        "values",
-        lambda v: ~F.exists("values", lambda o: (o["ts"] == v["ts"]) & (o["event"] > v["event"])),
-    )
-    total = F.aggregate(latest, F.lit(0.0), lambda a, v: a + v["value"])
-    return grouped.select(*series, F.lit(field).alias("field"), F.col("window.end").alias("time"), (total / F.size(latest)).alias("value"))
+    latest = values.groupBy(*POINT_KEY).agg(F.max_by(field, "event").alias("value"), F.max("event").alias("event"))
+    return latest.select(*POINT_KEY, F.lit(field).alias("field"), "value", "event")
 
 
-def write_windowed_mean(means: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Keep every version of the windows of ``stream_windowed_mean`` below ``path``; a repeated batch replaces itself."""
+def write_seconds(seconds: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Keep every version of the values of ``stream_seconds`` below ``path``; a repeated batch replaces itself."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         stored = batch.withColumn("batch", F.lit(batch_id).cast("bigint"))
         stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
-    writer = means.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = seconds.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": FLUSH_INTERVAL})).start()
 
 
-def read_windowed_mean(spark: SparkSession, path: str) -> DataFrame:
-    """The latest value of every window, the open ones included."""
-    series = ["measurement", "device", "source", "phase", "field", "time"]
-    return spark.read.parquet(path).groupBy(*series).agg(F.max_by("value", "batch").alias("value"))
+def read_windowed_mean(spark: SparkSession, path: str, every: str) -> DataFrame:
+    """Mean per series and window of what ``write_seconds`` stored, open windows included.
+
+    Windows are ``every`` long in Spark's interval syntax and carry their end. Both stages are hash
+    aggregations: the latest value of each second, then the mean of the seconds of each window.
+    """
+    series = ["measurement", "device", "source", "phase", "field"]
+    seconds = spark.read.parquet(path).groupBy(*series, "ts").agg(F.max_by("value", "event").alias("value"))
+    means = seconds.groupBy(*series, F.window("ts", every)).agg(F.avg("value").alias("value"))
+    return means.select(*series, F.col("window.end").alias("time"), "value")
 
 
 def stop(query: StreamingQuery, timeout: int = 60) -> bool:

@@ -158,6 +158,51 @@ def test_bad_values(spark, tmp_path, write_csv, cell):
         load_readings(spark, source, strict=True).select("device").collect()
 
 
+@pytest.mark.parametrize("columns", [WIDE_COLUMNS, WIDE_COLUMNS[::-1]])
+@pytest.mark.parametrize("change", ["text", "long", "short"])
+def test_a_bad_cell_fails_an_analysis_of_other_columns(spark, tmp_path, write_csv, columns, change):
+    write_csv(tmp_path / "one" / "x.csv", [0, 60])
+    path = write_csv(tmp_path / "two" / "y.csv", [0], columns=columns, change={"c_max_voltage": "abc"} if change == "text" else None)
+    if change != "text":
+        head, row = (tmp_path / "two" / "y.csv").read_text().splitlines()
+        (tmp_path / "two" / "y.csv").write_text(f"{head}\n{row + ',1' if change == 'long' else row.rsplit(',', 1)[0]}\n")
+    sources = [DeviceSource(str(tmp_path / d), d) for d in ("one", "two")]
+    with pytest.raises(Exception, match="Cannot read|No time") as info:
+        MeterData.load(spark, sources).total_energy("1d").collect()
+    text = str(info.value)
+    assert f"{path}, device two" in text and ("c_max_voltage" in text) == (change == "text")
+    data = MeterData.load(spark, sources, set_aside=True)
+    assert tuples(data.readings, "device") == [("one",), ("one",)]
+    rejected = data.rejected.collect()
+    assert [(r.device, r.file) for r in rejected] == [("two", path)]
+    assert change != "text" or rejected[0].columns == ["c_max_voltage"]
+
+
+def test_empty_cells_are_no_faults(spark, tmp_path, write_csv):
+    write_csv(tmp_path / "x.csv", [0], change={"a_total_act_energy": ""})
+    data = MeterData.load(spark, [DeviceSource(str(tmp_path), "d")])
+    assert data.readings.first().a_total_act_energy is None and data.readings.first().b_total_act_energy is not None
+    assert tuples(data.total_energy("1d"), "phase", "total_act_energy_kwh")[0] == ("a", 0.0)
+
+
+def test_a_row_without_a_time_fails_within_bounds_too(spark, tmp_path, write_csv):
+    write_csv(tmp_path / "x.csv", [0, 60, 120])
+    (tmp_path / "x.csv").write_text((tmp_path / "x.csv").read_text().replace("\n60,", "\nsoon,"))
+    with pytest.raises(Exception, match="No time in a row"):
+        MeterData.load(spark, [DeviceSource(str(tmp_path), "d")], start="1970-01-01T00:01:30").readings.collect()
+
+
+def test_files_are_listed_by_spark(spark, tmp_path, write_csv):
+    write_csv(tmp_path / "x_1.csv", [0])
+    write_csv(tmp_path / "x_2.csv", [], columns=WIDE_COLUMNS[::-1])
+    (tmp_path / "x_3.csv").write_text("\n \n" * 5000)
+    index = csv.file_index(spark, [str(tmp_path)])
+    assert tuples(index, "file", "has_rows") == [(str(tmp_path / f"x_{i}.csv"), i == 1) for i in (1, 2, 3)]
+    assert {r.folder for r in index.collect()} == {str(tmp_path)}
+    plan = csv.file_index(spark, [str(tmp_path)], headers=False)._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan
+
+
 def test_import_keeps_last(spark, tmp_path, write_csv):
     source = tmp_path / "in"
     write_csv(source / "x_1.csv", [0, 60], change={"a_avg_current": "1.5"})

@@ -13,7 +13,7 @@ from phasegrid.schema import LIVE_FIELDS, POINT_KEY, POINT_SCHEMA
 from phasegrid.sinks import compact_points, ensure_table, retained, write_lines, write_points
 from phasegrid.sinks.points import batch_folders
 from phasegrid.sources import latest_points, message_stream, point_log, read_json_lines, read_points
-from phasegrid.streaming import live, read_windowed_mean, stop, stream_windowed_mean, write_live, write_windowed_mean
+from phasegrid.streaming import live, read_windowed_mean, stop, stream_seconds, write_live, write_seconds
 from test_messages import message, meter
 
 
@@ -298,14 +298,12 @@ def test_stream_mean_equals_the_stored_one(spark, tmp_path, devices):
     landing.mkdir()
     (landing / "1.txt").write_text("\n".join(texts(0, 150, 0.3)))
     (landing / "2.txt").write_text("\n".join(texts(150, 150, 2.0)))
-    means = stream_windowed_mean(
-        message_stream(spark, str(landing), 1), devices, "act_power", "1 minute", "1 hour", phase="a"
-    )
-    assert write_windowed_mean(means, out, str(tmp_path / "c"), {"availableNow": True}).awaitTermination(120)
+    seconds = stream_seconds(message_stream(spark, str(landing), 1), devices, "act_power", "1 hour", phase="a")
+    assert write_seconds(seconds, out, str(tmp_path / "c"), {"availableNow": True}).awaitTermination(120)
     events = live.parse_events(read_json_lines(spark, str(landing)), devices).where("route = 'status'")
     points = live.batch_points(events).where("phase = 'a'")
     batch = live_active_power(points, ["kitchen", "cellar"], "1m", "2024-01-01", "2025-01-01")
-    got = tuples(read_windowed_mean(spark, out), "device", "time", F.round("value", 6))
+    got = tuples(read_windowed_mean(spark, out, "1 minute"), "device", "time", F.round("value", 6))
     assert got == tuples(batch, "device", "time", F.round("value", 6)) and len(got) >= 8
     assert points.count() < live.live_points(read_json_lines(spark, str(landing)), devices).where("phase = 'a'").count()
 

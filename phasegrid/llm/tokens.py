@@ -15,14 +15,17 @@ are all written, by the hash of their text; an empty table writes an empty index
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +44,16 @@ _PLAIN = re.compile(rb"[A-Za-z]+\Z")
 _JOINED = 256
 
 
+def _parts_of(path: str) -> regex.Pattern | None:
+    """The expression by which a tokenizer file cuts words into parts, if it has one."""
+    with open(path, encoding="utf-8") as file:
+        cutting = json.load(file).get("pre_tokenizer") or {}
+    for step in cutting.get("pretokenizers", [cutting]):
+        if step.get("type") == "Split" and step.get("invert") and "Regex" in step["pattern"]:
+            return regex.compile(step["pattern"]["Regex"])
+    return None
+
+
 class WordEncoder:
     """Ids of whole texts from a tokenizer that splits at white space and drops it.
 
@@ -57,24 +70,34 @@ class WordEncoder:
         self.ends = np.zeros(size, bool)
         for token, code in self.tokenizer.get_vocab().items():
             self.ends[code] = token.endswith("</w>")
+        self.parts = _parts_of(path)
         self.known: dict[bytes, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _closing(self, word: str) -> int:
+        """How many ids of a word close a part of it; 0 if that is not known beforehand."""
+        if self.parts is None or "<|" in word or not unicodedata.is_normalized("NFC", word):
+            return 0
+        return len(self.parts.findall(word.lower()))
+
     def _learn(self, words: list[bytes]) -> None:
-        plain = [w for w in words if _PLAIN.match(w)]
-        other = [w for w in words if not _PLAIN.match(w)]
-        # A word of letters ends with the one id that closes a word, so many can be encoded as one text.
-        runs = [plain[i : i + _JOINED] for i in range(0, len(plain), _JOINED)]
-        for run, ids in zip(runs, self._encode([b" ".join(r).decode() for r in runs]), strict=True):
+        # The tokenizer closes each part of a word with an id of its kind. Where the number of parts is known,
+        # many words are encoded as one text and cut apart after so many closing ids.
+        counted = [(w, 1 if _PLAIN.match(w) else self._closing(w.decode())) for w in words]
+        joined = [(w, n) for w, n in counted if n]
+        other = [w for w, n in counted if not n]
+        runs = [joined[i : i + _JOINED] for i in range(0, len(joined), _JOINED)]
+        for run, ids in zip(runs, self._encode([b" ".join([w for w, _ in r]).decode() for r in runs]), strict=True):
             coded = np.array(ids, self.type)
             last = np.flatnonzero(self.ends[coded]) + 1
-            if len(last) != len(run):
-                other += run
+            parts = np.cumsum([n for _, n in run])
+            if len(last) != parts[-1] or last[-1] != len(coded):
+                other += [w for w, _ in run]
                 continue
             flat, width, at = coded.tobytes(), self.type.itemsize, 0
-            for word, end in zip(run, (last * width).tolist(), strict=True):
+            for (word, _), end in zip(run, (last[parts - 1] * width).tolist(), strict=True):
                 self.known[word] = flat[at:end]
                 at = end
         for word, ids in zip(other, self._encode([w.decode() for w in other]), strict=True):

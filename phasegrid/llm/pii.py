@@ -15,6 +15,7 @@ patterns count; positions are code points; spans of one kind never overlap; equa
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -315,16 +316,28 @@ def _spans(tags: np.ndarray) -> Iterator[tuple[str, int, int]]:
         yield KINDS[(tags[a] - 1) // 2], a, b
 
 
+def _possible(kind: str, found: str) -> bool:
+    """A card's digits have a checksum; one that fails is no card, however alike it looks."""
+    return kind != "card" or luhn("".join(c for c in found if c in "0123456789"))
+
+
 def _reconciled(found: dict[tuple[str, int, int], float]) -> list[tuple[str, int, int, float]]:
     """The set of spans without overlap whose confidences, by length, sum up highest."""
     rows = sorted(((b, a, kind, sure) for (kind, a, b), sure in found.items()))
     ends = [r[0] for r in rows]
-    best: list[tuple[float, list]] = [(0.0, [])]
+    # For each number of spans looked at: the best sum, and the last span taken for it with what came before.
+    best, taken = [0.0], [None]
     for n, (b, a, kind, sure) in enumerate(rows):
-        k = int(np.searchsorted(ends[:n], a, "right"))
-        with_it = best[k][0] + sure * (b - a)
-        best.append((with_it, [*best[k][1], (kind, a, b, sure)]) if with_it > best[-1][0] else best[-1])
-    return best[-1][1]
+        k = bisect_right(ends, a, 0, n)
+        with_it = best[k] + sure * (b - a)
+        better = with_it > best[-1]
+        best.append(with_it if better else best[-1])
+        taken.append(((kind, a, b, sure), taken[k]) if better else taken[-1])
+    chosen, link = [], taken[-1]
+    while link is not None:
+        span, link = link
+        chosen.append(span)
+    return chosen[::-1]
 
 
 def training_windows(docs: DataFrame, text: str = "text", limit: int = SAMPLE_WINDOWS) -> tuple[np.ndarray, np.ndarray]:
@@ -386,7 +399,9 @@ def find_personal_data(docs: DataFrame, net: Network | None, text: str = "text",
             taken = np.zeros(len(content) + 1, bool)
             for _, a, b in fixed:
                 taken[a:b] = True
-            added = [(k, a, b) for k, a, b, sure in more if sure >= confidence and not taken[a:b].any()]
+            added = [
+                (k, a, b) for k, a, b, sure in more if sure >= confidence and not taken[a:b].any() and _possible(k, content[a:b])
+            ]
             base[i], all_[i] = rows(fixed), rows(fixed + added)
         return {"base_spans": base, "spans": all_}
 

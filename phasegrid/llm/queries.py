@@ -107,7 +107,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     field = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
     scored = toxicity.score_texts(docs, field, drop_text=True)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    offending = F.array_join(F.transform("toxic_spans", lambda s: F.concat_ws(":", s["start"], s["end"], F.round(s["marginal"], 3))), ",")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", offending.alias("offending"))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,18 +116,44 @@ def fit(labelled: DataFrame) -> Field | float:
     ratios = np.clip(np.array([row["ratio"] for row in known] + [0.0]), -4.0, 6.0)
     least = max(2.0, MARK_SHARE * toxic)
     marks = np.array([row["ratio"] > MARK_RATIO and row["toxic_docs"] >= least for row in known] + [False])
-    small = labelled.withColumn("text", F.coalesce("text", F.lit(""))).filter(F.octet_length("text") <= SAMPLE_BYTES)
-    order = F.xxhash64("text")
-    sample = [small.filter(F.col("toxic") == t).orderBy(order, "text").limit(SAMPLE_DOCUMENTS).toArrow() for t in (0, 1)]
+    field = Field(numbers, ratios, np.array([-3.0, 0.5, 0.0, 0.0]), np.zeros(len(ratios)), np.array([[0.0, -2.0], [-1.0, 0.0]]), -2.0, np.zeros(3))
+    filled = labelled.withColumn("text", F.coalesce("text", F.lit("")))
+    chosen = [filled.filter(F.col("toxic") == t).orderBy(F.xxhash64("text"), "text").limit(SAMPLE_DOCUMENTS) for t in (0, 1)]
+    sample = [_windows(rows, field, marks).toArrow() for rows in chosen]
     texts = pa.concat_arrays([c.cast(pa.large_binary()) for part in sample for c in part.column("text").chunks] or [pa.array([], pa.large_binary())])
     labels = np.repeat([0, 1], [part.num_rows for part in sample])
-    field = Field(numbers, ratios, np.array([-3.0, 0.5, 0.0, 0.0]), np.zeros(len(ratios)), np.array([[0.0, -2.0], [-1.0, 0.0]]), -2.0, np.zeros(3))
     _train(field, Words(texts, ALPHANUMERIC_LOWER), labels, marks)
     field.shift = math.log(toxic / clean) - math.log(max(1, labels.sum()) / max(1, (1 - labels).sum()))
     _calibrate(field, texts, labels)
     return field
 
 
+def _windows(rows: DataFrame, field: Field, marks: np.ndarray) -> DataFrame:
+    """The texts of ``rows``; of one longer than ``SAMPLE_BYTES`` the run of its words, so long, with most marked ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch):
+                texts = piece.column(0).cast(pa.large_binary())
+                yield pa.RecordBatch.from_arrays([pa.array([_window(texts[i : i + 1], field, marks) for i in range(len(texts))], pa.binary())], names=["text"])
+
+    return rows.select(F.col("text").cast("binary").alias(TEXT)).mapInArrow(run, "text binary")
+
+
+def _window(text: pa.Array, field: Field, marks: np.ndarray) -> bytes:
+    raw = text[0].as_py()
+    if len(raw) <= SAMPLE_BYTES:
+        return raw
+    words = Words(text, ALPHANUMERIC_LOWER)
+    values = words.values.cast(pa.large_binary()).to_pylist()
+    ends = np.cumsum(np.array([len(v) + 1 for v in values], np.int64)[words.ids])
+    marked = np.concatenate([[0], np.cumsum(marks[field.known(values)][words.ids])])
+    starts = np.arange(len(ends))
+    stops = np.searchsorted(ends, np.where(starts > 0, ends[starts - 1], 0) + SAMPLE_BYTES, "right")
+    first = int((marked[stops] - marked[starts]).argmax()) if len(ends) else 0
+    return b" ".join(values[i] for i in words.ids[first : stops[first]].tolist()) if len(ends) else b""
+
+
 class _Stream:
     """Emissions of a run of texts and what forward-backward makes of them."""
 
@@ -261,7 +287,9 @@ def _calibrate(field: Field, texts: pa.Array, labels: np.ndarray) -> None:
 
 
 def score_texts(docs: DataFrame, field: Field | float, text: str = "text", threshold: float = THRESHOLD, drop_text: bool = False) -> DataFrame:
-    """Each row with ``score``, ``predicted`` and ``toxic_spans`` (start and end word of each offending run)."""
+    """Each row with ``score``, ``predicted`` and ``toxic_spans``: the code points [start, end) of each offending
+    run of words, and the largest marginal in it.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(field)
 
     def work(texts: pa.Array) -> dict:
@@ -274,21 +302,24 @@ def score_texts(docs: DataFrame, field: Field | float, text: str = "text", thres
         score = _probability(_evidence(p, words.starts) @ field.scale)
         return {"score": score, "predicted": (score >= threshold).astype(np.int32), "toxic_spans": _spans(p, words)}
 
-    return map_texts(docs, work, "score double, predicted int, toxic_spans array<struct<first:bigint,last:bigint,marginal:double>>", text, drop_text=drop_text)
+    return map_texts(docs, work, "score double, predicted int, toxic_spans array<struct<start:bigint,end:bigint,marginal:double>>", text, drop_text=drop_text)
 
 
 def _spans(p: np.ndarray, words: Words) -> list[list[dict]]:
-    """Runs of tokens that are rather toxic than not, as word numbers within their text."""
+    """Runs of words that are rather toxic than not, as places in their text."""
     spans: list[list[dict]] = [[] for _ in range(len(words.starts) - 1)]
     hot = np.flatnonzero(p > SPAN_MARGINAL)
     owners = np.searchsorted(words.starts, hot, "right") - 1
-    for i, owner in zip(hot.tolist(), owners.tolist(), strict=True):
-        at, mine = i - int(words.starts[owner]), spans[owner]
-        if mine and mine[-1]["last"] == at - 1:
-            mine[-1]["last"] = at
-            mine[-1]["marginal"] = max(mine[-1]["marginal"], float(p[i]))
-        else:
-            mine.append({"first": at, "last": at, "marginal": float(p[i])})
+    for owner in np.unique(owners).tolist():
+        mine = hot[owners == owner]
+        data = np.frombuffer(words.data, np.uint8, int(words.ends[owner + 1] - words.ends[owner]), int(words.ends[owner]))
+        edges = np.diff(np.concatenate([[False], data != 32, [False]]).astype(np.int8))
+        # A code point begins at each byte that does not continue another.
+        points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        begins, ends = points[np.flatnonzero(edges == 1)], points[np.flatnonzero(edges == -1)]
+        runs = np.split(mine, np.flatnonzero(np.diff(mine) > 1) + 1)
+        at = int(words.starts[owner])
+        spans[owner] = [{"start": int(begins[r[0] - at]), "end": int(ends[r[-1] - at]), "marginal": float(p[r].max())} for r in runs]
     return spans
 
 

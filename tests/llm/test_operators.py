@@ -330,7 +330,7 @@ def test_toxic_stems_are_learnt(spark):
     found = toxicity.score_texts(rows.filter("doc_id >= 400"), field).collect()
     assert sum(r["predicted"] == r["toxic"] for r in found) >= 0.97 * len(found)
     hot = [(r, s) for r in found if r["predicted"] for s in r["toxic_spans"]]
-    right = sum("grumpf" in " ".join(brute.WORD.findall(r["text"])[s["first"] : s["last"] + 1]) for r, s in hot)
+    right = sum("grumpf" in r["text"][s["start"] : s["end"]] for r, s in hot)
     assert right >= 0.9 * len(hot) > 0
 
 

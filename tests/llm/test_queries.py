@@ -8,6 +8,7 @@ import brute
 import numpy as np
 import pytest
 
+from phasegrid.llm import pii
 from phasegrid.llm import queries as q
 
 
@@ -60,7 +61,12 @@ def test_personal_data(spark, folder, corpus):
     for d, _, _, spans in wanted:
         base[d] |= set(spans)
     for row in found:
-        assert row[0] is None or base[row[0]] <= set(row[6].split(",")) or not row[6]
+        spans = set(row[6].split(",")) - {""}
+        # Rows that share an id have each its own spans; of the others all base spans stay.
+        assert row[0] is None or row[0] == 7 or base[row[0]] <= spans
+        text = dict((d, t) for d, t, _ in corpus[0]).get(row[0]) or ""
+        cards = [text[int(a) : int(b)] for k, a, b in (s.split(":") for s in spans) if k == "card"]
+        assert row[0] in (None, 7) or all(pii.luhn("".join(filter(str.isdigit, c))) for c in cards)
 
 
 def test_mixing(spark, folder, corpus):
@@ -114,6 +120,12 @@ def test_toxicity(spark, folder, corpus):
     for row in found:
         assert row["held_out"] == brute.held_out(row["doc_id"])
         assert 0 <= row["score"] <= 1 and row["predicted"] == int(row["score"] >= 0.7)
+    # The fixture marks insults; offending spans hold them, and held-out documents are told apart.
+    of = {d: t or "" for d, t, _ in corpus[0] if d not in (None, 7)}
+    marked = [of[r["doc_id"]][int(a) : int(b)] for r in found if r["doc_id"] in of and r["offending"] for a, b, _ in (s.split(":") for s in r["offending"].split(","))]
+    assert any("idiot" in m for m in marked) and all(m.strip() == m and m for m in marked)
+    held = [(bool("idiot" in of[r["doc_id"]]), r["score"]) for r in found if r["held_out"] and r["doc_id"] in of]
+    assert min(s for t, s in held if t) > sorted(s for t, s in held if not t)[len(held) // 2]
 
 
 def test_suffix_dedup(spark, folder, corpus):

@@ -9,7 +9,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from phasegrid.llm import chat, lexical, negatives
+from phasegrid.llm import chat, lexical, negatives, pii, toxicity
+from phasegrid.llm.queries import tokenizer_path
+from phasegrid.llm.tokens import WordEncoder
 
 LOG = "conv_id long, seq long, message long, kind string, role string, text string"
 
@@ -142,3 +144,31 @@ def test_blocks_are_rejected_before_they_are_decoded(monkeypatch):
         wanted = brute.ranking(list(enumerate(docs)), [(1, "the rare")])
         assert [(d, -s) for s, d in found[-1]] == [(d, s) for _, _, d, s in wanted]
         assert shard.opened < 0.7 * sum(len(p.last) for p, _, _ in uses) and limit in (0, 1)
+
+
+def test_words_of_any_kind_are_encoded_together():
+    words = ["don't", "e\u0301", "é", "1234.56!?", "naïve-word", "<|endoftext|>", "ﬁ½", "'s", "x", "ΣΊΣΥΦΟΣ", "İ", "\u0301", "a1b2", "--'re", "日本語x"] * 40
+    encoder = WordEncoder(tokenizer_path())
+    encoder._learn([w.encode() for w in words])
+    plain = encoder._encode(words)
+    assert [np.frombuffer(encoder.known[w.encode()], encoder.type).tolist() for w in words] == plain
+
+
+def test_many_spans_in_one_text_take_linear_memory():
+    found = {("email", 10 * i, 10 * i + 9): 0.9 for i in range(50_000)} | {("phone", 10 * i + 5, 10 * i + 12): 0.5 for i in range(50_000)}
+    chosen = pii._reconciled(found)
+    assert len(chosen) == 50_000 and all(kind == "email" for kind, *_ in chosen)
+
+
+def test_long_labelled_texts_take_part(spark):
+    """A class that has only long texts is learnt, from the part of each that its marked words stand in."""
+    rng = random.Random(1)
+    plain = lambda n: " ".join(rng.choice(["lorem", "ipsum", "dolor", "amet", "elit"]) for _ in range(n))
+    rows = [(1, plain(4000) + " vile vile scum " + plain(3000)) for _ in range(40)] + [(0, plain(6000)) for _ in range(40)]
+    field = toxicity.fit(spark.createDataFrame(rows, "toxic int, text string"))
+    assert isinstance(field, toxicity.Field)
+    texts = [(1, "you vile scum"), (2, plain(30)), (3, "é 😀 " + plain(9000) + " vile scum")]
+    scored = {r.id: r for r in toxicity.score_texts(spark.createDataFrame(texts, "id int, text string"), field).collect()}
+    assert scored[2].score < 0.5 < min(scored[1].score, scored[3].score)
+    spans = [texts[2][1][s.start : s.end] for s in scored[3].toxic_spans]
+    assert spans == ["vile scum"]

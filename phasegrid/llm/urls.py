@@ -1,13 +1,17 @@
 """Host and path rules for URLs, and gradient-boosted trees for the URLs no rule covers.
 
 The trees see lexical features only: lengths, depth, digit ratio, entropy, parameter counts and the
-statistics of the host's last label. They are grown from the URLs that rules decide. A boosting
-step is one aggregation of gradients by feature and bin; what reaches the driver is one row per
-node, feature and bin. Scoring is one expression of built-in functions.
+statistics of what the host, its last two labels and the path's first segment end in. They are grown
+from the URLs that rules decide. A suffix's share of blocked URLs is a statistic of labels, so the URLs
+that the trees are grown from get it out of fold: counted over the labelled URLs of the other folds.
+A boosting step is one aggregation of gradients by feature and bin; what reaches the driver is one row
+per node, feature and bin. Scoring is one expression of built-in functions.
 
 Cases: a null URL, or one without ``://``, has an empty host and path; no rule fits it, the trees
 judge it. Without any labelled URL the verdict is ``allow``; with one class, that class. Equal URLs
-get equal verdicts.
+get equal verdicts; they share a fold, so copies of a URL do not tell each other's label. A suffix no
+labelled URL has gets the share of one half. URLs of any length are read whole. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -40,19 +44,34 @@ class Rule:
 
 @dataclass(frozen=True)
 class Boosting:
-    """``sample`` bounds the labelled URLs that the trees are grown from, chosen by hash."""
+    """``sample`` bounds the labelled URLs that the trees are grown from, chosen by hash.
 
-    rounds: int = 8
+    Each tree does without one feature in ``spared``, in turn, so that no feature alone decides.
+    """
+
+    rounds: int = 10
     depth: int = 2
+    spared: int = 3
     bins: int = 12
     rate: float = 0.4
     smoothing: float = 1.0
     sample: int = 20_000
+    folds: int = 5
+
+
+@dataclass(frozen=True)
+class Trees:
+    """SQL for the log-odds of ``block``, and what each feature's cuts gained, as shares of the whole."""
 
+    score: str
+    gains: dict[str, float]
 
+
+#: Kinds of suffix with statistics of their own: the last label, the last two, and these with the first path segment.
+SUFFIXES = ("label", "domain", "section")
 FEATURES = (
     "url_length", "host_length", "path_length", "labels", "depth", "digit_ratio", "entropy", "parameters", "hyphens",
-    "suffix_block_rate", "suffix_log_count",
+    *[f"{k}_{s}" for k in SUFFIXES for s in ("block_rate", "log_count")],
 )
 #: Entropy is over these characters, each a class, and one class for all others.
 CLASSES = _LOWER + "0123456789" + "/.-_=&?%:#"
@@ -84,39 +103,52 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...], url: str = "url", boos
     host, path = host_and_path(F.col(quoted(url)))
     parts = pages.select(*[F.col(quoted(c)) for c in kept], F.col(quoted(url)).alias("__url"), host.alias("__host"), path.alias("__path"))
     text, verdict = rule_of(F.col("__host"), F.col("__path"), rules)
-    judged = parts.select("*", text.alias("__rule"), verdict.alias("__verdict"), suffix(F.col("__host")).alias("__suffix"))
-    labelled = judged.filter("__verdict IS NOT NULL").select(
-        "__url", "__host", "__path", "__suffix", (F.col("__verdict") == BLOCK).cast("double").alias("__label")
-    )
-    stats = written(suffix_statistics(labelled), "suffixes")
-    chosen = labelled.orderBy(F.xxhash64("__url"), "__url").limit(boosting.sample)
-    training = written(with_features(chosen, stats).select("__label", *FEATURES), "urls")
-    score = grow(training, boosting)
+    judged = parts.select("*", text.alias("__rule"), verdict.alias("__verdict"))
+    labelled = judged.filter("__verdict IS NOT NULL").withColumn("__label", (F.col("__verdict") == BLOCK).cast("double"))
+    trees, stats = learn(labelled, boosting)
     scored = with_features(judged, stats)
     return scored.select(
         *map(quoted, kept),
         F.col("__host").alias("host"),
         F.col("__path").alias("path"),
         F.col("__rule").alias("rule"),
-        F.coalesce("__verdict", F.expr(f"IF({score} > 0, '{BLOCK}', '{ALLOW}')")).alias("verdict"),
-        F.expr(f"1 / (1 + exp(-({score})))").alias("block_score"),
+        F.coalesce("__verdict", F.expr(f"IF({trees.score} > 0, '{BLOCK}', '{ALLOW}')")).alias("verdict"),
+        F.expr(f"1 / (1 + exp(-({trees.score})))").alias("block_score"),
     )
 
 
-def suffix(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def learn(labelled: DataFrame, boosting: Boosting = Boosting()) -> tuple[Trees, DataFrame]:
+    """Trees and suffix statistics from rows with ``__url, __host, __path, __label``."""
+    fold = F.pmod(F.xxhash64("__url", F.lit(11)), F.lit(boosting.folds))
+    labelled = labelled.select("__url", "__host", "__path", "__label", fold.alias("__fold"))
+    counts = written(suffix_counts(labelled), "suffixes")
+    chosen = labelled.orderBy(F.xxhash64("__url"), "__url").limit(boosting.sample)
+    training = with_features(chosen, counts, held_out=True).select("__label", *FEATURES)
+    return grow(written(training, "urls"), boosting), counts
+
+
+def suffixes(host: Column, path: Column) -> Column:
+    """For each of ``SUFFIXES`` its kind and text."""
+    domain = F.substring_index(host, ".", -2)
+    section = F.concat(domain, F.lit("/"), F.substring_index(F.substring(path, 2, 1 << 30), "/", 1))
+    texts = (F.substring_index(host, ".", -1), domain, section)
+    return F.array(*[F.struct(F.lit(k).alias("kind"), t.alias("text")) for k, t in zip(SUFFIXES, texts, strict=True)])
 
 
-def suffix_statistics(labelled: DataFrame) -> DataFrame:
-    """Over all labelled URLs: how many end in the suffix and the smoothed share of blocked ones."""
-    return labelled.groupBy("__suffix").agg(
-        ((F.sum("__label") + 1) / (F.count("*") + 2)).alias("suffix_block_rate"),
-        F.log1p(F.count("*").cast("double")).alias("suffix_log_count"),
+def suffix_counts(labelled: DataFrame) -> DataFrame:
+    """By kind, suffix and fold: how many labelled URLs, and how many blocked ones, have it; over all of them.
+
+    A row per suffix, with its folds as a map, so that looking it up multiplies no rows.
+    """
+    each = labelled.select("__fold", "__label", F.inline(suffixes(F.col("__host"), F.col("__path"))))
+    by_fold = each.groupBy("kind", "text", "__fold").agg(F.count("*").cast("double").alias("n"), F.sum("__label").alias("blocked"))
+    return by_fold.groupBy("kind", "text").agg(
+        F.sum("n").alias("n"), F.sum("blocked").alias("blocked"), F.map_from_entries(F.collect_list(F.struct("__fold", F.struct("n", "blocked")))).alias("folds")
     )
 
 
-def with_features(df: DataFrame, stats: DataFrame) -> DataFrame:
-    """Add ``FEATURES`` to rows with ``__url, __host, __path, __suffix``."""
+def with_features(df: DataFrame, counts: DataFrame, held_out: bool = False) -> DataFrame:
+    """Add ``FEATURES`` to rows with ``__url, __host, __path``; ``held_out`` leaves a row's own ``__fold`` out of the counts."""
     url = F.coalesce(F.col("__url"), F.lit(""))
     length = F.length(url).cast("double")
     lower = F.translate(url, _UPPER, _LOWER)
@@ -141,20 +173,27 @@ def with_features(df: DataFrame, stats: DataFrame) -> DataFrame:
         F.coalesce(count(query, "&") + 1, F.lit(0.0)).alias("parameters"),
         count(F.col("__host"), "-").alias("hyphens"),
     )
-    joined = added.join(stats, "__suffix", "left")
-    return joined.fillna({"suffix_block_rate": 0.5, "suffix_log_count": 0.0})
-
-
-def grow(training: DataFrame, boosting: Boosting) -> str:
-    """The boosted trees as one SQL expression for the log-odds of ``block``."""
+    for i, kind in enumerate(SUFFIXES):
+        of_kind = counts.filter(F.col("kind") == kind).select(F.col("text").alias("__text"), "n", "blocked", "folds")
+        added = added.withColumn("__key", suffixes(F.col("__host"), F.col("__path"))[i]["text"])
+        added = added.join(of_kind, added["__key"] == of_kind["__text"], "left")
+        own = F.col("folds")[F.col("__fold")] if held_out else None
+        n, blocked = (F.coalesce(F.col(c), F.lit(0.0)) - (F.coalesce(own[c], F.lit(0.0)) if held_out else 0.0) for c in ("n", "blocked"))
+        rate, size = (blocked + 1) / (n + 2), F.log1p(n)
+        added = added.withColumns({f"{kind}_block_rate": rate, f"{kind}_log_count": size}).drop("__key", "__text", "n", "blocked", "folds")
+    return added
+
+
+def grow(training: DataFrame, boosting: Boosting) -> Trees:
+    """The boosted trees of the rows (``__label``, ``FEATURES``)."""
     n, blocked, *cuts = training.agg(
         F.count("*"), F.sum("__label"),
         *[F.percentile_approx(f, [i / boosting.bins for i in range(1, boosting.bins)], 1000) for f in FEATURES],
     ).first()
     if not n:
-        return "-1D"
+        return Trees("-1D", {})
     if blocked in (0, n):
-        return "1D" if blocked else "-1D"
+        return Trees("1D" if blocked else "-1D", {})
     thresholds = {f: sorted(set(c)) for f, c in zip(FEATURES, cuts, strict=True)}
     binned = training.select(
         "__label", *FEATURES,
@@ -162,12 +201,15 @@ def grow(training: DataFrame, boosting: Boosting) -> str:
     )
     binned = written(binned, "bins")
     score = f"{math.log(blocked / (n - blocked))!r}D"
-    for _ in range(boosting.rounds):
-        score += " + " + _tree(binned, score, thresholds, boosting)
-    return score
+    gains: dict[str, float] = {}
+    for tree in range(boosting.rounds):
+        seen = {f: t for i, (f, t) in enumerate(thresholds.items()) if i % boosting.spared != tree % boosting.spared}
+        score += " + " + _tree(binned, score, seen, boosting, gains)
+    whole = sum(gains.values())
+    return Trees(score, {f: g / whole for f, g in gains.items()})
 
 
-def _tree(binned: DataFrame, score: str, thresholds: dict[str, list[float]], boosting: Boosting) -> str:
+def _tree(binned: DataFrame, score: str, thresholds: dict[str, list[float]], boosting: Boosting, gains: dict[str, float]) -> str:
     """One tree on the gradients of the logistic loss, a level of nodes per aggregation."""
     probability = f"(1 / (1 + exp(-({score}))))"
     rows = binned.withColumn("__p", F.expr(probability)).selectExpr(
@@ -188,11 +230,11 @@ def _tree(binned: DataFrame, score: str, thresholds: dict[str, list[float]], boo
         for node, feature, b, g, h in sums:
             found.setdefault(node, {}).setdefault(feature, {})[b] = (g, h)
         for node, by_feature in sorted(found.items()):
-            _split(node, by_feature, splits, leaves, thresholds, boosting)
+            _split(node, by_feature, splits, leaves, thresholds, boosting, gains)
     return _leaf_text(1, splits, leaves)
 
 
-def _split(node, by_feature, splits, leaves, thresholds, boosting) -> None:
+def _split(node, by_feature, splits, leaves, thresholds, boosting, gains) -> None:
     """Choose the best cut of a node; its two children become leaves until they are cut in turn."""
     some = next(iter(by_feature.values()))
     total_g, total_h = (sum(v[i] for v in some.values()) for i in (0, 1))
@@ -206,7 +248,7 @@ def _split(node, by_feature, splits, leaves, thresholds, boosting) -> None:
     best = (1e-6, "", 0.0, ())
     for feature, bins in sorted(by_feature.items()):
         name, g, h = FEATURES[feature], 0.0, 0.0
-        for b, cut in enumerate(thresholds[name]):
+        for b, cut in enumerate(thresholds.get(name, [])):
             g, h = g + bins.get(b, (0, 0))[0], h + bins.get(b, (0, 0))[1]
             better = gain(g, h) + gain(total_g - g, total_h - h) - gain(total_g, total_h)
             if better > best[0]:
@@ -214,6 +256,7 @@ def _split(node, by_feature, splits, leaves, thresholds, boosting) -> None:
     leaves.setdefault(node, value(total_g, total_h))
     if best[1]:
         splits[node] = best[1], best[2]
+        gains[best[1]] = gains.get(best[1], 0.0) + best[0]
         leaves[2 * node], leaves[2 * node + 1] = best[3]
 
 

@@ -215,6 +215,41 @@ def test_trees_learn_the_labels(spark):
     assert all(r["rule"] is None for r in found)
 
 
+def test_suffix_rates_do_not_know_a_rows_own_label(spark):
+    """Labels by chance: a rate that counted the row's own label would tell it, an out-of-fold one does not."""
+    rng = random.Random(5)
+    rows = [(f"http://h{i}.test{i}/{prose(rng, 1)}", f"h{i}.test{i}", f"/{i}", float(rng.random() < 0.5)) for i in range(600)]
+    labelled = spark.createDataFrame(rows, "__url string, __host string, __path string, __label double")
+    fold = F.pmod(F.xxhash64("__url", F.lit(11)), F.lit(5))
+    counts = urls.suffix_counts(labelled.withColumn("__fold", fold))
+    found = urls.with_features(labelled.withColumn("__fold", fold), counts, held_out=True)
+    assert [r[0] for r in found.select("domain_block_rate").distinct().collect()] == [0.5]
+    assert found.filter("domain_log_count > 0").count() == 0
+    assert urls.with_features(labelled, counts).filter("domain_block_rate = 0.5").count() == 0
+
+
+def test_trees_judge_held_out_urls(spark):
+    """Trained on two thirds of labelled URLs, whose labels no single feature tells."""
+    rng = random.Random(6)
+    rows = []
+    for _ in range(1500):
+        domain, section = rng.choice(["a.net", "b.net", "c.org", "d.com"]), rng.choice(["en", "de", "fr"])
+        digits = rng.random() < 0.4
+        path = f"/{section}/" + (str(rng.randint(10**12, 10**13)) if digits else prose(rng, 1))
+        bad = digits if domain == "d.com" else domain == "a.net" and section != "en"
+        host = f"{rng.choice(['www', 'm', 'blog'])}.{domain}"
+        rows.append((f"https://{host}{path}", host, path, float(bad != (rng.random() < 0.03))))
+    labelled = spark.createDataFrame(rows, "__url string, __host string, __path string, __label double")
+    third = F.crc32(F.col("__url").cast("binary")) % 3 == 1
+    trees, counts = urls.learn(labelled.filter(~third))
+    held = urls.with_features(labelled.filter(third), counts).selectExpr("__label", f"{trees.score} AS score").collect()
+    assert sum((r["score"] > 0) == (r["__label"] > 0) for r in held) >= 0.92 * len(held)
+    blocked, allowed = ([r["score"] for r in held if (r["__label"] > 0) is b] for b in (True, False))
+    pairs = [(b > a) + 0.5 * (b == a) for b in blocked for a in allowed]
+    assert sum(pairs) / len(pairs) >= 0.9
+    assert max(trees.gains.values()) < 0.9 and abs(sum(trees.gains.values()) - 1) < 1e-9
+
+
 def test_url_plan_has_no_python(spark, folder):
     plan = q.op6_url_filters(spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))

@@ -163,6 +163,50 @@ def test_network_learns_spans_from_windows(spark):
     assert hit / len(wanted) > 0.8 and hit / max(1, len(found)) > 0.8
 
 
+def test_rewritten_spans_are_out_of_the_patterns_sight():
+    text = "to anna.b@mail.example.com or 10.0.0.255, pay 4111 1111 1111 1111, call +49 (30) 123-456 78 now"
+    spans = pii.base_spans(text)
+    assert {k for k, _, _ in spans} == set(pii.KINDS)
+    for kind, a, b in spans:
+        for form in range(4):
+            new = pii.rewritten(kind, text[a:b], form)
+            assert new != text[a:b] and not pii.base_spans(f"so {new} it"), new
+    whole, known = pii.varied(text, spans)
+    assert sorted(k for k, _, _ in known) == sorted(pii.KINDS) and not pii.base_spans(whole)
+    assert whole.startswith("to anna") and whole.endswith(" now")
+
+
+def test_network_finds_held_out_spans_that_patterns_miss(spark):
+    rng = random.Random(8)
+
+    def card():
+        digits = "4" + "".join(rng.choices("0123456789", k=14))
+        return next(digits + d for d in "0123456789" if pii.luhn(digits + d))
+
+    def line(personal):
+        some = [
+            f"{prose(rng, 1).strip(',.')}.{rng.randint(1, 99)}@mail{rng.randint(1, 9)}.example.com",
+            ".".join(str(rng.randint(0, 255)) for _ in range(4)),
+            card(),
+            f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}",
+        ]
+        none = [str(rng.randint(1, 10**rng.randint(1, 6))), f"{rng.randint(1900, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", f"v{rng.randint(1, 9)}.{rng.randint(0, 9)}", "@ home"]
+        return f"{prose(rng, 10)} {rng.choice(some if personal else none)} {prose(rng, 10)}"
+
+    docs = spark.createDataFrame([(i, line(i % 3 > 0)) for i in range(900)], "doc_id long, text string")
+    net = pii.fit(docs)
+    texts, wanted = [], set()
+    for i in range(200):
+        plain = line(i % 2 == 0)
+        text, known = pii.varied(plain, pii.base_spans(plain))
+        texts.append(text)
+        wanted |= {(i, *s) for s in known if s not in pii.base_spans(text)}
+    held = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = {(r["doc_id"], s["kind"], s["start"], s["end"]) for r in pii.find_personal_data(held, net).collect() for s in r["spans"] if s not in r["base_spans"]}
+    hit = len(found & wanted)
+    assert len(wanted) > 80 and hit >= 0.9 * len(wanted) and hit >= 0.9 * len(found)
+
+
 def test_spans_of_windows_are_reconciled():
     spans = {("email", 0, 10): 0.9, ("ip", 5, 9): 0.99, ("card", 10, 30): 0.8, ("phone", 12, 20): 0.9}
     assert [s[:3] for s in pii._reconciled(spans)] == [("email", 0, 10), ("card", 10, 30)]

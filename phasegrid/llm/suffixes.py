@@ -1,23 +1,30 @@
 """Removal of long repeated byte strings with a logarithmic family of sparse suffix arrays.
 
 Every string of ``LENGTH`` bytes contains the place where the hash of the next ``GRAM`` bytes is least;
-equal strings have it at the same distance from their start. Only these places, the anchors, about one
-in 170 bytes, are indexed. A batch of texts becomes a run: its anchored suffixes with the hash of their
-first ``GRAM`` bytes, in the order of the hash within each task (only equality counts). Which suffixes of
-a new run and of the runs of all levels begin alike is told by grouping the hashes; no suffixes are
-merge-scanned. Then two runs of one level merge into one of the next, so that a family of n batches has
-at most log2(n) + 1 runs.
-
-Suffixes that begin alike are then compared with all bytes a string of ``LENGTH`` around the anchor can
-have. Anchors with equal surroundings settle each other. Of those that remain, one of each kind is
-fetched, and its strings are compared with the strings at the same distance in the others; a group of
-more than ``GROUP`` kinds is compared by an aggregation over its strings instead of in one task.
-
-Texts are known by two 64-bit hashes, so copies are one text. Strings never span texts.
+equal strings have it at the same distance from their start. Only the suffixes at these places, the
+anchors, about one in 170 bytes, are indexed. A run is a suffix array of them: dealt out by range and
+sorted, so that its files follow each other in order. Suffixes are compared block by block, by the hash of
+their first ``GRAM`` bytes, then by that of ``LENGTH`` bytes, then by that of all bytes a string of
+``LENGTH`` around the anchor can have: those with a common beginning stand next to each other, though
+blocks are in the order of their hashes and not of their bytes.
+
+A new batch is merged in order with the runs of all levels and scanned once, neighbour by neighbour: suffixes
+that begin like a new one are told, with the older ones they stand beside. Runs of one level merge into one
+of the next, so that a family of n batches has at most log2(n) + 1 runs; a scan that covers all that merge
+is stored as the merged run.
+
+Suffixes that begin alike are then compared with their surroundings. Anchors with equal surroundings settle
+each other. Of those that remain, one of each kind is fetched, and its strings are compared with the
+strings at the same distance in the others; a group of more than ``GROUP`` kinds is compared by an
+aggregation over its strings instead of in one task.
+
+Texts are known by two 64-bit hashes, so copies are one text; those that lie near each other in the
+table are indexed once, with their number. Strings never span texts.
 
 Cases: a null text is empty; texts shorter than ``LENGTH`` keep all bytes; a text that occurs twice is
-removed whole if it is long enough; runs of one byte repeat themselves and go; an empty table
-gives an empty result.
+removed whole if it is long enough; runs of one byte repeat themselves and go; very long texts are indexed
+piece by piece, with the same result; extra columns stay, whatever their names; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -25,11 +32,13 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,9 +49,12 @@ from phasegrid.session import scratch_dir
 LENGTH, GRAM = 400, 64
 #: Kinds of surroundings that one task compares; larger groups are aggregated.
 GROUP = 20_000
-BATCHES = 2
+BATCHES = 3
 SEGMENT = 1 << 20
-_ENTRY = "t1 long, t2 long, pos long, gram long, around long, before int, after int"
+#: An indexed suffix; ``copies`` of its text, equal in all else, came from the piece of input ``src``.
+_ENTRY = "t1 long, t2 long, pos long, gram long, ahead long, around long, before int, after int, copies int, src long"
+_COLUMNS = [c.split()[0] for c in _ENTRY.split(", ")]
+_ORDER = ["gram", "ahead", "around", "t1", "t2", "pos", "src"]
 RESULT = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
@@ -106,14 +118,15 @@ def text_anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.nd
     return found, grams, np.searchsorted(ends, found, "right") - 1
 
 
-def entries(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """A row for each anchor of each row of ``docs`` (t1, t2, content)."""
+def entries(docs: DataFrame, length: int = LENGTH, batch: int = 0) -> DataFrame:
+    """A row for each anchor of each text of ``docs`` (t1, t2, content); copies within a piece are counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start, stop in _cuts(batch.column(2)):
-                piece = batch.slice(start, stop - start)
-                yield _entries(piece, length)
+        source = (batch << 48) | (TaskContext.get().partitionId() << 28)
+        for rows in batches:
+            for start, stop in _cuts(rows.column(2)):
+                yield _entries(rows.slice(start, stop - start), length, source)
+                source += 1
 
     return docs.select("t1", "t2", F.col("content").cast("binary").alias("content")).mapInArrow(run, _ENTRY)
 
@@ -129,19 +142,45 @@ def _cuts(texts: pa.Array) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def _entries(piece: pa.RecordBatch, length: int) -> pa.RecordBatch:
+def _entries(piece: pa.RecordBatch, length: int, source: int) -> pa.RecordBatch:
+    times = Counter(zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True))
+    if len(times) < piece.num_rows:
+        seen: dict[tuple, int] = {}
+        for row, text in enumerate(zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True)):
+            seen.setdefault(text, row)
+        piece = piece.take(pa.array(list(seen.values())))
+    copies = np.fromiter(times.values(), np.int32, len(times))
     data, ends = buffer_of(piece.column(2).cast(pa.large_binary()))
     found, grams, owner = text_anchors(data, ends, length)
     first, last = ends[owner] if len(owner) else found, ends[owner + 1] if len(owner) else found
     before, after = np.minimum(found - first, length - GRAM), np.minimum(last - found, length)
     whole, digest = data.tobytes(), xxhash.xxh3_64_intdigest
-    around = np.fromiter(
-        (digest(whole[a:b]) for a, b in zip((found - before).tolist(), (found + after).tolist(), strict=True)), np.uint64, len(found)
-    )
+    ahead, around = np.zeros(len(found), np.uint64), np.zeros(len(found), np.uint64)
+    for i, (at, low, high) in enumerate(zip(found.tolist(), (found - before).tolist(), (found + after).tolist(), strict=True)):
+        ahead[i], around[i] = digest(whole[at:high]), digest(whole[low:high])
     take = pa.array(owner)
-    columns = [piece.column(0).take(take), piece.column(1).take(take), pa.array(found - first), pa.array(grams.view(np.int64)), pa.array(around.view(np.int64))]
-    columns += [pa.array(before.astype(np.int32)), pa.array(after.astype(np.int32))]
-    return pa.RecordBatch.from_arrays(columns, names=["t1", "t2", "pos", "gram", "around", "before", "after"])
+    columns = [piece.column(0).take(take), piece.column(1).take(take), pa.array(found - first)]
+    columns += [pa.array(x.view(np.int64)) for x in (grams, ahead, around)]
+    columns += [pa.array(before.astype(np.int32)), pa.array(after.astype(np.int32)), pa.array(copies[owner] if len(owner) else copies[:0])]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(found), source))], names=_COLUMNS)
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Scan suffixes in order (``_COLUMNS``, fresh); ``met`` tells those beside others that begin alike, a new one among them.
+
+    What begins or ends a batch may go on in the next one or in another task, so it counts as met: too
+    many are harmless, as their surroundings are compared.
+    """
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        gram, copies, fresh = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("gram", "copies", "fresh"))
+        starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+        met = (np.add.reduceat(copies.astype(np.int64), starts) > 1) & np.logical_or.reduceat(fresh, starts)
+        met[0] = met[-1] = True
+        sizes = np.diff(np.append(starts, len(gram)))
+        columns = [batch.column(n) for n in _COLUMNS]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(np.repeat(met, sizes))], names=[*_COLUMNS, "met"])
 
 
 class SuffixFamily:
@@ -174,44 +213,47 @@ class SuffixFamily:
     def _run(self, name: str, ddl: str = _ENTRY) -> DataFrame:
         return self.spark.read.schema(ddl).parquet(f"{self.folder}/{name}")
 
-    def _sorted(self, df: DataFrame) -> DataFrame:
-        """In order within each task only: dealt out by gram, all suffixes of a common one would go to one task."""
-        return df.sortWithinPartitions("gram", "around")
+    def _in_order(self, df: DataFrame) -> DataFrame:
+        """A suffix array: ranges of suffixes, each sorted; what begins alike may fill several ranges."""
+        ranges = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return df.repartitionByRange(ranges, *_ORDER).sortWithinPartitions(*_ORDER)
+
+    def _joined(self, names: list[str]) -> DataFrame:
+        return self.spark.read.schema(_ENTRY).parquet(*[f"{self.folder}/{name}" for name in names])
 
     def add(self, docs: DataFrame) -> None:
-        """Index a batch (t1, t2, content), note which suffixes begin like others, and merge equal levels."""
-        new = self._store(self._sorted(entries(docs, self.length)))
-        grams = self._run(new).groupBy("gram").agg(F.count("*").alias("n"))
-        for _, name in self.levels:
-            older = self._run(name).groupBy("gram").agg(F.count("*").alias("n"))
-            grams = grams.unionByName(older)
-        # Of suffixes in older runs alone an earlier scan has already told.
-        self.shared.append(self._store(grams.groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1").select("gram")))
-        self.levels.append([0, new])
-        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (level, a), (_, b) = self.levels.pop(), self.levels.pop()
-            self.levels.append([level + 1, self._store(self._sorted(self._run(a).unionByName(self._run(b))))])
+        """Index a batch (t1, t2, content), scan it merged with the runs of all levels, and merge equal levels."""
+        new = self._store(entries(docs, self.length, self.number))
+        older, (level, due) = [name for _, name in self.levels], (0, [])
+        while self.levels and self.levels[-1][0] == level:
+            due.append(self.levels.pop()[1])
+            level += 1
+        rows = self._run(new).withColumn("fresh", F.lit(True))
+        if older:
+            rows = rows.unionByName(self._joined(older).withColumn("fresh", F.lit(False)))
+        scanned = self._in_order(rows).mapInArrow(_neighbours, f"{_ENTRY}, met boolean")
+        if len(due) == len(older):
+            run = self._store(scanned)
+            met = self._run(run, f"{_ENTRY}, met boolean")
+        else:
+            run = self._store(self._in_order(self._joined([new, *due])))
+            met = scanned
+        self.shared.append(self._store(met.filter("met").drop("met")))
+        self.levels.append([level, run])
         self._commit()
+        for name in (new, *due):
+            self.files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}"), True)
 
     def drop(self) -> None:
         """Remove the family and all it holds."""
         self.files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.folder), True)
 
     def matches(self) -> DataFrame:
-        """The indexed suffixes that begin like another."""
-        shared = None
-        for name in self.shared:
-            part = self._run(name, "gram long")
-            shared = part if shared is None else shared.union(part)
-        found = None
-        for _, name in self.levels:
-            part = self._run(name)
-            found = part if found is None else found.unionByName(part)
-        if found is None:
+        """The indexed suffixes that begin like another, each once however many scans told of it."""
+        if not self.shared:
             return self.spark.createDataFrame([], _ENTRY)
-        # Written first, so that both sides of the join are plain shuffles and Spark can split a hot gram.
-        shared = written(shared.distinct(), "shared")
-        return found.join(shared, "gram", "left_semi").select(*[c.split()[0] for c in _ENTRY.split(", ")])
+        found = self._joined(self.shared)
+        return found.dropDuplicates(["src", "t1", "t2", "pos"]) if len(self.shared) > 1 else found
 
 
 def repeated_spans(family: SuffixFamily, texts: DataFrame, group: int = GROUP) -> DataFrame:
@@ -219,7 +261,7 @@ def repeated_spans(family: SuffixFamily, texts: DataFrame, group: int = GROUP) -
     length, reach = family.length, family.length - GRAM
     kind = ["gram", "around", "before", "after"]
     matches = written(family.matches(), "matches")
-    kinds = matches.groupBy(*kind).agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "pos")).alias("one"))
+    kinds = matches.groupBy(*kind).agg(F.sum("copies").alias("n"), F.min(F.struct("t1", "t2", "pos")).alias("one"))
     kinds = written(kinds, "kinds")
     # Equal surroundings: every string around the anchor is repeated.
     twice = kinds.filter("n > 1").select(*kind)

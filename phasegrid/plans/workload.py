@@ -32,7 +32,15 @@ from phasegrid.schema import LIVE_FIELDS, MEASURES, NEUTRAL_MEASURES, PHASES, WI
 from phasegrid.session import configure, scratch_dir
 from phasegrid.sinks import compact_points, ensure_table, read_outcomes, record_outcome, retained, write_lines, write_points
 from phasegrid.sources import DeviceSource, latest_points, load_readings, message_stream, point_log, read_points
-from phasegrid.streaming import live, read_windowed_mean, stream_seconds, write_live, write_seconds
+from phasegrid.streaming import (
+    StreamMetrics,
+    live,
+    read_stream_metrics,
+    read_windowed_mean,
+    stream_seconds,
+    write_live,
+    write_seconds,
+)
 
 NOW = dt.datetime(2024, 1, 31)
 START, STOP = "2024-01-05 07:30:00", "2024-01-20 16:45:00"
@@ -749,6 +757,35 @@ def write_outcomes(spark, sf_dir):
     return read_outcomes(spark, told).select(kind.alias("batch"), "attempt", "outcome", "points", "rows", error.alias("error"))
 
 
+def stream_metrics(spark, sf_dir):
+    """What two runs of a live stream report: the first fails in its batch, the second repeats it and ends."""
+    folder, path = scratch_dir(spark, "messages"), scratch_dir(spark, "stream")
+    write_lines(status_messages(spark, sf_dir).select("value"), folder)
+    metrics = StreamMetrics(spark, f"{path}-metrics")
+    spark.streams.addListener(metrics)
+
+    def broken(events: DataFrame, outcome) -> None:
+        raise RuntimeError("no room left")
+
+    try:
+        for on_batch in (broken, None):
+            query = write_live(
+                message_stream(spark, folder), device_names(spark), path, f"{path}-rejected", f"{path}-checkpoint",
+                trigger={"availableNow": True}, on_batch=on_batch,
+            )
+            try:
+                query.awaitTermination()
+            except StreamingQueryException:
+                pass
+            if not metrics.finished(query):
+                raise TimeoutError("the stream did not tell of its end")
+    finally:
+        spark.streams.removeListener(metrics)
+    told = read_stream_metrics(spark, f"{path}-metrics")
+    error = F.when(F.col("error").contains("no room left"), "no room left")
+    return told.select("outcome", "batches", "input_rows", (F.col("longest_ms") > 0).alias("timed"), error.alias("error"))
+
+
 QUERIES: dict[str, Query] = {
     "energy_daily": _energy("1d"),
     "energy_hourly": _energy("1h"),
@@ -830,6 +867,7 @@ QUERIES: dict[str, Query] = {
     "csv_analysis": csv_analysis,
     "csv_bad_cell": csv_bad_cell,
     "stream_points": stream_points,
+    "stream_metrics": stream_metrics,
     "stream_rejected": stream_rejected,
     "stream_mean": stream_mean,
     "stream_flushed": stream_flushed,

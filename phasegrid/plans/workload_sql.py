@@ -363,6 +363,9 @@ SELECT *, make_timestamp(ts * 1000000) AS timestamp FROM blocks""",
     "stream_mean": f"""{_LIVE_LATEST} SELECT measurement, device, source, phase, field,
     make_timestamp({6 * _HOUR} * (epoch_us(ts) // {6 * _HOUR} + 1)) AS time, round(avg(value), 9) AS value
   FROM long WHERE field = 'act_power' AND phase IN ('a', 'b', 'c') GROUP BY ALL""",
+    "stream_metrics": """SELECT 'failed' AS outcome, CAST(0 AS BIGINT) AS batches, CAST(0 AS BIGINT) AS input_rows,
+  CAST(NULL AS BOOLEAN) AS timed, 'no room left' AS error
+UNION ALL SELECT 'ended', 1, count(*), TRUE, NULL FROM events""",
     "stream_flushed": f"""{_LIVE_LATEST} SELECT measurement, device, source, phase, ts, field,
     CAST(1 AS BIGINT) AS n, TRUE AS merged, TRUE AS batches FROM long""",
     "write_outcomes": f"""{_POINTS}, live AS (SELECT count(DISTINCT (device, phase, ts)) AS points FROM ({_live_points("l")})),

@@ -13,7 +13,16 @@ from phasegrid.schema import LIVE_FIELDS, POINT_KEY, POINT_SCHEMA
 from phasegrid.sinks import compact_points, ensure_table, retained, write_lines, write_points
 from phasegrid.sinks.points import batch_folders
 from phasegrid.sources import latest_points, message_stream, point_log, read_json_lines, read_points
-from phasegrid.streaming import live, read_windowed_mean, stop, stream_seconds, write_live, write_seconds
+from phasegrid.streaming import (
+    StreamMetrics,
+    live,
+    read_stream_metrics,
+    read_windowed_mean,
+    stop,
+    stream_seconds,
+    write_live,
+    write_seconds,
+)
 from test_messages import message, meter
 
 
@@ -223,6 +232,38 @@ def test_failed_batch_is_reported(spark, tmp_path, devices):
     assert [("3 events seen" in o.error, o.points) for o in failed] == [(True, 0)]
 
 
+@pytest.mark.parametrize("flush_rows", [1, 500])
+def test_runs_of_streams_are_told(spark, tmp_path, devices, flush_rows):
+    landing, path = tmp_path / "in", str(tmp_path / "metrics")
+    landing.mkdir()
+    for i in range(3):
+        (landing / f"{i}.txt").write_text("\n".join(texts(i * 10, 4)))
+
+    def broken(events, outcome):
+        raise RuntimeError("disk full")
+
+    metrics = StreamMetrics(spark, path, flush_rows)
+    spark.streams.addListener(metrics)
+    try:
+        for name, on_batch in (("one", broken), ("two", None)):
+            query = write_live(
+                message_stream(spark, str(landing), max_files_per_trigger=1), devices, str(tmp_path / name), str(tmp_path / "r"),
+                str(tmp_path / f"c{name}"), trigger={"availableNow": True}, on_batch=on_batch,
+            )
+            try:
+                query.awaitTermination(120)
+            except StreamingQueryException:
+                pass
+            assert metrics.finished(query)
+    finally:
+        spark.streams.removeListener(metrics)
+    runs = {r["outcome"]: r for r in read_stream_metrics(spark, path).collect()}
+    assert runs.keys() == {"failed", "ended"}
+    assert (runs["failed"]["batches"], "disk full" in runs["failed"]["error"]) == (0, True)
+    assert (runs["ended"]["batches"], runs["ended"]["input_rows"], runs["ended"]["error"]) == (3, 12, None)
+    assert 0 < runs["ended"]["mean_ms"] <= runs["ended"]["longest_ms"]
+
+
 def test_lines_round_trip(spark, tmp_path):
     lines = reshape.line_protocol(live_point(spark, [(NOON, "a", 1.0, 2.5)]))
     write_lines(lines, str(tmp_path / "lines"))

@@ -355,3 +355,41 @@ def test_stop(spark, tmp_path, devices):
         message_stream(spark, str(tmp_path / "in")), devices, str(tmp_path / "s"), str(tmp_path / "r"), str(tmp_path / "c")
     )
     assert query.isActive and stop(query) and not query.isActive
+
+
+@pytest.fixture
+def shuffled(spark):
+    """A plan without adaptive execution and broadcasts, as a stream's is with a large lookup."""
+    names = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")
+    before = [spark.conf.get(n) for n in names]
+    for n, value in zip(names, ("false", "-1", "8"), strict=True):
+        spark.conf.set(n, value)
+    yield spark
+    for n, value in zip(names, before, strict=True):
+        spark.conf.set(n, value)
+
+
+def test_busy_source_and_messages_without_one_fill_no_single_task(shuffled):
+    texts = [json.dumps(message({"total_current": float(i)}, src="meter-0")) for i in range(400)] + [f"broken {i}" for i in range(400)]
+    raw = shuffled.createDataFrame([(t,) for t in texts], "value string")
+    names = shuffled.createDataFrame([("meter-0", "d"), ("meter-1", "d")], "src string, device string")
+    events = live.parse_events(raw, names)
+    assert tuples(events.groupBy("route", "device", "source_rank").count()) == [("error", None, None, 400), ("status", "d", 1, 400)]
+    sizes = events.groupBy("route", F.spark_partition_id().alias("task")).count().groupBy("route").agg(F.max("count")).collect()
+    assert all(most < 200 for _, most in sizes)
+
+
+def test_stream_keeps_messages_where_they_were_read(spark, tmp_path):
+    folder, told = tmp_path / "in", []
+    texts = [json.dumps(message({"total_current": float(i)}, src="meter-0")) for i in range(200)]
+    spark.createDataFrame([(t,) for t in texts], "value string").repartition(4).write.text(str(folder))
+    names = spark.createDataFrame([("meter-0", "d")], "src string, device string")
+
+    def seen(accepted, outcome):
+        told.extend(r["count"] for r in accepted.groupBy(F.spark_partition_id()).count().collect())
+
+    path = str(tmp_path / "store")
+    write_live(
+        message_stream(spark, str(folder)), names, path, f"{path}-rejected", f"{path}-checkpoint", {"availableNow": True}, on_batch=seen
+    ).awaitTermination()
+    assert sum(told) == 200 and max(told) < 200

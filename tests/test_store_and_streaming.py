@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from meter_helpers import tuples, utc
 from phasegrid.operators import reshape
-from phasegrid.plans import live_active_power
+from phasegrid.plans import live_active_power, workload
 from phasegrid.schema import LIVE_FIELDS, POINT_KEY, POINT_SCHEMA
 from phasegrid.sinks import compact_points, ensure_table, retained, write_lines, write_points
 from phasegrid.sinks.points import batch_folders
@@ -393,3 +393,28 @@ def test_stream_keeps_messages_where_they_were_read(spark, tmp_path):
         message_stream(spark, str(folder)), names, path, f"{path}-rejected", f"{path}-checkpoint", {"availableNow": True}, on_batch=seen
     ).awaitTermination()
     assert sum(told) == 200 and max(told) < 200
+
+
+def test_merging_tasks_hold_a_bounded_number_of_points(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    times = [NOON + dt.timedelta(seconds=i) for i in range(500)]
+    for k in (1.0, 2.0):
+        write_points(live_point(spark, [(t, "a", k, None if k > 1 else k) for t in times]), path, f"b{k}")
+    monkeypatch.setattr("phasegrid.sources.points.POINTS_PER_TASK", 100)
+    points = read_points(spark, path, fields=["current", "voltage"])
+    assert tuples(points, "ts", "current", "voltage") == [(t, 2.0, 1.0) for t in times]
+    assert points.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 100
+    assert read_points(spark, path, stop="2024-01-01T12:00:00").count() == 0
+    compact_points(spark, path, dt.date(2100, 1, 1))
+    assert point_log(spark, path).count() == 500
+    assert tuples(read_points(spark, path), "ts", "current", "voltage") == [(t, 2.0, 1.0) for t in times]
+
+
+def test_messages_are_dealt_out_before_they_are_texts(spark, tmp_path):
+    rows = [(i, utc(f"2024-01-0{1 + i % 9}T00:00:00"), i, "view", float(i), "{}") for i in range(30)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(
+        1
+    ).write.parquet(str(tmp_path / "events.parquet"))
+    halves = [workload._half_of_messages(spark, str(tmp_path), half) for half in (0, 1)]
+    assert all(h.rdd.getNumPartitions() == 3 and h.groupBy(F.spark_partition_id()).count().count() == 3 for h in halves)
+    assert tuples(halves[0].union(halves[1])) == tuples(workload.status_messages(spark, str(tmp_path)))

@@ -1,6 +1,7 @@
 """What the operators promise beyond the registered queries: blocks, hot groups, increments, files, models."""
 
 import random
+from collections import Counter
 
 import brute
 import numpy as np
@@ -480,3 +481,39 @@ def test_a_common_gram_is_spread_over_the_files_of_a_run(spark):
             files = [r["count"] for r in family._run(name).groupBy(F.input_file_name()).count().collect()]
             assert max(files) < sum(files) / 2
     assert len(family.levels) == 1 and sum(files) == family.matches().count()
+
+
+def test_the_kinds_of_a_common_gram_are_counted_in_many_places(spark):
+    # Grams 0 and -7 have 600 and 90 kinds, 1 to 50 two, 51 to 99 one; the kinds differ in one column only.
+    rows = [(0, i, 5, 5) for i in range(200)] + [(0, 1, i, 6) for i in range(200)] + [(0, 1, 7, 1000 + i) for i in range(200)]
+    rows += [(-7, -i, 5, 5) for i in range(90)] + [(g, i, 0, 0) for g in range(1, 100) for i in range(2 if g <= 50 else 1)]
+    kinds = spark.createDataFrame(rows, "gram long, around long, before int, after int")
+    size = {g: sum(r[0] == g for r in rows) for g in range(-7, 100)}
+    held = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "24"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        for spread in (1, 20, 10_000):
+            found = suffixes.with_kinds(kinds, spread).withColumn("place", F.spark_partition_id()).collect()
+            wanted = [(*r, size[r[0]]) for r in rows if size[r[0]] > 1]
+            assert sorted((r["gram"], r["around"], r["before"], r["after"], r["kinds"]) for r in found) == sorted(wanted)
+            places = Counter(r["place"] for r in found if r["gram"] == 0)
+            assert (len(places) == 1) if spread == 10_000 else (max(places.values()) < 600 / 4)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_common_and_rare_grams_give_the_same_spans(spark, monkeypatch):
+    # Each of the passage's anchors has some 60 kinds, far more than the 8 counted in one place.
+    rng = random.Random(12)
+    passage = prose(rng, 40)
+    texts = [prose(rng, 30) + " " + passage + " " + prose(rng, 30) for _ in range(60)] + [prose(rng, 60) for _ in range(20)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    dealt = []
+    plain = suffixes.with_kinds
+    monkeypatch.setattr(suffixes, "with_kinds", lambda kinds: dealt.append(plain(kinds, 8)) or dealt[-1])
+    found = suffixes.remove_repeats(docs, length=100).orderBy("doc_id").collect()
+    assert [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found] == brute.repeats(texts, 100)
+    assert len(dealt) == 1
